@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import curriculum_mix, decontaminate, license_scan, substring_dedup
+from quire.llm import byte_cnn_lang, curriculum_mix, decontaminate, license_scan, substring_dedup, token_store, toxicity_ordinal
 from quire.llm.shared import docs_of
 
 
@@ -16,6 +16,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(docs_of(spark, sf_dir, "doc_id", "text")).drop("kept_text")
 
 
+def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.read(spark, token_store.write(docs_of(spark, sf_dir, "doc_id", "text")))
+
+
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum_mix.mixture(docs_of(spark, sf_dir, "doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken", "position")
 
@@ -25,4 +29,14 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.hits(docs_of(spark, sf_dir, "doc_id", "text"), benchmark).drop("items", "hit")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op8_curriculum_mix, op9_decontaminate)}
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = docs_of(spark, sf_dir, "doc_id", "text")
+    return toxicity_ordinal.graded(docs, toxicity_ordinal.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = docs_of(spark, sf_dir, "doc_id", "text", "lang")
+    return byte_cnn_lang.identified(docs, byte_cnn_lang.fit(docs)).drop("windows")
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_substring_dedup, op4_toxicity, op5_token_store, op8_curriculum_mix, op9_decontaminate, op10_language_id)}
