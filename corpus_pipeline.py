@@ -1,8 +1,57 @@
-"""A five-stage corpus pipeline over documents; stages follow as their operators land."""
+"""A five-stage corpus pipeline over documents, counted as part of quire.llm.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+stage's docs.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quire.llm import byte_cnn_lang, chosen_path_join, curriculum_mix, decontaminate, token_store
+from quire.llm.shared import shared_dir
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or of no language (score below 0.3), go; lang becomes the prediction."""
+    return byte_cnn_lang.accepted(docs, byte_cnn_lang.fit(docs), least=0.3)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies stays."""
+    return chosen_path_join.representatives(docs)
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Hit words go; documents of which half or more is hit go as a whole."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, in training order."""
+    return curriculum_mix.mixed(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A store of token ids, and each document's place in it."""
+    return token_store.read(spark, token_store.write(docs))
+
+
+STAGES = [("language", language), ("near_copies", near_copies), ("benchmark", benchmark), ("mixture", mixture), ("tokens", tokens)]
+
+#: SQL can't express the model, the join's runs or the tokenizer.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each one's rows are written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs.write.parquet(f"{at}/{k}-{name}")
+            docs = spark.read.parquet(f"{at}/{k}-{name}")
+    return docs
