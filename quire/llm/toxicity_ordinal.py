@@ -25,6 +25,8 @@ from quire.llm.words import FOLDED, Words, chunks, mix, powers
 
 RESULT = "doc_id long, severity double, p_toxic double, grade int, toxic boolean"
 PREFIX = 5
+#: Texts of the sample that are taken apart at once.
+SLICE = 200
 
 
 def features(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -55,6 +57,25 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def counts_of(texts: list[str], is_bad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct features, and the bad and the other texts that have each; merged slice by slice."""
+    names, counts = np.zeros(0, np.uint64), np.zeros((0, 2), np.int64)
+    for a in range(0, len(texts), SLICE):
+        h, rows = features(Words(pa.array(texts[a : a + SLICE], pa.large_string()), FOLDED))
+        order = np.lexsort((rows, h))
+        h, rows = h[order], rows[order]
+        fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (rows[1:] != rows[:-1])]) if len(h) else np.zeros(0, bool)
+        h, bad = h[fresh], is_bad[a + rows[fresh]]
+        own, inverse = np.unique(h, return_inverse=True)
+        mine = np.stack([np.bincount(inverse, bad, len(own)), np.bincount(inverse, ~bad, len(own))], 1).astype(np.int64)
+        place = np.minimum(np.searchsorted(names, own), max(0, len(names) - 1))
+        known = names[place] == own if len(names) else np.zeros(len(own), bool)
+        counts[place[known]] += mine[known]
+        at = np.searchsorted(names, own[~known])
+        names, counts = np.insert(names, at, own[~known]), np.insert(counts, at, mine[~known], axis=0)
+    return names, counts[:, 0], counts[:, 1]
+
+
 def signed_root(bad: np.ndarray, fine: np.ndarray, n_bad: int, n_fine: int) -> np.ndarray:
     """The signed root of the log-likelihood ratio of each feature: positive if it leans to the bad texts."""
     part = lambda k, n: np.where(k > 0, k * np.log(np.maximum(k, 1) / (n * (bad + fine) / (n_bad + n_fine))), 0)
@@ -65,13 +86,7 @@ def fitted(texts: list[str], labels: list[int], least_z: float = 4.5, most_featu
     y = np.array(labels)
     if not (y > 0).any() or not (y == 0).any():
         return None
-    words = Words(pa.array(texts, pa.large_string()), FOLDED)
-    h, rows = features(words)
-    names, inverse = np.unique(h, return_inverse=True)
-    pairs = np.unique(inverse.astype(np.int64) * len(y) + rows)
-    feature, row = pairs // len(y), pairs % len(y)
-    bad = np.bincount(feature, y[row] > 0, len(names))
-    fine = np.bincount(feature, y[row] == 0, len(names))
+    names, bad, fine = counts_of(texts, y > 0)
     n_bad, n_fine = (y > 0).sum(), (y == 0).sum()
     z = signed_root(bad, fine, n_bad, n_fine)
     picked = np.flatnonzero(np.abs(z) >= least_z)
@@ -79,7 +94,8 @@ def fitted(texts: list[str], labels: list[int], least_z: float = 4.5, most_featu
     if not len(picked):
         return None
     chosen = names[picked]
-    row, feature, n = counted(chosen, words)
+    parts = [(row + a, feature, n) for a in range(0, len(y), SLICE) for row, feature, n in [counted(chosen, Words(pa.array(texts[a : a + SLICE], pa.large_string()), FOLDED))]]
+    row, feature, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     grade = np.minimum(y, grades)
     if y.max() == 1:
         strong = np.bincount(row[z[picked][feature] >= least_z], minlength=len(y))
@@ -130,7 +146,7 @@ def _score(shared):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 8000) -> dict | None:
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000) -> dict | None:
     """A model from about most_rows labelled rows, by id hash, whole texts."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
     n = known.count()
