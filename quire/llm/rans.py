@@ -14,7 +14,7 @@ import zlib
 
 import numpy as np
 
-LANES, EVERY, BITS = 512, 256, 16
+LANES, EVERY, BITS = 1024, 128, 16
 LOW = np.uint64(1 << 16)
 MAGIC = b"QRNS1\0"
 _HEAD = struct.Struct("<6sIIIII")  # magic, ids, lanes, checkpoints, words, CRC-32 of the ids

@@ -26,13 +26,13 @@ from pyspark.sql import functions as F
 
 from quire.llm import rans
 from quire.llm.shared import partitions, shared_dir
-from quire.llm.words import chunks, raw
+from quire.llm.words import SPACES, Words, chunks
 
 RAW = "part int, seq int, doc_ids array<bigint>, lengths array<int>, ids binary, before long, n_ids long, used binary"
 BLOCK = "part int, seq int, first_id long, doc_ids array<bigint>, lengths array<int>, coded binary"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
-#: Pieces that an encoder remembers before it starts anew.
-CACHE = 500_000
+#: Pieces that an encoder remembers before it starts anew (about 30 bytes each).
+CACHE = 1_500_000
 
 
 def default_tokenizer() -> str:
@@ -45,34 +45,82 @@ class Encoder:
     """Ids by way of a bounded memory of pieces.
 
     White space always separates this tokenizer's pieces, so a text's ids are those of its pieces between ASCII white
-    space, one after the other; each distinct piece goes through the tokenizers library once while it is remembered.
+    space, one after the other. Each distinct piece of a batch is looked up by its 64-bit hash in sorted arrays; the
+    tokenizers library encodes those that aren't remembered.
     """
 
     def __init__(self, path: str, end_id: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.end, self.known = Tokenizer.from_file(path), np.array([end_id], np.uint16), {}
-
-    def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
-        pieces = [t.split() for t in texts]
-        known = self.known
-        if len(known) > CACHE:
-            known.clear()
-        new = list({p for some in pieces for p in some if p not in known})
-        for a in range(0, len(new), 4096):
-            some = new[a : a + 4096]
-            for piece, e in zip(some, self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in some], add_special_tokens=False), strict=True):
-                known[piece] = np.array(e.ids, np.uint16).tobytes()
-        end = self.end.tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, some)) + end, np.uint16) for some in pieces]
+        self.tokenizer, self.end = Tokenizer.from_file(path), end_id
+        marks = sorted((i, t.content) for i, t in self.tokenizer.get_added_tokens_decoder().items() if not (t.normalized or t.lstrip or t.rstrip or t.single_word))
+        self.mark_id, self.mark = marks[-1] if marks else (None, None)
+        self.forget()
+
+    def forget(self) -> None:
+        self.h, self.at, self.n, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+
+    def encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of all pieces, and how many each has. Pieces go in runs, with an added token, which never merges, between them."""
+        if self.mark is None or self.mark in "\n".join(pieces):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            return np.array([i for some in ids for i in some], np.uint16), np.array([len(x) for x in ids], np.int64)
+        flat, n = [], []
+        runs = [self.mark.join(pieces[a : a + 256]) + self.mark for a in range(0, len(pieces), 256)]
+        for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False):
+            ids = np.array(e.ids, np.uint16)
+            cut = ids == self.mark_id
+            flat.append(ids[~cut])
+            n.append(np.diff(np.flatnonzero(cut), prepend=-1) - 1)
+        return np.concatenate(flat), np.concatenate(n)
+
+    def learn(self, words: Words, h: np.ndarray, first: np.ndarray) -> None:
+        """Remember the pieces of these word numbers; h: their hashes, ascending."""
+        data = words.raw.tobytes()
+        starts, ends = words.starts[first].tolist(), words.ends[first].tolist()
+        ids, n = self.encoded([data[a:b].decode("utf-8", "replace") for a, b in zip(starts, ends, strict=True)])
+        assert len(n) == len(h)
+        at = len(self.flat) + np.cumsum(n) - n
+        self.flat = np.concatenate([self.flat, ids])
+        place = np.searchsorted(self.h, h)
+        self.h, self.at, self.n = np.insert(self.h, place, h), np.insert(self.at, place, at), np.insert(self.n, place, n)
+
+    def __call__(self, column: pa.Array) -> list[np.ndarray]:
+        """The ids of each text, with the end id."""
+        if len(self.h) > CACHE:
+            self.forget()
+        words = Words(column, SPACES)
+        h, first, inverse = np.unique(words.hashes(), return_index=True, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.h, h), max(0, len(self.h) - 1))
+        new = self.h[place] != h if len(self.h) else np.ones(len(h), bool)
+        if new.any():
+            self.learn(words, h[new], first[new])
+        place = np.searchsorted(self.h, h)
+        n, at = self.n[place][inverse], self.at[place][inverse]
+        upto = np.concatenate([[0], np.cumsum(n)])
+        rows = len(words.counts)
+        out = np.full(int(upto[-1]) + rows, self.end, np.uint16)
+        row = np.repeat(words.rows(), n)
+        out[np.arange(len(row)) + row] = self.flat[np.repeat(at - upto[:-1], n) + np.arange(len(row))]
+        return np.split(out, (upto[words.bounds[1:]] + np.arange(1, rows + 1))[:-1]) if rows else []
+
+
+_encoders: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder_of(path: str, end_id: int) -> Encoder:
+    """One for each Python worker, which outlives tasks."""
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = Encoder(path, end_id)
+    return _encoders[path, end_id]
 
 
 def _packed(path: str, end_id: int, block_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder, seq = TaskContext.get().partitionId(), Encoder(path, end_id), 0
+        part, encoder, seq = TaskContext.get().partitionId(), encoder_of(path, end_id), 0
         held: list[np.ndarray] = []
         docs: list[int | None] = []
         size = before = 0
@@ -87,11 +135,8 @@ def _packed(path: str, end_id: int, block_ids: int):
             return pa.record_batch([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["part", "seq", "doc_ids", "lengths", "ids", "before", "n_ids", "used"])
 
         for whole in batches:
-            for batch in chunks(whole, limit=1 << 20):
-                data, offsets = raw(batch.column("text"))
-                data = data.tobytes()
-                texts = [data[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder(texts), strict=True):
+            for batch in chunks(whole, limit=2 << 20):
+                for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder(batch.column("text")), strict=True):
                     held.append(ids)
                     docs.append(doc)
                     size += len(ids)
