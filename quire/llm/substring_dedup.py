@@ -72,10 +72,14 @@ def _spans(group: np.ndarray, uid: np.ndarray, pos: np.ndarray, parts: int, send
         send(int(group[a]), _squeeze(uid[a:b][starts], np.diff([*starts, b - a]).astype(np.uint32), steps.astype(np.uint32)))
 
 
+#: Text bytes that are taken apart at once: the more, the fewer packed arrays for each block.
+PACKED_BYTES = 4 << 20
+
+
 def _phrases(window: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in chunks(whole):
+            for batch in chunks(whole, limit=PACKED_BYTES):
                 words = Words(batch.column("text"), SPACES)
                 ids, uid = numbers(batch.column("doc_id")), identity(batch.column("doc_id"), words)
                 h, at = words.grams(window)
@@ -157,7 +161,7 @@ def _texts(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in chunks(whole):
+            for batch in chunks(whole, limit=PACKED_BYTES):
                 words = Words(batch.column("text"), SPACES)
                 uid = identity(batch.column("doc_id"), words)
                 group = (uid % np.uint64(parts)).astype(np.int64)

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 BASE = 0x9E3779B97F4A7C15 | 1
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def space_table() -> np.ndarray:
