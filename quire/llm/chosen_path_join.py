@@ -208,9 +208,10 @@ def signed(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9995, spr
 
 
 def classes(docs: DataFrame, similarity: tuple[int, int] = (4, 5), recall: float = 0.9995, small: int = 512, spread: float = 1.5) -> DataFrame:
-    """doc_id, key, class_id, n_links, n_shingles: one row per row of docs.
+    """doc_id, key, class_id, n_links, n_shingles, root: one row per row of docs.
 
     class_id: the smallest doc_id of the class. n_links: different texts with similarity num / den or more.
+    root: the class itself, also where rows of several classes share a doc_id; null without words.
     """
     num, den = similarity
     rows = signed(docs, num / den, recall, spread)
@@ -241,16 +242,16 @@ def classes(docs: DataFrame, similarity: tuple[int, int] = (4, 5), recall: float
     by_node = nodes.select("node", "n_texts", F.col("doc_id").alias("least")).join(links, "node", "left").join(roots.withColumnRenamed("a", "node"), "node", "left")
     by_node = stored(by_node.select("node", (F.coalesce("links", F.lit(0)) + F.col("n_texts") - 1).alias("n_links"), "least", F.coalesce("root", "node").alias("root")), "nodes")
     heads = by_node.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least")).getField("least").alias("class_id"))
-    by_class = by_node.join(heads, "root").select("node", "n_links", "class_id")
-    some = live.select("doc_id", "key", "node", "n").join(by_class, "node").select("doc_id", "key", "class_id", "n_links", F.col("n").alias("n_shingles"))
-    return some.union(rows.filter("n = 0").select("doc_id", "key", F.col("doc_id").alias("class_id"), F.lit(0).cast("long"), F.col("n")))
+    by_class = by_node.join(heads, "root").select("node", "n_links", "class_id", "root")
+    some = live.select("doc_id", "key", "node", "n").join(by_class, "node").select("doc_id", "key", "class_id", "n_links", F.col("n").alias("n_shingles"), "root")
+    return some.union(rows.filter("n = 0").select("doc_id", "key", F.col("doc_id").alias("class_id"), F.lit(0).cast("long"), F.col("n"), F.lit(None).cast("long")))
 
 
 def representatives(docs: DataFrame, **how) -> DataFrame:
     """docs with one document of each class: the one with the smallest doc_id (of equal ids the smallest text key)."""
     found = classes(docs, **how)
     lone = found.filter("n_shingles = 0").select("doc_id", "key").distinct()
-    first = found.filter("n_shingles > 0").groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("f")).select("f.doc_id", "f.key")
+    first = found.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("f")).select("f.doc_id", "f.key")
     keep = stored(lone.union(first), "kept").select(F.col("doc_id").alias("keep_id"), F.col("key").alias("keep_key"))
     own = F.md5(F.coalesce(docs["text"], F.lit("")))
     kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep.keep_id) & (own == keep.keep_key), "left_semi")

@@ -21,7 +21,7 @@ def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chosen_path_join.classes(docs_of(spark, sf_dir, "doc_id", "text")).drop("key")
+    return chosen_path_join.classes(docs_of(spark, sf_dir, "doc_id", "text")).drop("key", "root")
 
 
 def op7_rare_digest(spark: SparkSession, sf_dir: str) -> DataFrame:

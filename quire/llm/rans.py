@@ -32,7 +32,7 @@ def scaled(counts: np.ndarray, bits: int = BITS) -> np.ndarray:
     freq = np.where(present, np.maximum(1, np.floor(share)), 0).astype(np.int64)
     excess = int(freq.sum()) - room
     if excess < 0:  # the rest goes by largest remainder
-        order = np.argsort(-(share - freq) * present, kind="stable")[:-excess]
+        order = np.argsort(np.where(present, freq - share, np.inf), kind="stable")[: min(-excess, int(present.sum()))]
         freq[order] += 1
         freq[np.argmax(counts)] += room - int(freq.sum())
     while excess > 0:  # too many raised to 1: take from the largest, never below 1
