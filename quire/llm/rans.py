@@ -37,7 +37,7 @@ def scaled(counts: np.ndarray, bits: int = BITS) -> np.ndarray:
         freq[np.argmax(counts)] += room - int(freq.sum())
     while excess > 0:  # too many raised to 1: take from the largest, never below 1
         order = np.argsort(-freq, kind="stable")
-        cut = np.minimum(freq[order] - 1, np.maximum(1, freq[order] * excess // room))
+        cut = np.minimum(np.maximum(0, freq[order] - 1), np.maximum(1, freq[order] * excess // room))
         cut = np.where(np.cumsum(cut) <= excess, cut, np.maximum(0, excess - (np.cumsum(cut) - cut)))
         freq[order] -= cut
         excess = int(freq.sum()) - room
