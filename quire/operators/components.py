@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from quire.plans.folding import folded
+
 
 def roots(edges: list[tuple]) -> dict:
     """The smallest member of each node's component."""
@@ -25,8 +26,8 @@ def roots(edges: list[tuple]) -> dict:
 def rule_components(crossings: DataFrame) -> DataFrame:
     """h_id and v_id of each page with the smallest h_id of their component."""
 
-    def one(key, frame: pd.DataFrame) -> pd.DataFrame:
-        found = roots([((0, h), (1, v)) for h, v in zip(frame.h_id, frame.v_id, strict=True)])
-        return pd.DataFrame([(*key, "hv"[kind], int(i), int(root[1])) for (kind, i), root in found.items()], columns=["doc_id", "page_no", "kind", "id", "root"])
+    def one(key: tuple, rows: list[tuple]) -> list[tuple]:
+        found = roots([((0, h), (1, v)) for h, v in rows])
+        return [(*key, "hv"[kind], i, root[1]) for (kind, i), root in found.items()]
 
-    return crossings.groupBy("doc_id", "page_no").applyInPandas(one, "doc_id long, page_no int, kind string, id long, root long")
+    return folded(crossings.select("doc_id", "page_no", "h_id", "v_id"), ["doc_id", "page_no"], ["h_id", "v_id"], one, "doc_id long, page_no int, kind string, id long, root long")

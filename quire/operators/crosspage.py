@@ -5,11 +5,13 @@ A document's page starts are the group (bounded by its pages); the folds carry o
 
 from __future__ import annotations
 
-import pandas as pd
+from itertools import groupby
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.config import IND_MIN_HITS, SAME_GRID, SAME_TABLE
+from quire.plans.folding import folded
 
 
 def close(a: list[float], b: list[float], tol: float) -> bool:
@@ -69,13 +71,14 @@ def counted_pieces(pages: list[tuple[int, list[tuple[str, list[float]]] | None]]
 def continued(blocks: DataFrame, policy=anchored_pieces) -> DataFrame:
     """doc_id, page_no, block, kind, table_no. blocks: doc_id, page_no, block, kind, starts; kind `failed` marks a failed page."""
 
-    def one(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def one(key: tuple, rows: list[tuple]) -> list[tuple]:
         pages = []
-        for page, some in frame.sort_values(["page_no", "block"]).groupby("page_no"):
-            pages.append((int(page), None if (some.kind == "failed").any() else [(k, list(s) if s is not None else []) for k, s in zip(some.kind, some.starts, strict=True)]))
-        return pd.DataFrame([(key[0], *r) for r in policy(pages)], columns=["doc_id", "page_no", "block", "kind", "table_no"])
+        for number, some in groupby(rows, key=lambda r: r[0]):
+            own = [(kind, starts or []) for _, _, kind, starts in some]
+            pages.append((number, None if any(kind == "failed" for kind, _ in own) else own))
+        return [(*key, *r) for r in policy(pages)]
 
-    return blocks.groupBy("doc_id").applyInPandas(one, "doc_id long, page_no int, block int, kind string, table_no int")
+    return folded(blocks.select("doc_id", "page_no", "block", "kind", "starts"), ["doc_id"], ["page_no", "block"], one, "doc_id long, page_no int, block int, kind string, table_no int")
 
 
 def tiers(starts: list[float], step: float) -> list[tuple[float, int]]:
@@ -98,11 +101,8 @@ def zero_of(found: list[tuple[float, int]]) -> float:
 def indent_zero(paras: DataFrame, step: float = 0.035) -> DataFrame:
     """Each document's zero of indents, from all its pages: the first of two passes, the second joins it."""
 
-    def one(key, frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = frame.sort_values(["page_no", "para"]).cx0.tolist()
-        return pd.DataFrame([(key[0], zero_of(tiers(ordered, step)))], columns=["doc_id", "zero"])
-
-    return paras.select("doc_id", "page_no", "para", "cx0").groupBy("doc_id").applyInPandas(one, "doc_id long, zero double")
+    one = lambda key, rows: [(*key, zero_of(tiers([cx0 for *_, cx0 in rows], step)))]
+    return folded(paras.select("doc_id", "page_no", "para", "cx0"), ["doc_id"], ["page_no", "para"], one, "doc_id long, zero double")
 
 
 def indented(paras: DataFrame, step: float = 0.035, most: int = 15) -> DataFrame:

@@ -7,9 +7,10 @@ import re
 import zipfile
 from xml.sax.saxutils import escape
 
-import pandas as pd
 from pyspark.sql import DataFrame
 
+from quire.plans.folding import folded
+
 _NUMBER, _ZERO = re.compile(r"-?[0-9]{1,10}(\.[0-9]+)?\Z"), re.compile(r"-?0[0-9]")
 _TYPES = '<?xml version="1.0" encoding="UTF-8"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>'
 _RELS = '<?xml version="1.0" encoding="UTF-8"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="xl/workbook.xml"/></Relationships>'
@@ -61,8 +62,5 @@ def read_back(blob: bytes) -> list[list[str]]:
 def workbooks(blocks: DataFrame) -> DataFrame:
     """doc_id, content: the table rows of each document in page order. A document is one group, as its file is one."""
 
-    def one(key, frame: pd.DataFrame) -> pd.DataFrame:
-        rows = [[c or "" for c in r] for some in frame.sort_values(["page_no", "block"])["rows"] for r in some]
-        return pd.DataFrame([(key[0], workbook(rows))], columns=["doc_id", "content"])
-
-    return blocks.filter("kind = 'table'").select("doc_id", "page_no", "block", "rows").groupBy("doc_id").applyInPandas(one, "doc_id long, content binary")
+    one = lambda key, rows: [(*key, workbook([[c or "" for c in r] for *_, some in rows for r in some]))]
+    return folded(blocks.filter("kind = 'table'").select("doc_id", "page_no", "block", "rows"), ["doc_id"], ["page_no", "block"], one, "doc_id long, content binary")
