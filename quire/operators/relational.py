@@ -76,8 +76,8 @@ def uncovered(segs: DataFrame, boxes: DataFrame, share: float = 0.8, inset: floa
     """Horizontal segments that no single text box covers for more than share of their length. segs: id, x0, x1, y."""
     b = boxes.select(*PAGE, "bx0", "bx1", "by0", "by1")
     pad = F.greatest(F.lit(inset) * (F.col("by1") - F.col("by0")), F.lit(2.0))
-    hit = segs.join(b, list(PAGE)).filter((F.col("y") > F.col("by0") + pad) & (F.col("y") < F.col("by1") - pad))
-    cover = (F.least("x1", "bx1") - F.greatest("x0", "bx0")) / (F.col("x1") - F.col("x0"))
+    hit = segs.join(b, list(PAGE)).filter((F.col("y") >= F.col("by0") + pad) & (F.col("y") <= F.col("by1") - pad))
+    cover = (F.least("x1", "bx1") - F.greatest("x0", "bx0")) / F.greatest(F.col("x1") - F.col("x0"), F.lit(1.0))
     covered = hit.groupBy(*PAGE, "id").agg(F.max(cover).alias("cover")).filter(F.col("cover") > share)
     return segs.join(covered, [*PAGE, "id"], "left_anti")
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quire.functions import patterns as P
 from quire.functions import text as X
-from quire.operators import components, crosspage, noise, page, relational as R
-from quire.sinks import markdown, spreadsheet
+from quire.operators import components, crosspage, grids, imaging, noise, page, recognition
+from quire.operators import relational as R
+from quire.sinks import document, markdown, searchable_pdf, spreadsheet
 from quire.sources import typeset as T
 
 QUERIES: dict = {}
@@ -258,7 +259,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit(1).alias("page_no"), at.alias("bx0"), (at + 500).alias("bx1"), key.alias("by0"), (key + 400).alias("by1"))
 
 
-@query(f"""WITH {_RULES}, {_BOXES} SELECT doc_id, h_id FROM h WHERE NOT EXISTS (SELECT 1 FROM bx WHERE bx.doc_id = h.doc_id AND h.y > by0 + greatest(.15 * (by1 - by0), 2) AND h.y < by1 - greatest(.15 * (by1 - by0), 2)
+@query(f"""WITH {_RULES}, {_BOXES} SELECT doc_id, h_id FROM h WHERE NOT EXISTS (SELECT 1 FROM bx WHERE bx.doc_id = h.doc_id AND h.y >= by0 + greatest(.15 * (by1 - by0), 2) AND h.y <= by1 - greatest(.15 * (by1 - by0), 2)
 AND (least(x1, bx1) - greatest(x0, bx0)) / (x1 - x0) > .8)""")
 def rules_off_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     segs = rules(spark, sf_dir)[0].withColumnRenamed("h_id", "id")
@@ -378,3 +379,84 @@ SELECT doc_id, page_no, table_no::INT AS table_no FROM f""")
 def doc_anchor_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = pieces(spark, sf_dir).withColumns({"block": F.lit(0), "kind": F.lit("table")})
     return crosspage.continued(rows).select("doc_id", "page_no", "table_no")
+
+
+# ---- rasters and recognition
+
+
+def ruled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ruled table drawn for each region: a row for each nation, two columns and one more for each region key."""
+    rows = T.table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("long").alias("doc_id")).agg(F.array_sort(F.collect_list("n_name")).alias("names"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        box = pa.struct([("t", pa.string()), *((k, pa.float64()) for k in ("x0", "y0", "x1", "y1"))])
+        for batch in batches:
+            for doc, names in zip(batch.column("doc_id").to_pylist(), batch.column("names").to_pylist(), strict=True):
+                columns, px = 2 + doc, np.full((600, 900), 255, np.uint8)
+                xs, ys = [50 + 800 * k // columns for k in range(columns + 1)], [40 + 60 * k for k in range(len(names) + 1)]
+                for y in ys:
+                    px[y : y + 2, xs[0] : xs[-1] + 2] = 0
+                for x in xs:
+                    px[ys[0] : ys[-1] + 2, x : x + 2] = 0
+                boxes = [{"t": f"{name}-{c}", "x0": xs[c] + 8.0, "y0": ys[r] + 20.0, "x1": xs[c] + 60.0, "y1": ys[r] + 40.0} for r, name in enumerate(names) for c in range(columns)]
+                yield pa.record_batch([pa.array([doc], pa.int64()), pa.array([1], pa.int32()), pa.array([900], pa.int32()), pa.array([600], pa.int32()), pa.array([px.tobytes()], pa.binary()), pa.array([boxes], pa.list_(box))], names=["doc_id", "page_no", "w", "h", "px", "boxes"])
+
+    return rows.mapInArrow(run, "doc_id long, page_no int, w int, h int, px binary, boxes array<struct<t string, x0 double, y0 double, x1 double, y1 double>>")
+
+
+@query("""WITH n AS (SELECT n_regionkey::BIGINT AS doc_id, n_name, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_name) - 1)::INT AS r FROM nation)
+SELECT doc_id, r, c::INT AS c, n_name || '-' || c AS text, true AS closed FROM (SELECT *, unnest(range(0, 2 + doc_id)) AS c FROM n)""")
+def raster_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grids.raster_grids(ruled_pages(spark, sf_dir)).select("doc_id", "r", "c", "text", F.forall("edges", lambda e: e).alias("closed"))
+
+
+@query("SELECT n_regionkey::BIGINT AS doc_id, 1::INT AS page_no, 0::INT AS spread, 0::DOUBLE AS angle FROM nation GROUP BY n_regionkey")
+def raster_preparation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imaging.prepared(ruled_pages(spark, sf_dir)).select("doc_id", "page_no", "spread", "angle")
+
+
+@query("""WITH f AS (SELECT conv_id, turn, text AS t FROM conversations), c AS (SELECT conv_id, turn, regexp_replace(lower(t), '[^a-z]', ' ', 'g') AS t FROM f),
+k AS (SELECT conv_id, turn, unnest(string_split(t, '')) AS x, generate_subscripts(string_split(t, ''), 1) AS p FROM c),
+d AS (SELECT *, lag(x) OVER (PARTITION BY conv_id, turn ORDER BY p) AS b FROM k)
+SELECT conv_id, turn, coalesce(string_agg(x, '' ORDER BY p) FILTER (x BETWEEN 'a' AND 'z' AND x IS DISTINCT FROM b), '') AS read FROM d GROUP BY ALL""")
+def greedy_decoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letters = F.array(*[F.lit(chr(97 + k)) for k in range(26)])
+    steps = F.split(F.regexp_replace(F.lower("text"), "[^a-z]", " "), "")
+    frame = lambda x: F.concat(F.array(F.when(x == " ", 0.9).otherwise(0.05)), F.transform(letters, lambda a: F.when(a == x, 0.9).otherwise(0.05)))
+    text, _ = recognition.decoded(F.transform(F.filter(steps, lambda x: x != ""), frame), letters)
+    return T.table(spark, sf_dir, "conversations").select("conv_id", "turn", text.alias("read"))
+
+
+@query("""SELECT c_custkey, CASE WHEN k = 0 THEN 'docx,xlsx' WHEN k = 1 THEN 'md' WHEN k = 2 THEN NULL WHEN k = 3 THEN NULL ELSE 'docx,pdf' END AS formats FROM (SELECT c_custkey, c_custkey % 5 AS k FROM customer)""")
+def format_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ("XLSX, docx", "markdown", "docs", "", "pdf+word/pdf")
+    t = F.element_at(F.array(*map(F.lit, names)), (F.pmod("c_custkey", F.lit(5)) + 1).cast("int"))
+    return T.table(spark, sf_dir, "customer").select("c_custkey", F.array_join(X.parse_formats(t), ",").alias("formats"))
+
+
+# ---- files
+
+
+@query()
+def word_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("s_suppkey")
+    items = T.cells(T.table(spark, sf_dir, "supplier"), F.floor(key / 500), F.pmod(key, F.lit(500)), [key, F.col("s_name"), F.col("s_nationkey"), money(F.col("s_acctbal"))], 240)
+    blocks = page.blocks_of(items, W, H)
+    numbered = blocks.join(crosspage.continued(blocks).select("doc_id", "page_no", "block", "table_no"), ["doc_id", "page_no", "block"], "left")
+    return document.documents(numbered).select("doc_id", F.sha2("content", 256).alias("sha"))
+
+
+@query()
+def searchable_pdf_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return searchable_pdf.documents(T.prose(T.table(spark, sf_dir, "documents")), W, H).select("doc_id", F.length("content").alias("size"))
+
+
+@query(f"""WITH {_PIECES} SELECT doc_id, pos, 24 * 72 / 150.0::DOUBLE AS size, least(greatest(round(100 * (10 * len(t)) * .48 / (greatest(len(t), 1) * 11.52), 6), 10), 400)::DOUBLE AS stretch,
+round((64 + 32 * (pos % 3)) * .48, 6)::DOUBLE AS x, round(2048 * .48 - (344 + 32 * (pos % 40)) * .48 + .15 * 11.52, 6)::DOUBLE AS baseline FROM pieces WHERE t <> ''""")
+def text_run_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.lit(72 / 150)
+    found = T.prose(T.table(spark, sf_dir, "documents")).withColumns(searchable_pdf.placement(k, k, F.lit(H) * k))
+    return found.select("doc_id", F.col("seq").alias("pos"), *[F.round(c, 6).alias(c) for c in ("size", "stretch", "x", "baseline")])
