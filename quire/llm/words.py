@@ -6,6 +6,7 @@ computed over that buffer at once, so no Python loop runs per word.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,6 +70,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def trim() -> None:
+    """Give freed memory back: Python workers outlive tasks, and several share an executor's limit."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library; its memory stays as it is
+        pass
+
+
 def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about limit bytes of text each; a longer text is a slice of its own."""
     if not batch.num_rows:
@@ -80,6 +90,7 @@ def chunks(batch: pa.RecordBatch, column: str = "text", limit: int = CHUNK_BYTES
         to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
         yield batch.slice(at, to - at)
         at = to
+    trim()
 
 
 def raw(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
