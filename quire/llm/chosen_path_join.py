@@ -29,10 +29,12 @@ from pyspark.sql import functions as F
 
 from quire.llm.components import components
 from quire.llm.shared import partitions, stored
-from quire.llm.words import FOLDED, Words, chunks, mix, rolled
+from quire.llm.words import FOLDED, Words, chunks, mix, rolled, trim
 
 SIGNED = "doc_id long, key string, node long, n long, paths array<bigint>, kids array<bigint>, parents array<bigint>"
 SHINGLE = 5
+#: Bytes of a token's hash that go to a bucket: two of 1000 tokens in a pair of sets are alike by chance in 1 of 10**8 pairs.
+SENT_BYTES = 6
 
 
 def shingles(words: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +107,7 @@ def _sent(small: int):
                 out: list[tuple] = []
                 size = 0
                 for k, (node, n_texts, buckets) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("node", "n_texts", "buckets")), strict=True)):
-                    tokens = g[bounds[k] : bounds[k + 1]].tobytes()
+                    tokens = g[bounds[k] : bounds[k + 1]].view(np.uint8).reshape(-1, 8)[:, :SENT_BYTES].tobytes()
                     mine = np.array(sorted(b["bucket"] for b in buckets), "<i8").tobytes()
                     for b in buckets:
                         blocks = -(-b["size"] // small)
@@ -114,7 +116,7 @@ def _sent(small: int):
                             i, j = min(block, other), max(block, other)
                             out.append((b["bucket"], i, j, block, node, n_texts, mine, tokens))
                             size += len(tokens)
-                            if size > 8 << 20:
+                            if size > 2 << 20:
                                 yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
                                 out, size = [], 0
                 if out:
@@ -123,6 +125,13 @@ def _sent(small: int):
     return run
 
 
+def unsent(tokens: bytes) -> np.ndarray:
+    short = np.frombuffer(tokens, np.uint8).reshape(-1, SENT_BYTES)
+    full = np.zeros((len(short), 8), np.uint8)
+    full[:, :SENT_BYTES] = short
+    return full.view(np.uint64).ravel()
+
+
 def common(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     """The size of every two sets' intersection."""
     owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -146,7 +155,7 @@ def linked(bucket: int, rows: list[tuple], across: bool, num: int, den: int) ->
     if len(rows) < 2:
         return []
     block, nodes, weight = (np.array(x, np.int64) for x in list(zip(*rows, strict=True))[:3])
-    sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+    sets = [unsent(r[4]) for r in rows]
     size = np.array([len(s) for s in sets])
     # inter / (a + b - inter) >= num / den
     near = common(sets) * (num + den) >= num * (size[:, None] + size)
@@ -184,12 +193,14 @@ def _brute(num: int, den: int):
             return pa.record_batch([pa.array(x, pa.int64()) for x in (a, b, n)], names=["node", "root", "links"])
 
         for batch in batches:
-            for bucket, i, j, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (bucket, i, j) != key:
-                    if len(held) > 1:
-                        yield out()
-                    key, held = (bucket, i, j), []
-                held.append(row)
+            for a in range(0, batch.num_rows, 500):
+                for bucket, i, j, *row in zip(*(c.to_pylist() for c in batch.slice(a, 500).columns), strict=True):
+                    if (bucket, i, j) != key:
+                        if len(held) > 1:
+                            yield out()
+                        key, held = (bucket, i, j), []
+                    held.append(row)
+            trim()
         if len(held) > 1:
             yield out()
 
