@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,3 +44,21 @@ def dealt(df: DataFrame, n: int, column: str) -> DataFrame:
 
 def docs_of(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
+
+
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run inside hand Python at most so many rows at once; the session's own setting returns afterwards."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of finished plans that nothing refers to any more, instead of at some later collection."""
+    gc.collect()
+    spark._jvm.System.gc()

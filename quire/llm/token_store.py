@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import rans
-from quire.llm.shared import partitions, shared_dir
+from quire.llm.shared import batches_of, partitions, shared_dir
 from quire.llm.words import SPACES, Words, chunks
 
 RAW = "part int, seq int, doc_ids array<bigint>, lengths array<int>, ids binary, before long, n_ids long, used binary"
 BLOCK = "part int, seq int, first_id long, doc_ids array<bigint>, lengths array<int>, coded binary"
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 #: Pieces that an encoder remembers before it starts anew (about 30 bytes each).
-CACHE = 1_500_000
+CACHE = 400_000
 
 
 def default_tokenizer() -> str:
@@ -135,7 +135,7 @@ def _packed(path: str, end_id: int, block_ids: int):
             return pa.record_batch([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["part", "seq", "doc_ids", "lengths", "ids", "before", "n_ids", "used"])
 
         for whole in batches:
-            for batch in chunks(whole, limit=2 << 20):
+            for batch in chunks(whole, limit=1 << 20):
                 for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder(batch.column("text")), strict=True):
                     held.append(ids)
                     docs.append(doc)
@@ -181,7 +181,8 @@ def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None
     path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     ordered = docs.select("doc_id", "text").repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
     scratch = f"{path}/raw"
-    ordered.mapInArrow(_packed(tokenizer or default_tokenizer(), end_id, block_ids), RAW).write.parquet(scratch)
+    with batches_of(spark, 2000):
+        ordered.mapInArrow(_packed(tokenizer or default_tokenizer(), end_id, block_ids), RAW).write.parquet(scratch)
     packed = spark.read.schema(RAW).parquet(scratch)
     sizes = {r.part: r.n for r in packed.groupBy("part").agg(F.sum("n_ids").alias("n")).toLocalIterator()}  # a row for each partition
     first, total = {}, 0
