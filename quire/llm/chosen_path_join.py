@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.components import components
-from quire.llm.shared import partitions, stored
+from quire.llm.shared import partitions, release, stored
 from quire.llm.words import FOLDED, Words, chunks, mix, rolled, trim
 
 SIGNED = "doc_id long, key string, node long, n long, paths array<bigint>, kids array<bigint>, parents array<bigint>"
@@ -248,6 +248,8 @@ def classes(docs: DataFrame, similarity: tuple[int, int] = (4, 5), recall: float
     sent = needed.mapInArrow(_sent(small), "bucket long, i int, j int, block int, node long, n_texts long, others binary, tokens binary")
     dealt = sent.repartition(partitions(docs.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     found = stored(dealt.mapInArrow(_brute(num, den), "node long, root long, links long"), "found")
+    del needed, sent, dealt
+    release(docs.sparkSession)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     by_node = nodes.select("node", "n_texts", F.col("doc_id").alias("least")).join(links, "node", "left").join(roots.withColumnRenamed("a", "node"), "node", "left")
