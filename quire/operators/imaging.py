@@ -39,14 +39,14 @@ def opened(bits: np.ndarray, horizontal: bool, least: int) -> np.ndarray:
     return marks.cumsum(1)[:, :-1] > 0
 
 
-def blobs(bits: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """x, y, width, height and area of each 8-connected component, in raster order of their first pixels.
+def labelled(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start, end and component of every run; components count from 0 in raster order of their first pixels.
 
     Runs are the nodes; runs of neighbouring rows that touch, also at a corner, are linked.
     """
     y, start, end = row_runs(bits)
     if not len(y):
-        return []
+        return y, start, end, y
     first = np.searchsorted(y, np.arange(bits.shape[0] + 1))
     links = [(k, k) for k in range(len(y))]
     for row in range(1, bits.shape[0]):
@@ -58,9 +58,14 @@ def blobs(bits: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         hi = np.searchsorted(start[above], end[here], "right")
         links += [(b + k, a + j) for k, (p, q) in enumerate(zip(lo.tolist(), hi.tolist(), strict=True)) for j in range(p, q)]
     root = roots(links)
+    return y, start, end, np.unique([root[k] for k in range(len(y))], return_inverse=True)[1]
+
+
+def blobs(bits: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """x, y, width, height and area of each 8-connected component, in raster order of their first pixels."""
     found: dict[int, list[int]] = {}
-    for k, (row, s, e) in enumerate(zip(y.tolist(), start.tolist(), end.tolist(), strict=True)):
-        box = found.setdefault(root[k], [s, row, e, row + 1, 0])
+    for row, s, e, k in zip(*(v.tolist() for v in labelled(bits)), strict=True):
+        box = found.setdefault(k, [s, row, e, row + 1, 0])
         box[0], box[2], box[3], box[4] = min(box[0], s), max(box[2], e), row + 1, box[4] + e - s
     return [(a, b, c - a, d - b, n) for _, (a, b, c, d, n) in sorted(found.items())]
 
