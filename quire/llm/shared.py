@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -59,6 +60,12 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished plans that nothing refers to any more, instead of at some later collection."""
+    """Let Spark drop the shuffle files of finished plans that nothing refers to any more, instead of at some later collection.
+
+    A plan's shuffles are held until the gateway has told the JVM of the objects that Python gave up (once a second), and
+    until the next job takes the last one's place in the scheduler.
+    """
     gc.collect()
+    spark.range(1).count()
+    time.sleep(1.5)
     spark._jvm.System.gc()
