@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quire.functions import interface
 from quire.functions import patterns as P
 from quire.functions import text as X
-from quire.operators import components, crosspage, grids, imaging, noise, page, recognition
+from quire.operators import components, crosspage, figures, grids, imaging, noise, page, recognition, styles
 from quire.operators import relational as R
 from quire.sinks import document, markdown, searchable_pdf, spreadsheet
+from quire.sources import jobs
 from quire.sources import typeset as T
 
 QUERIES: dict = {}
@@ -460,3 +462,90 @@ def text_run_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.lit(72 / 150)
     found = T.prose(T.table(spark, sf_dir, "documents")).withColumns(searchable_pdf.placement(k, k, F.lit(H) * k))
     return found.select("doc_id", F.col("seq").alias("pos"), *[F.round(c, 6).alias(c) for c in ("size", "stretch", "x", "baseline")])
+
+
+# ---- figures, looks, texts and the queue
+
+
+def stamped_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ruled pages with a black square below the table."""
+    pages = ruled_pages(spark, sf_dir)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            rows = batch.to_pylist()
+            for r in rows:
+                px = np.frombuffer(r["px"], np.uint8).reshape(r["h"], r["w"]).copy()
+                px[400:460, 400:460] = 0
+                r["px"] = px.tobytes()
+            yield pa.RecordBatch.from_pylist(rows, batch.schema)
+
+    return pages.mapInArrow(run, pages.schema)
+
+
+@query("SELECT n_regionkey::BIGINT AS doc_id, 0::INT AS figure, 397::INT AS x0, 397::INT AS y0, 463::INT AS x1, 463::INT AS y1, 'center' AS align FROM nation GROUP BY n_regionkey")
+def figure_crops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = figures.figures_of(stamped_pages(spark, sf_dir))
+    return found.select("doc_id", "figure", "x0", "y0", "x1", "y1", figures.alignment(F.col("x0"), F.col("x1"), F.lit(900)).alias("align"))
+
+
+@query("""WITH b AS (SELECT l_orderkey AS k, l_linenumber AS n, max(l_quantity) AS y FROM lineitem GROUP BY ALL), f AS (SELECT o_orderkey AS k, o_totalprice % 50 AS y FROM orders),
+a AS (SELECT f.k, min(n) FILTER (b.y > f.y) AS first, count(n) AS n FROM f LEFT JOIN b ON b.k = f.k GROUP BY f.k)
+SELECT a.k AS doc_id, CASE WHEN first IS NULL THEN a.n ELSE (SELECT count(*) FROM b WHERE b.k = a.k AND b.n < first) END::INT AS place FROM a""")
+def figure_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = F.lit(1).alias("page_no")
+    numbered = T.table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("y0"))  # line numbers repeat; blocks' don't
+    blocks = numbered.select(F.col("l_orderkey").alias("doc_id"), one, F.col("l_linenumber").alias("block"), "y0")
+    figs = T.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), one, F.lit(0).alias("figure"), (F.col("o_totalprice") % 50).alias("y0"))
+    return figures.interleaved(blocks, figs).filter("kind = 'figure'").select("doc_id", F.col("at").alias("place"))
+
+
+@query()
+def paragraph_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paras = page.paragraphs_of(T.prose(T.table(spark, sf_dir, "documents")), W, H)
+    return styles.styled(crosspage.indented(paras)).select("doc_id", "page_no", "para", "style", "size", "bold", "align", "left")
+
+
+@query("""SELECT n_nationkey, round(greatest(9000 * ((1 + n_nationkey) / 100.0::DOUBLE) / .9, 680.4))::INT AS first, round(9000 * (.9 - (1 + n_nationkey) / 100.0::DOUBLE) / .9)::INT AS second,
+round(9000 * (1 + n_nationkey) / (5.0 + n_nationkey))::INT AS ruled FROM nation""")
+def column_widths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    step = (F.col("n_nationkey") + 1) / 100
+    free = styles.table_widths(F.array(F.lit(0.1), F.lit(0.1) + step), 9000.0)
+    ruled = styles.grid_widths(F.array(F.lit(0.0), step, step + 0.04), 9000.0)
+    return T.table(spark, sf_dir, "nation").select("n_nationkey", free[0].alias("first"), free[1].alias("second"), ruled[0].alias("ruled"))
+
+
+_TAGS = {"zh_TW.UTF-8": "zh-Hant", "zh-Hans-SG": "zh", "EN_us": "en", "fr": None, "de": "de", "ja_JP": "ja", "ko.eucKR": "ko"}
+
+
+@query(f"""SELECT c_custkey, CASE c_custkey % 7 {" ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(_TAGS.values()) if v)} END AS language FROM customer""")
+def locale_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tag = F.element_at(F.array(*map(F.lit, _TAGS)), (F.pmod("c_custkey", F.lit(7)) + 1).cast("int"))
+    return T.table(spark, sf_dir, "customer").select("c_custkey", interface.language(tag).alias("language"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '—— pages ' || c_custkey || '–' || (c_custkey + 2) || ' of the original ——'
+WHEN 1 THEN '—— Seiten ' || c_custkey || '–' || (c_custkey + 2) || ' des Originals ——' ELSE '—— páginas ' || c_custkey || '–' || (c_custkey + 2) || ' del original ——' END AS mark FROM customer""")
+def output_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lang = F.element_at(F.array(*map(F.lit, ("en", "de", "es"))), (F.pmod("c_custkey", F.lit(3)) + 1).cast("int"))
+    return T.table(spark, sf_dir, "customer").select("c_custkey", interface.mark("pages", lang, F.col("c_custkey"), F.col("c_custkey") + 2).alias("mark"))
+
+
+@query("""WITH p AS (SELECT '/in/' || (c_custkey % 100) || CASE WHEN c_custkey % 3 = 0 THEN '.txt' ELSE '.PDF' END AS path FROM customer), q AS (SELECT DISTINCT '/in/' || s_suppkey || '.PDF' AS path FROM supplier),
+u AS (SELECT path, count(*) AS n, path IN (FROM q) AS held, path LIKE '%.PDF' AS pdf FROM p GROUP BY path)
+SELECT count(*) FILTER (pdf AND NOT held)::BIGINT AS added, (sum(n) FILTER (pdf) - count(*) FILTER (pdf AND NOT held))::BIGINT AS dup, (sum(n) FILTER (NOT pdf))::BIGINT AS skipped FROM u""")
+def queue_addition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("c_custkey")
+    paths = T.table(spark, sf_dir, "customer").select(F.concat(F.lit("/in/"), key % 100, F.when(key % 3 == 0, ".txt").otherwise(".PDF")).alias("path"))
+    return jobs.addition(paths, T.table(spark, sf_dir, "supplier").select(F.concat(F.lit("/in/"), "s_suppkey", F.lit(".PDF")).alias("path")))
+
+
+@query("""WITH s AS (SELECT o_orderkey, (o_orderkey % 5 + (o_orderkey % 10) / 10.0::DOUBLE) / 5 AS s FROM orders)
+SELECT o_orderkey, round(least(s, 1.0), 9)::DOUBLE AS share, CASE WHEN least(s, 1.0) > .05 THEN floor(600 * (1 - least(s, 1.0)) / least(s, 1.0))::BIGINT END AS seconds FROM s""")
+def queue_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    share, left = jobs.progress(key % 5, F.lit(5), key % 10, F.lit(10), F.lit(600))
+    return T.table(spark, sf_dir, "orders").select("o_orderkey", F.round(share, 9).alias("share"), left.alias("seconds"))
