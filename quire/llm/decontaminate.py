@@ -3,7 +3,9 @@
 Words are maximal runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z. A window is `n` consecutive words of
 an item; an item of fewer words, but not none, is one window. Window hashes are looked up in a broadcast sorted array
 and every hit is verified word by word. The benchmark is broadcast only in slices whose text stays under `slice_bytes`;
-a larger benchmark is scanned slice by slice and the hits of all slices are united.
+a larger benchmark is scanned slice by slice. Each slice scans the input texts; the hits of all slices are united by text
+(its SHA-256, as hits depend on the text alone) before any word is cut or any share is judged, so the slices don't change
+the result. The united hits are broadcast up to a measured size, else joined with a salt.
 
 Defined cases: null or empty texts have no words; equal windows of several items count for each; rows with one item_id
 are one item with all their windows; a null item_id is skipped in the digest of ids but its words count as hit; an
@@ -22,9 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.shared import partitions, stored
 from quire.llm.words import FOLD_TO_SPACES, FOLDED, Words, chunks, mix, rolled
 
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, hit binary"
+_COLUMNS = [c.split()[0] for c in RESULT.split(", ")]
+_SLICE = ["text_sha256", "n_words", "items", "hit"]
 _BITS = 22
 
 
@@ -53,33 +58,42 @@ def window_sets(items: list[tuple[str | None, str | None]], n: int) -> dict[int,
     return out
 
 
+def _scanner(sets: dict):
+    """Words and digest of a batch, by the window sets of a benchmark."""
+    filters = {}
+    for size, (hashes, _) in sets.items():
+        filters[size] = np.zeros(1 << _BITS, bool)
+        filters[size][hashes >> np.uint64(64 - _BITS)] = True
+
+    def scan(batch: pa.RecordBatch) -> tuple[Words, pa.RecordBatch]:
+        words = Words(batch.column("text"), FOLDED)
+        h = words.hashes()
+        hits: dict[int, list[tuple[int, int, list]]] = {}
+        data = words.bytes.tobytes()
+        rows = words.rows()
+        for size, (hashes, windows) in sets.items():
+            g, at = words.grams(size, h)
+            maybe = np.flatnonzero(filters[size][g >> np.uint64(64 - _BITS)])
+            slot = np.searchsorted(hashes, g[maybe])
+            slot[slot == len(hashes)] = 0
+            good = hashes[slot] == g[maybe]
+            for k, s in zip(at[maybe[good]].tolist(), slot[good].tolist(), strict=True):
+                own = tuple(data[words.starts[k + i] : words.ends[k + i]] for i in range(size))
+                for window, items in windows[s]:
+                    if own == window:
+                        row = int(rows[k])
+                        hits.setdefault(row, []).append((k - int(words.bounds[row]), size, items))
+        return words, _digest(batch.column("doc_id"), words.counts, hits)
+
+    return scan
+
+
 def _scan(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets = shared.value
-        filters = {}
-        for size, (hashes, _) in sets.items():
-            filters[size] = np.zeros(1 << _BITS, bool)
-            filters[size][hashes >> np.uint64(64 - _BITS)] = True
+        scan = _scanner(shared.value)
         for whole in batches:
             for batch in chunks(whole):
-                words = Words(batch.column("text"), FOLDED)
-                h = words.hashes()
-                hits: dict[int, list[tuple[int, int, list]]] = {}
-                data = words.bytes.tobytes()
-                rows = words.rows()
-                for size, (hashes, windows) in sets.items():
-                    g, at = words.grams(size, h)
-                    maybe = np.flatnonzero(filters[size][g >> np.uint64(64 - _BITS)])
-                    slot = np.searchsorted(hashes, g[maybe])
-                    slot[slot == len(hashes)] = 0
-                    good = hashes[slot] == g[maybe]
-                    for k, s in zip(at[maybe[good]].tolist(), slot[good].tolist(), strict=True):
-                        own = tuple(data[words.starts[k + i] : words.ends[k + i]] for i in range(size))
-                        for window, items in windows[s]:
-                            if own == window:
-                                row = int(rows[k])
-                                hits.setdefault(row, []).append((k - int(words.bounds[row]), size, items))
-                yield _digest(batch.column("doc_id"), words.counts, hits)
+                yield scan(batch)[1]
 
     return run
 
@@ -96,7 +110,7 @@ def _digest(ids: pa.Array, counts: np.ndarray, hits: dict) -> pa.RecordBatch:
         shas[row] = hashlib.sha256(",".join(names).encode()).hexdigest()
     return pa.record_batch(
         [ids.cast(pa.int64()), pa.array(counts.astype(np.int64)), pa.array(n_hit), pa.array(n_items), pa.array(shas, pa.string()), pa.array(n_hit > 0), pa.array(items, pa.list_(pa.string())), pa.array(masks, pa.binary())],
-        names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "hit"],
+        names=_COLUMNS,
     )
 
 
@@ -107,81 +121,172 @@ def slices(benchmark: DataFrame, slice_bytes: int) -> list[DataFrame]:
     return [benchmark] if n == 1 else [benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) for k in range(n)]
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, slice_bytes: int = 16 << 20) -> DataFrame:
+def _scan_slice(shared):
+    """Of rows that a slice hits: the text's hash, its number of words, the items and the hit words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = _scanner(shared.value)
+        for whole in batches:
+            for batch in chunks(whole):
+                found = scan(batch)[1]
+                yield pa.RecordBatch.from_arrays([batch.column("text_sha256"), *(found.column(c) for c in _SLICE[1:])], names=_SLICE).filter(found.column("contaminated"))
+
+    return run
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Neighbouring rows of one text as one row with all their items and hit words."""
+    held: tuple | None = None
+    out: list[tuple] = []
+
+    def flushed() -> pa.RecordBatch:
+        sha, n_words, items, masks = zip(*((s, n, sorted(x), np.packbits(m).tobytes()) for s, n, x, m in out), strict=True) if out else ((),) * 4
+        return pa.record_batch([pa.array(sha, pa.string()), pa.array(n_words, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(masks, pa.binary())], names=_SLICE)
+
+    for batch in batches:
+        for sha, n_words, items, bits in zip(*(batch.column(c).to_pylist() for c in _SLICE), strict=True):
+            mask = np.unpackbits(np.frombuffer(bits, np.uint8), count=n_words).astype(bool)
+            if held is not None and held[0] == sha:
+                held[2].update(items)
+                held[3][mask] = True
+                continue
+            if held is not None:
+                out.append(held)
+            held = (sha, n_words, set(items), mask)
+        yield flushed()
+        out = []
+    if held is not None:
+        out.append(held)
+        yield flushed()
+
+
+def _hit_texts(docs: DataFrame, parts: list[DataFrame], n: int) -> DataFrame:
+    """One row for each different text that any slice hits; see _SLICE. Every slice scans the texts as they came.
+
+    A text's hits depend on nothing but the text, so it is known by its SHA-256. One slice is held at a time.
+    """
+    spark, schema = docs.sparkSession, "text_sha256 string, n_words long, items array<string>, hit binary"
+    texts = docs.select(F.lit(0).cast("long").alias("doc_id"), "text", F.sha2("text", 256).alias("text_sha256"))
+    found = []
+    for some in parts:
+        shared = spark.sparkContext.broadcast(window_sets([(r.item_id, r.text) for r in some.toLocalIterator()], n))
+        found.append(stored(texts.mapInArrow(_scan_slice(shared), schema).dropDuplicates(["text_sha256"]), "slice"))
+        shared.destroy()
+    rows = reduce(DataFrame.union, found)
+    return stored(rows.repartition(partitions(spark), "text_sha256").sortWithinPartitions("text_sha256").mapInArrow(_merge, schema), "hits")
+
+
+def _with_hits(rows: DataFrame, sha: str, found: DataFrame, names: dict[str, str], broadcast_bytes: int, salts: int) -> DataFrame:
+    """rows, each with the found columns of its text's hash under new names; null where no slice hit it."""
+    size = found.agg(F.coalesce(F.sum(F.octet_length("hit") + F.octet_length(F.array_join("items", ",", "")) + 128), F.lit(0)).alias("b")).first().b
+    found = found.select(F.col("text_sha256").alias(sha), *(F.col(a).alias(b) for a, b in names.items()))
+    if size <= broadcast_bytes:
+        return rows.join(F.broadcast(found), sha, "left").drop(sha)
+    salt = _free(rows, f"{sha}_salt")
+    salted = found.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")).join(salted, [sha, salt], "left").drop(sha, salt)
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in chunks(whole):
+            counts = Words(batch.column("text"), FOLDED).counts
+            yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(counts.astype(np.int64)), batch.column("text_sha256")], names=["doc_id", "n_words", "text_sha256"])
+
+
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of rows from the hits of all slices."""
+    for batch in batches:
+        n_hit, shas, masks = [], [], batch.column("hit").to_pylist()
+        items = [x or [] for x in batch.column("items").to_pylist()]
+        for names, bits in zip(items, masks, strict=True):
+            n_hit.append(0 if bits is None else int(np.unpackbits(np.frombuffer(bits, np.uint8)).sum()))
+            shas.append(hashlib.sha256(",".join(names).encode()).hexdigest())
+        columns = [pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(shas, pa.string()), pa.array([x > 0 for x in n_hit], pa.bool_()), pa.array(items, pa.list_(pa.string())), pa.array(masks, pa.binary())]
+        yield pa.record_batch([batch.column("doc_id"), batch.column("n_words"), *columns], names=_COLUMNS)
+
+
+def hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, slice_bytes: int = 16 << 20, broadcast_bytes: int = 32 << 20, salts: int = 64) -> DataFrame:
     """One row per row of docs with its hit words and items; see RESULT. hit: packed bits of the words, null if none."""
     spark = docs.sparkSession
     docs, benchmark = docs.select("doc_id", "text"), benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    parts = []
-    for some in slices(benchmark, slice_bytes):
-        items = [(r.item_id, r.text) for r in some.toLocalIterator()]
-        parts.append(docs.mapInArrow(_scan(spark.sparkContext.broadcast(window_sets(items, n))), RESULT))
+    parts = slices(benchmark, slice_bytes)
     if len(parts) == 1:
-        return parts[0]
-    return _united(reduce(DataFrame.union, (p.withColumn("slice", F.lit(k)) for k, p in enumerate(parts))))
+        items = [(r.item_id, r.text) for r in benchmark.toLocalIterator()]
+        return docs.mapInArrow(_scan(spark.sparkContext.broadcast(window_sets(items, n))), RESULT)
+    rows = docs.withColumn("text_sha256", F.sha2("text", 256)).mapInArrow(_count, "doc_id long, n_words long, text_sha256 string")
+    joined = _with_hits(rows, "text_sha256", _hit_texts(docs, parts, n), {"items": "items", "hit": "hit"}, broadcast_bytes, salts)
+    return joined.mapInArrow(_united, RESULT)
 
 
-def _united(rows: DataFrame) -> DataFrame:
-    """Hits of all slices, by document; a repeated doc_id is one row here for each number of words."""
+def _cut(batch: pa.RecordBatch, words: Words, hit: list[bytes | None], share: float) -> pa.RecordBatch:
+    """The batch without its hit words, and without rows of which share or more is hit."""
+    texts = batch.column("text").to_pylist()
+    keep = np.ones(len(texts), bool)
+    data = words.raw.tobytes()
+    for row, bits in enumerate(hit):
+        if bits is None:
+            continue
+        mask = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(words.counts[row])).astype(bool)
+        if mask.sum() >= share * len(mask):
+            keep[row] = False
+            continue
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]])))
+        first, base = int(words.bounds[row]), int(words.offsets[row])
+        left, out = base, []
+        for a, b in itertools.batched(edge.tolist(), 2):
+            out.append(data[left : words.starts[first + a]])
+            left = int(words.ends[first + b - 1])
+        out.append(data[left : words.offsets[row + 1]])
+        texts[row] = b"".join(out).decode("utf-8", "replace")
+    sizes = pa.array([None if t is None else len(t) for t in texts], pa.int64())
+    columns = {name: batch.column(name) for name in batch.schema.names} | {"text": pa.array(texts, pa.string())}
+    if "n_chars" in columns:
+        columns["n_chars"] = sizes.cast(batch.schema.field("n_chars").type)
+    return pa.RecordBatch.from_pydict(columns).filter(pa.array(keep))
 
-    def one(key, frames):
-        frame = frames
-        first = frame[frame["slice"] == frame["slice"].min()]
-        size = int(frame.n_words.iloc[0])
-        mask = np.zeros(size, bool)
-        names: set[str] = set()
-        for some, bits in zip(frame["items"], frame["hit"], strict=True):
-            names.update(some)
-            if bits is not None:
-                mask |= np.unpackbits(np.frombuffer(bits, np.uint8), count=size).astype(bool)
-        ordered = sorted(names)
-        first = first.assign(n_hit=int(mask.sum()), n_items=len(ordered), items_sha256=hashlib.sha256(",".join(ordered).encode()).hexdigest(), contaminated=bool(mask.any()))
-        first["items"] = [ordered] * len(first)
-        first["hit"] = [np.packbits(mask).tobytes() if mask.any() else None] * len(first)
-        return first.drop(columns="slice")
 
-    return rows.groupBy("doc_id", "n_words").applyInPandas(one, RESULT)
+def _without_spans(shared, share: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scan = _scanner(shared.value)
+        for whole in batches:
+            for batch in chunks(whole):
+                words, found = scan(batch)
+                yield _cut(batch, words, found.column("hit").to_pylist(), share)
 
+    return run
 
-def _without_spans(shared, share: float):
+
+def _without_joined(hit: str, share: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = _scan(shared)
         for whole in batches:
             for batch in chunks(whole):
-                (found,) = scan(iter([batch.select(["doc_id", "text"])])) if batch.num_rows <= 1 else (pa.Table.from_batches(list(scan(iter([batch.select(["doc_id", "text"])])))).combine_chunks().to_batches()[0],)
-                hit, words = found.column("hit").to_pylist(), Words(batch.column("text"), FOLDED)
-                n_hit, n_words = found.column("n_hit").to_numpy(), found.column("n_words").to_numpy()
-                keep = ~((n_hit > 0) & (n_hit >= share * n_words))
-                texts = batch.column("text").to_pylist()
-                data = words.raw.tobytes()
-                for row, bits in enumerate(hit):
-                    if bits is None or not keep[row]:
-                        continue
-                    mask = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(n_words[row])).astype(bool)
-                    edge = np.flatnonzero(np.diff(np.concatenate([[False], mask, [False]])))
-                    first, base = int(words.bounds[row]), int(words.offsets[row])
-                    left, out = base, []
-                    for a, b in itertools.batched(edge.tolist(), 2):
-                        out.append(data[left : words.starts[first + a]])
-                        left = int(words.ends[first + b - 1])
-                    out.append(data[left : words.offsets[row + 1]])
-                    texts[row] = b"".join(out).decode("utf-8", "replace")
-                sizes = pa.array([None if t is None else len(t) for t in texts], pa.int64())
-                columns = {name: batch.column(name) for name in batch.schema.names} | {"text": pa.array(texts, pa.string())}
-                if "n_chars" in columns:
-                    columns["n_chars"] = sizes.cast(batch.schema.field("n_chars").type)
-                yield pa.RecordBatch.from_pydict(columns).filter(pa.array(keep))
+                own = batch.select([c for c in batch.schema.names if c != hit])
+                yield _cut(own, Words(own.column("text"), FOLDED), batch.column(hit).to_pylist(), share)
 
     return run
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: float = 0.5, slice_bytes: int = 16 << 20) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, drop_share: float = 0.5, slice_bytes: int = 16 << 20, broadcast_bytes: int = 32 << 20, salts: int = 64) -> DataFrame:
     """docs without the hit words; a document of which drop_share or more is hit goes as a whole.
 
-    All columns stay; n_chars follows the text. Each slice of a large benchmark is one more pass.
+    All columns stay; n_chars follows the text. Each slice of a large benchmark is one more pass over the texts as they
+    came; words are cut, and drop_share is judged, once, by the hits of all slices.
     """
     spark = docs.sparkSession
     benchmark = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
-    for some in slices(benchmark, slice_bytes):
-        items = [(r.item_id, r.text) for r in some.toLocalIterator()]
-        docs = docs.mapInArrow(_without_spans(spark.sparkContext.broadcast(window_sets(items, n)), drop_share), docs.schema)
-    return docs
+    parts = slices(benchmark, slice_bytes)
+    if len(parts) == 1:
+        items = [(r.item_id, r.text) for r in benchmark.toLocalIterator()]
+        return docs.mapInArrow(_without_spans(spark.sparkContext.broadcast(window_sets(items, n)), drop_share), docs.schema)
+    sha, hit = _free(docs, "text_sha256"), _free(docs, "hit")
+    rows = _with_hits(docs.withColumn(sha, F.sha2("text", 256)), sha, _hit_texts(docs, parts, n), {"hit": hit}, broadcast_bytes, salts)
+    return rows.mapInArrow(_without_joined(hit, drop_share), docs.schema)

@@ -120,6 +120,30 @@ def test_decontaminated_text(spark):
     assert gathered(decontaminate.decontaminate(docs, benchmark), "doc_id", "text") == [(1, "A b c d e f g h i j k. ! l"), (3, None)]
 
 
+@pytest.mark.parametrize("broadcast_bytes", [32 << 20, 0])
+def test_slices_do_not_change_results(spark, broadcast_bytes):
+    w = [f"w{k}" for k in range(60)]
+    items = [w[0:12], w[5:20], w[30:42], [*w[50:55], *w[20:25]], ["uno", "dos"]]
+    benchmark = spark.createDataFrame([(str(k), " ".join(x)) for k, x in enumerate(items)], "item_id string, text string").coalesce(1)
+    rest = [f"r{k}" for k in range(30)]
+    texts = [
+        [*rest, *w[0:20], *rest],  # two items overlap
+        [*w[0:12], *rest[:16], *w[30:42]],  # 30 % by each of two items
+        [*rest, *w[50:55], "uno", "dos", *w[20:25], *rest],  # neighbours only after a cut
+        [*rest, *w[0:12]], [*w[30:42], *rest], [*w[30:42], *rest],  # different texts, and a repeated one, under one id
+    ]
+    ids = [0, 1, 2, 3, 3, 3]
+    docs = spark.createDataFrame([(i, " ".join(t), k, "x", "y") for k, (i, t) in enumerate(zip(ids, texts, strict=True))], "doc_id long, text string, n_chars long, hit string, text_sha256 string").coalesce(2)
+    columns = ("doc_id", "n_words", "n_hit", "n_items", "items", "hit")
+    hits, text = gathered(decontaminate.hits(docs, benchmark), *columns), gathered(decontaminate.decontaminate(docs, benchmark), *docs.columns)
+    assert [r[2] for r in hits] == [20, 24, 2, 12, 12, 12] and [r[0] for r in text] == [0, 2, 3, 3, 3]
+    sliced = {"slice_bytes": 80, "broadcast_bytes": broadcast_bytes, "salts": 3}
+    assert len(decontaminate.slices(benchmark, 80)) == 3
+    assert gathered(decontaminate.hits(docs, benchmark, **sliced), *columns) == hits
+    found = decontaminate.decontaminate(docs, benchmark, **sliced)
+    assert found.schema == docs.schema and gathered(found, *docs.columns) == text
+
+
 def test_mixture(docs, rows, empty):
     found = curriculum_mix.mixture(docs, buckets=3).collect()
     assert len(found) == len(rows)
