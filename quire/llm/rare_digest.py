@@ -1,6 +1,8 @@
 """Document fingerprints by improbable features.
 
-A window is the `WINDOW` bytes from a word's first byte. Its entropy (of 32 byte classes) is quantised; a corpus-wide
+A window is the `WINDOW` bytes from a text's or a word's first byte, and the last `WINDOW` bytes of a text. Where there is
+no such start for over `WINDOW` bytes (no white space between words, encoded data), windows start at content-defined bytes
+too, and at the latest `WINDOW` bytes after the last one, so each byte of a text is in a window. A window's entropy (of 32 byte classes) is quantised; a corpus-wide
 histogram of the quantised entropies, counted over all documents, gives each its rarity. Among every `SPAN` neighbouring
 windows the rarest is elected, and windows elected at least twice are features. Features enter a chain of Bloom filters
 (2048 bits, 5 bits a feature, 160 features a filter). Two filters overlap by their common bits, less those expected by
@@ -38,13 +40,33 @@ _LANES = [np.array([1 << 8 * (c & 7) if (c & (CLASSES - 1)) >> 3 == k else 0 for
 _GAIN = np.array([0.0, *(c * np.log2(c) for c in range(1, WINDOW + 1))], np.float32)
 
 
+def _inner(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Starts inside runs of over WINDOW bytes that have none: where the next four bytes say so, and each WINDOW bytes from the last one."""
+    size = np.diff(start, append=len(data))
+    long = np.flatnonzero(size > WINDOW)
+    if not len(long):
+        return long
+    n = size[long]
+    base = np.repeat(start[long], n)
+    at = base + np.arange(len(base)) - np.repeat(np.cumsum(n) - n, n)
+    four = np.zeros(len(at), np.uint32)
+    for k in range(4):  # of a window that fits, all four are in its text
+        four |= data[np.minimum(at + k, len(data) - 1)].astype(np.uint32) << np.uint32(8 * k)
+    low = (four * np.uint32(0x9E3779B1)) >> np.uint32(29) == 0
+    cut = low & (at > base)
+    cut[1:] &= ~low[:-1]  # a repeated byte is no start again and again
+    last = np.maximum.accumulate(np.where(cut, at, base))
+    return at[cut | ((at > last) & ((at - last) % WINDOW == 0))]
+
+
 def entropies(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, row and quantised entropy of every window."""
     space = (data == 0x20) | ((data >= 9) & (data <= 13))
     first = ~space
     first[1:] &= space[:-1]
-    at = offsets[:-1][offsets[:-1] < len(data)]
-    first[at] = ~space[at]
+    first[offsets[:-1][offsets[:-1] < len(data)]] = True
+    first[_inner(data, np.flatnonzero(first))] = True
+    first[offsets[1:][np.diff(offsets) >= WINDOW] - WINDOW] = True
     start = np.flatnonzero(first)
     row = np.searchsorted(offsets, start, "right") - 1
     fits = start + WINDOW <= offsets[row + 1]

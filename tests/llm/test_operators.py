@@ -286,6 +286,24 @@ def test_likeness():
     assert d.likeness(0, 1) == 1 and d.likeness(0, 2) < 0.1 and 0.3 < d.likeness(0, 3) < 0.7 and d.likeness(4, 4) == 1 and d.likeness(0, 4) == 0
 
 
+def test_every_byte_is_in_a_window():
+    rng = np.random.default_rng(2)
+    draw = lambda n: "".join(rng.choice(list("一二三四五六七八九十百千"), n))
+    a, b = draw(3000), draw(3000)
+    texts = [a, a[:100] + b, a[:1500] + b[:1500], "x" + a, "ab " * 90, " " * 500 + "end", "=" * 1000, "", "y" * 63, "word " * 20 + a[:50]]
+    coded = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(coded), np.uint8), np.cumsum([0, *map(len, coded)])
+    start, row, _ = rare_digest.entropies(data, offsets)
+    covered = np.zeros(len(data), bool)
+    for s in start:
+        covered[s : s + rare_digest.WINDOW] = True
+    assert all(covered[offsets[i] : offsets[i + 1]].all() for i, t in enumerate(coded) if len(t) >= rare_digest.WINDOW)
+    alone = [s - offsets[3] for s in start[row == 3]]
+    assert alone == rare_digest.entropies(np.frombuffer(coded[3], np.uint8), np.array([0, len(coded[3])]))[0].tolist()
+    d = rare_digest.Digests(coded, rare_digest.rarity(np.zeros(rare_digest.LEVELS, np.int64)))
+    assert d.likeness(0, 1) < 0.2 and 0.3 < d.likeness(0, 2) < 0.7 and d.likeness(0, 3) > 0.9
+
+
 def test_entropies():
     text = b"the quick brown fox jumps over the lazy dog " * 4
     start, _, level = rare_digest.entropies(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
