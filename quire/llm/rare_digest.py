@@ -4,7 +4,8 @@ A window is the `WINDOW` bytes from a text's or a word's first byte, and the las
 no such start for over `WINDOW` bytes (no white space between words, encoded data), windows start at content-defined bytes
 too, and at the latest `WINDOW` bytes after the last one, so each byte of a text is in a window. A window's entropy (of 32 byte classes) is quantised; a corpus-wide
 histogram of the quantised entropies, counted over all documents, gives each its rarity. Among every `SPAN` neighbouring
-windows the rarest is elected, and windows elected at least twice are features. Features enter a chain of Bloom filters
+windows the rarest is elected, and windows elected at least twice are features; where a text gets fewer than `SPAN` - 1
+different features so, every elected window is one, and where these are too few, every window. Features enter a chain of Bloom filters
 (2048 bits, 5 bits a feature, 160 features a filter). Two filters overlap by their common bits, less those expected by
 chance, over the most they could share; two digests by the mean, over the shorter chain, of each filter's best overlap,
 weighted by its bits. A text that is shorter than a window is one feature. A fingerprint is the filters in base64.
@@ -89,6 +90,15 @@ def rarity(histogram: np.ndarray) -> np.ndarray:
     return rank
 
 
+def _different(row: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """The number of different hashes of each of n rows."""
+    order = np.lexsort((h, row))
+    row, h = row[order], h[order]
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+    return np.bincount(row[fresh], minlength=n)
+
+
 class Digests:
     """Fingerprints of many texts: a filter matrix, and each text's rows in it."""
 
@@ -100,7 +110,8 @@ class Digests:
         up, down = powers(len(data) + 1)
         with np.errstate(over="ignore"):
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
-            chosen = self.elected(row, rank[level])
+            h = mix((sums[start + WINDOW] - sums[start]) * down[start] + np.uint64(WINDOW))
+            chosen = self.elected(row, rank[level], h)
             whole = np.flatnonzero((np.bincount(row[chosen], minlength=len(texts)) == 0) & (sizes > 0))
             begin = np.concatenate([start[chosen], offsets[whole]])
             end = np.concatenate([start[chosen] + WINDOW, offsets[whole + 1]])
@@ -124,16 +135,20 @@ class Digests:
         self.words = self.filters.view(np.uint64) if len(self.filters) else np.zeros((0, FILTER_BITS // 64), np.uint64)
 
     @staticmethod
-    def elected(row: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        """Windows that are the rarest of at least ELECTED spans; all windows of a text that has less than a span."""
-        count = np.bincount(row) if len(row) else np.zeros(0, np.int64)
-        few = np.flatnonzero(count[row] < SPAN) if len(row) else np.zeros(0, np.int64)
-        if len(row) < SPAN:
-            return few
-        inside = np.flatnonzero(row[: len(row) - SPAN + 1] == row[SPAN - 1 :])
-        best = np.lib.stride_tricks.sliding_window_view(rank, SPAN)[inside].argmin(1) + inside
-        often = np.flatnonzero(np.bincount(best, minlength=len(row)) >= ELECTED)
-        return np.union1d(few, often)
+    def elected(row: np.ndarray, rank: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Windows that are the rarest of at least ELECTED spans; where these are too few, of one span, else all."""
+        if not len(row):
+            return np.zeros(0, np.int64)
+        votes = np.zeros(len(row), np.int64)
+        if len(row) >= SPAN:
+            inside = np.flatnonzero(row[: len(row) - SPAN + 1] == row[SPAN - 1 :])
+            best = np.lib.stride_tricks.sliding_window_view(rank, SPAN)[inside].argmin(1) + inside
+            votes = np.bincount(best, minlength=len(row))
+        need = np.full(int(row[-1]) + 1, ELECTED)
+        for least in range(ELECTED - 1, -1, -1):
+            chosen = np.flatnonzero(votes >= need[row])
+            need[_different(row[chosen], h[chosen], len(need)) < SPAN - 1] = least
+        return np.flatnonzero(votes >= need[row])
 
     def text(self, i: int) -> str:
         return base64.b64encode(self.filters[self.first[i] : self.first[i + 1]].tobytes()).decode()

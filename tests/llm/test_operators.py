@@ -304,6 +304,23 @@ def test_every_byte_is_in_a_window():
     assert d.likeness(0, 1) < 0.2 and 0.3 < d.likeness(0, 2) < 0.7 and d.likeness(0, 3) > 0.9
 
 
+def test_short_texts_keep_enough_features():
+    rng = np.random.default_rng(4)
+    rank = rare_digest.rarity(rng.integers(0, 1000, rare_digest.LEVELS))
+    for n in range(17, 40):
+        for _ in range(20):
+            w = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(3, 9))) for _ in range(n)]
+            text, edited = " ".join(w).encode(), " ".join([*w[:-1], "edit"]).encode()
+            start, row, level = rare_digest.entropies(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+            chosen = rare_digest.Digests.elected(row, rank[level], np.arange(len(row), dtype=np.uint64))
+            assert len(chosen) >= min(len(start), rare_digest.SPAN - 1)
+            assert rare_digest.Digests([text, edited], rank).likeness(0, 1) > 0
+    pattern = b"one two three four five six seven eight nine ten " * 30
+    start, row, level = rare_digest.entropies(np.frombuffer(pattern, np.uint8), np.array([0, len(pattern)]))
+    same = np.unique([hash(pattern[s : s + rare_digest.WINDOW]) for s in start], return_inverse=True)[1].astype(np.uint64)
+    assert len(np.unique(same[rare_digest.Digests.elected(row, rank[level], same)])) >= rare_digest.SPAN - 1
+
+
 def test_entropies():
     text = b"the quick brown fox jumps over the lazy dog " * 4
     start, _, level = rare_digest.entropies(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
