@@ -52,6 +52,8 @@ _BREAK = frozenset("article section div main body td th li blockquote table ul o
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
 _ATTR = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: An unquoted value that ends in a slash; the tag isn't self-closed then.
+_UNQUOTED = re.compile(r"=\s*[^\s\"'>]+/$")
 _NAME = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
@@ -110,6 +112,8 @@ def parsed(html: str) -> Node:
                 here = node.parent
             continue
         if tag in RAW_TAGS:
+            if m[4].endswith("/") and not _UNQUOTED.search(m[4]):
+                continue
             end = re.compile(rf"</{tag}\s*>", re.IGNORECASE).search(html, at)
             at = end.end() if end else n
             continue

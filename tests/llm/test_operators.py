@@ -341,6 +341,13 @@ def test_html(spark):
     assert html_consensus.extracted(pages.limit(0)).count() == 0
 
 
+def test_self_closed_raw_elements():
+    for raw in ("<svg/>", "<svg viewBox='0 0 1 1' />", '<script src="x"/>', "<iframe hidden/>"):
+        assert html_consensus.extract(f"<div>{raw}<p>one two</p></div>", None)[0] == "one two", raw
+    for raw in ("<svg><p>no</p></svg>", "<script src=/a/>no</script>", "<iframe src=a/>no</iframe>", "<script src = a/>no</script>"):
+        assert html_consensus.extract(f"<div>{raw}<p>one two</p></div>", None)[0] == "one two", raw
+
+
 def test_toxicity(spark):
     rng = np.random.default_rng(0)
     plain = [f"w{k}" for k in range(300)]
