@@ -1,25 +1,31 @@
 """Main-text extraction by consensus host paths.
 
 1. Every page is parsed once into a light tree; its containers are scored by text length, damped by link density and by
-   the share of text that sits in boilerplate. The best containers vote with their generalised path: the tags and
-   digit-free classes from the root.
+   the share of text that sits in boilerplate. All containers vote with their generalised path: the tags and digit-free
+   classes from the root, as a digest that is carried on from the parent, so that depth costs nothing.
 2. Votes are summed by host and path in Spark (partial sums before the shuffle), and each host keeps its best path.
-3. Each page is extracted with its host's path where the page has a container there that holds at least `least_share`
+3. Each page is extracted with its host's path where the page has containers there that hold at least `least_share`
    of the text of its own best one, else with its own best container.
 
 Winners are broadcast if their measured size is at most `broadcast_bytes`, and else joined by host and salt: every
 winner is repeated for each salt, so that a host with very many pages is spread over `salts` tasks.
 
 Text: blocks in page order joined by one newline; character references are decoded, white space inside a block becomes
-one space. Dropped: scripts, styles, comments and the elements and classes of DROP_TAGS and DROP_WORDS.
+one space. Dropped: scripts, styles, comments, the elements of DROP_TAGS, and elements marked by a whole class name, id or
+role. A compound name marks only if every part is known, at least one of them a DROP_WORDS: site-footer does, ads-free
+and share-of-market don't. An element so marked (or a form) that holds half of the page's text or more, in three
+paragraphs at least, is a wrapper of the article and stays.
 
 Defined cases: null html is empty and gives empty text; a page without markup is one block; broken or unclosed tags are
-closed where their parent ends; a null url shares the host of other null urls; repeated rows are extracted each; other
+closed where their parent ends; elements below DEEPEST levels keep their text, as part of the level above them; very
+long pages are read whole, in time in proportion to their length; a null url shares the host of other null urls; of
+paths with equal votes the smallest digest wins; repeated rows are extracted each; an empty table gives no rows; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -41,6 +47,12 @@ DROP_WORDS = frozenset(
     cookie cookies consent gdpr notice notices alert popup modal overlay subscribe subscription newsletter signup login share sharing social
     related recommended recommendations pagination pager skip copyright disclaimer legal paywall""".split()
 )
+#: Words that may stand beside one of these in a compound name.
+NAME_WORDS = frozenset(
+    """site page main global top bottom left right primary secondary sticky fixed mobile desktop web blog post article user reader
+    container wrapper wrap inner outer box bar bars block list item items section area zone region panel row column col links link
+    button buttons icon icons form thread count google text block large small header body unit slot placeholder policy message and by the js""".split()
+)
 DROP_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 RAW_TAGS = ("script", "style", "noscript", "template", "textarea", "iframe", "title", "svg")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
@@ -52,19 +64,26 @@ _BREAK = frozenset("article section div main body td th li blockquote table ul o
 
 _MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
 _ATTR = re.compile(r"([a-zA-Z_:][-a-zA-Z0-9_:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: Levels of nesting that are told apart, as in browsers; dropped elements nest twice as deep.
+DEEPEST = 512
 #: An unquoted value that ends in a slash; the tag isn't self-closed then.
 _UNQUOTED = re.compile(r"=\s*[^\s\"'>]+/$")
-_NAME = re.compile(r"[a-z]+")
+_NAME = re.compile(r"[a-z]+|[A-Z](?:[a-z]+|[A-Z]*(?![a-z]))")
+#: Between blocks that aren't told apart.
+_EDGE = "\0edge\0"
+_GOOD = re.compile(r"article|content|post|entry|story|main|body|text")
 _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "dropped", "children", "own", "text", "linked", "label")
+    __slots__ = ("tag", "parent", "label", "dropped", "marked", "depth", "children", "text", "linked", "whole", "paragraphs", "key")
 
-    def __init__(self, tag: str, parent: Node | None, label: str, dropped: bool):
-        self.tag, self.parent, self.label, self.dropped = tag, parent, label, dropped
+    def __init__(self, tag: str, parent: Node | None, label: str, dropped: bool, marked: bool = False):
+        self.tag, self.parent, self.label, self.dropped, self.marked = tag, parent, label, dropped, marked
+        self.depth = parent.depth + 1 if parent else 0
         self.children: list[Node | str] = []
-        self.text = self.linked = 0
+        self.text = self.linked = self.whole = self.paragraphs = 0
+        self.key = b""
 
     def where(self) -> str:
         parts = []
@@ -75,22 +94,29 @@ class Node:
         return ">".join(parts[::-1])
 
 
-def _attributes(tag: str, text: str) -> tuple[str, bool]:
-    """The generalised label of a start tag, and whether its element is dropped."""
+def boilerplate(name: str) -> bool:
+    """Whether a class name or id marks an element that isn't the article's."""
+    parts = [x.lower() for x in _NAME.findall(name)]
+    return any(x in DROP_WORDS for x in parts) and all(x in DROP_WORDS or x in NAME_WORDS for x in parts)
+
+
+def _attributes(tag: str, text: str) -> tuple[str, bool, bool]:
+    """The generalised label of a start tag, whether its element is dropped, and whether it is marked as boilerplate."""
+    gone, marked = tag in DROP_TAGS and tag != "form", tag == "form"
     if not text.strip(" /\t\r\n"):
-        return tag, tag in DROP_TAGS
+        return tag, gone, marked
     values = {m[1].lower(): (m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(text)}
-    names = [re.sub(r"\d+", "", x.lower()) for x in values.get("class", "").split()]
-    marks = {w for x in (*names, values.get("id", "").lower()) for w in _NAME.findall(x)}
-    hidden = "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
-    kept = tag in ("html", "body", "article", "main")
-    dropped = hidden or tag in DROP_TAGS or values.get("role", "").lower() in DROP_ROLES or bool(not kept and marks & DROP_WORDS)
-    return ".".join([tag, *sorted(set(names))]), dropped
+    names = values.get("class", "").split()
+    gone |= "hidden" in values or values.get("aria-hidden") == "true" or "display:none" in values.get("style", "").replace(" ", "").lower()
+    if tag not in ("html", "body", "article", "main"):
+        marked |= values.get("role", "").lower() in DROP_ROLES or any(boilerplate(x) for x in (*names, *values.get("id", "").split()))
+    return ".".join([tag, *sorted({re.sub(r"\d+", "", x.lower()) for x in names})]), gone, marked
 
 
 def parsed(html: str) -> Node:
     root = Node("", None, "", False)
     here, at, n = root, 0, len(html)
+    unopened: dict[str, int] = {}  # start tags below the deepest level, by tag
     while at < n:
         m = _MARKUP.search(html, at)
         if m is None:
@@ -105,6 +131,9 @@ def parsed(html: str) -> Node:
             continue
         tag = m[3].lower()
         if m[2]:
+            if unopened.get(tag):
+                unopened[tag] -= 1
+                continue
             node: Node | None = here
             while node is not None and node.tag != tag and not (node.tag in _BREAK and tag in INLINE):
                 node = node.parent
@@ -126,8 +155,15 @@ def parsed(html: str) -> Node:
                 node = node.parent
             while node.tag in closes and node.parent is not None:
                 here = node = node.parent
-        label, dropped = _attributes(tag, m[4])
-        node = Node(tag, here, label, here.dropped or dropped)
+        label, dropped, marked = _attributes(tag, m[4])
+        gone = dropped or marked
+        if here.depth >= (2 * DEEPEST if gone else DEEPEST):
+            if tag not in INLINE:
+                here.children.append(_EDGE)
+            if not m[4].endswith("/"):
+                unopened[tag] = unopened.get(tag, 0) + 1
+            continue
+        node = Node(tag, here, label, dropped, marked)
         here.children.append(node)
         if not m[4].endswith("/"):
             here = node
@@ -135,46 +171,61 @@ def parsed(html: str) -> Node:
 
 
 def measured(root: Node) -> list[Node]:
-    """Nodes with their lengths of kept and of linked text, parents before children."""
+    """The nodes that aren't dropped, parents before children, with their lengths of kept and of linked text."""
     order, stack = [], [root]
     while stack:
         node = stack.pop()
         order.append(node)
-        stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
+        stack.extend(c for c in reversed(node.children) if not isinstance(c, str) and not c.dropped)
     for node in reversed(order):
-        if node.dropped:
+        node.paragraphs = node.tag == "p"
+        for c in node.children:
+            if isinstance(c, str):
+                node.whole += len(c.strip()) if c is not _EDGE else 0
+            elif not c.dropped:
+                node.whole += c.whole
+                node.paragraphs += c.paragraphs
+    kept, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        if node.marked and (node.paragraphs < 3 or 2 * node.whole < root.whole):
+            node.dropped = True
             continue
+        node.key = hashlib.blake2b(node.parent.key + node.label.encode("utf-8", "replace"), digest_size=12).digest() if node.parent else b""
+        kept.append(node)
+        stack.extend(c for c in reversed(node.children) if not isinstance(c, str) and not c.dropped)
+    for node in reversed(kept):
         for c in node.children:
             if isinstance(c, str):
-                node.text += len(c.strip())
-            else:
+                node.text += len(c.strip()) if c is not _EDGE else 0
+            elif not c.dropped:
                 node.text += c.text
                 node.linked += c.linked
         if node.tag == "a":
             node.linked = node.text
-    return order
+    return kept
 
 
 _CONTAINERS = frozenset("article main section div td body blockquote center".split())
 _BONUS = {"article": 1.6, "main": 1.4, "section": 1.05, "body": 0.8, "": 0.75}
 
 
-def containers(root: Node) -> list[tuple[float, str, Node]]:
+def containers(root: Node) -> list[tuple[float, Node]]:
     """Scored containers, best first: most text, few links, and little text lost against what it encloses."""
     order = measured(root)
     total = max(1, root.text)
     found = []
     for i, node in enumerate(order):
-        if node.dropped or not (node.parent is None or node.tag in _CONTAINERS) or not node.text:
+        if not (node.parent is None or node.tag in _CONTAINERS) or not node.text:
             continue
         density = node.linked / node.text
         share = node.text / total
         good = share * (1 - density) ** 2 * _BONUS.get(node.tag, 1.0)
-        if re.search(r"article|content|post|entry|story|main|body|text", node.label.partition(".")[2]):
+        if _GOOD.search(node.label.partition(".")[2]):
             good *= 1.2
         found.append((-good, i, node))
     found.sort(key=lambda x: x[:2])
-    return [(-s, node.where(), node) for s, _, node in found]
+    return [(-s, node) for s, _, node in found]
 
 
 def blocks(node: Node) -> list[str]:
@@ -196,7 +247,9 @@ def blocks(node: Node) -> list[str]:
         while k < len(here.children):
             child = here.children[k]
             k += 1
-            if isinstance(child, str):
+            if child is _EDGE:
+                flush()
+            elif isinstance(child, str):
                 held.append(child)
             elif not child.dropped:
                 stack += [(here, k), (child, 0)]
@@ -208,38 +261,32 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
-def votes_of(html: str | None, most: int = 3) -> list[tuple[str, float]]:
-    return [(path, score) for score, path, _ in containers(parsed(html or ""))[:most]]
+def votes_of(html: str | None) -> list[tuple[str, float]]:
+    return [(node.key.hex(), score) for score, node in containers(parsed(html or ""))]
 
 
-def extract(html: str | None, path: str | None, least_share: float = 0.5) -> tuple[str, str, bool]:
-    """Text, the container's path, and whether the host's path gave it."""
+def extract(html: str | None, path: str | None, least_share: float = 0.9) -> tuple[str, str, bool]:
+    """Text, the container's path, and whether the host's path (its digest) gave it."""
     root = parsed(html or "")
     found = containers(root)
     if not found:
-        return "\n".join(blocks(root)), "", False
-    same = [node for _, own, node in found if own == path]
-    best = found[0][2]
-    if same and sum(x.text for x in same) >= least_share * best.text:
-        keep = {id(x) for x in same}
-        tops = [x for x in same if not any(id(p) in keep for p in _above(x))]
-        order = {id(x): i for i, x in enumerate(measured_order(root))}
-        return "\n".join(b for x in sorted(tops, key=lambda x: order[id(x)]) for b in blocks(x)), path, True
-    return "\n".join(blocks(best)), found[0][1], False
-
-
-def _above(node: Node) -> Iterator[Node]:
-    while (node := node.parent) is not None:
-        yield node
-
-
-def measured_order(root: Node) -> list[Node]:
-    order, stack = [], [root]
+        return "", "", False
+    best = found[0][1]
+    same = [node for _, node in found if node.key.hex() == path]
+    if not same or sum(x.text for x in same) < least_share * best.text:
+        return "\n".join(blocks(best)), best.where(), False
+    if len(same) > 1:  # of one depth, so none encloses another
+        order = {id(x): i for i, x in enumerate(_in_order(root))}
+        same.sort(key=lambda x: order[id(x)])
+    return "\n".join(b for x in same for b in blocks(x)), same[0].where(), True
+
+
+def _in_order(root: Node) -> Iterator[Node]:
+    stack = [root]
     while stack:
         node = stack.pop()
-        order.append(node)
+        yield node
         stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
-    return order
 
 
 def host(url: Column) -> Column:
@@ -273,13 +320,13 @@ def _extracted(least_share: float):
 
 
 def winners(pages: DataFrame) -> DataFrame:
-    """host, path: the path with most votes on each host; of equal ones the smallest."""
+    """host, path: the digest of the path with most votes on each host; of equal ones the smallest."""
     rows = pages.select(host(F.col("url")).alias("host"), "html")
     sums = rows.mapInArrow(_votes, "host string, path string, score double").groupBy("host", "path").agg(F.sum(F.round(F.col("score") * 1e6).cast("long")).alias("score"))
     return sums.groupBy("host").agg(F.min(F.struct((-F.col("score")).alias("s"), "path")).alias("best")).select("host", "best.path")
 
 
-def extracted(pages: DataFrame, least_share: float = 0.5, broadcast_bytes: int = 32 << 20, salts: int = 64) -> DataFrame:
+def extracted(pages: DataFrame, least_share: float = 0.9, broadcast_bytes: int = 32 << 20, salts: int = 64) -> DataFrame:
     """One row per row of pages; see RESULT."""
     best = stored(winners(pages), "paths")
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
@@ -288,5 +335,5 @@ def extracted(pages: DataFrame, least_share: float = 0.5, broadcast_bytes: int =
         joined = rows.join(F.broadcast(best), "host", "left")
     else:
         salted = best.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "html"), F.lit(salts)).cast("int")).join(salted, ["host", "salt"], "left")
     return joined.select("page_id", "url", "html", "path").mapInArrow(_extracted(least_share), RESULT)
