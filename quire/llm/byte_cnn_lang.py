@@ -5,29 +5,35 @@ embedded, convolved with filters of widths 2, 3 and 4, max-pooled over the windo
 softmax layer. A document's prediction is the mean over all of its windows. At prediction, embedding and filters are
 folded into one table for each offset, so a convolution is four table look-ups.
 
-The network is trained on a bounded sample of labelled rows (`per_lang` for each language, drawn by id hash from the
-rows that are not held out). Held out: crc32 of doc_id as text is a multiple of 5.
-
-Defined cases: text that is null or has no letter is `und` with score 0, also where no row is labelled; a null doc_id
-hashes as the empty text; rows with a null language train nothing; other columns are ignored.
+The network is trained on a bounded sample: of each language `per_lang` labelled rows that are not held out, by hash; of
+each of these up to `doc_windows` windows drawn from its whole text, where they are cut; of each language up to
+`lang_windows` of those. So the driver receives at most per_lang * doc_windows windows a language, whatever the lengths of
+texts and however often a doc_id repeats. Held out: crc32 of doc_id as text is a multiple of 5.
+
+Defined cases: text that is null or has no letter (Unicode categories L*) is `und` with score 0; where no row is
+labelled, identified() finds `und` everywhere and accepted() keeps every text with a letter, its lang as it was; very
+long texts are judged by all of their windows; of equal probabilities the language that sorts first wins; a null doc_id
+hashes as the empty text; rows with a null language train nothing; repeated rows are judged each; an empty table gives no
+rows; other columns are ignored by identified() and kept by accepted().
 """
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.words import chunks, raw
 
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double, windows long"
 WIDTHS, FILTERS, EMBED = (2, 3, 4), 16, 8
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
+LENGTH = 192
 _ALL = FILTERS * len(WIDTHS)
 #: Columns of the folded tables that offset k contributes to: filters wider than k.
 _FROM = [next((i for i, w in enumerate(WIDTHS) if w > k), 0) * FILTERS for k in range(WIDTHS[-1])]
@@ -90,14 +96,11 @@ class Net:
         return g
 
 
-def trained(texts: list[str], langs: list[str], length: int = 192, most_windows: int = 6000, epochs: int = 8, seed: int = 7) -> dict:
-    """A model of labelled texts: its network and languages."""
+def trained(x: np.ndarray, langs: list[str], length: int = LENGTH, epochs: int = 8, seed: int = 7) -> dict:
+    """A model of labelled windows (a row of bytes each): its network and languages."""
     names = sorted(set(langs))
-    data, offsets = raw(pa.array(texts, pa.large_string()))
-    start, end, rows = windows(data, offsets, length)
+    y = np.searchsorted(names, np.array(langs, object).astype(str))
     rng = np.random.default_rng(seed)
-    pick = rng.permutation(len(start))[:most_windows]
-    x, y = gathered(data, start[pick], end[pick], length), np.searchsorted(names, np.array(langs, object)[rows[pick]].astype(str))
     net, m, v, t = Net(len(names), seed), {}, {}, 0
     for _ in range(epochs):
         order = rng.permutation(len(x))
@@ -129,7 +132,7 @@ def _predict(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for whole in batches:
-            for batch in chunks(whole, limit=1 << 20):
+            for batch in chunks(whole):
                 yield _labelled(model, batch)
 
     return run
@@ -152,18 +155,40 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 5 == 0
 
 
-def fit(docs: DataFrame, per_lang: int = 300) -> dict | None:
-    """A model from about per_lang rows of each language, by id hash, whole texts; None if no row is labelled."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = {r.lang: r["count"] for r in known.groupBy("lang").count().toLocalIterator()}
-    if not counts:
+def _cut(length: int, most: int):
+    """Up to `most` windows of each text, drawn by a hash of the text, as rows of bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(whole):
+                data, offsets = raw(batch.column("text"))
+                start, end, rows = windows(data, offsets, length)
+                picked = []
+                for row, (a, b) in enumerate(zip(np.searchsorted(rows, np.arange(batch.num_rows)), np.searchsorted(rows, np.arange(batch.num_rows), "right"), strict=True)):
+                    seed = zlib.crc32(data[offsets[row] : offsets[row + 1]])
+                    picked.append(a + np.sort(np.random.default_rng(seed).permutation(b - a)[:most]))
+                pick = np.concatenate(picked) if picked else np.zeros(0, np.int64)
+                x = gathered(data, start[pick], end[pick], length) if len(pick) else np.zeros((0, length + WIDTHS[-1] - 1), np.uint8)
+                yield pa.record_batch([batch.column("lang").take(pa.array(rows[pick])), pa.array([r.tobytes() for r in x.astype(np.uint8)], pa.binary())], names=["lang", "window"])
+
+    return run
+
+
+def fit(docs: DataFrame, per_lang: int = 300, doc_windows: int = 40, lang_windows: int = 1500, length: int = LENGTH) -> dict | None:
+    """A model from a bounded sample of labelled rows, see above; None if no row is labelled or none has a byte."""
+    known = docs.filter(F.col("lang").isNotNull() & (F.octet_length("text") > 0) & ~held_out(F.col("doc_id"))).select("doc_id", "text", "lang")
+    counts = docs.sparkSession.createDataFrame([(r.lang, r.n) for r in known.groupBy("lang").agg(F.count("*").alias("n")).toLocalIterator()], "lang string, n long")  # a row a class of the model
+    place = F.pmod(F.xxhash64(F.lit("byte_cnn"), "doc_id", "text"), F.lit(1 << 30))
+    likely = known.join(F.broadcast(counts), "lang").withColumn("place", place).filter(F.col("place") / F.lit(float(1 << 30)) < F.lit(1.5 * per_lang + 50) / F.col("n"))
+    first = likely.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id", "text"))).filter(F.col("nth") <= per_lang)
+    rows = first.select("lang", "text").mapInArrow(_cut(length, doc_windows), "lang string, window binary").toArrow()
+    if not rows.num_rows:
         return None
-    place = F.pmod(F.xxhash64(F.lit("byte_cnn"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    chosen = F.lit(False)
-    for lang, n in sorted(counts.items()):
-        chosen |= (F.col("lang") == lang) & (place < per_lang / n)
-    rows = known.filter(chosen).select("doc_id", "text", "lang").toArrow().sort_by("doc_id")
-    return trained(rows["text"].to_pylist(), rows["lang"].to_pylist()) if rows.num_rows else None
+    order = np.lexsort((np.array(rows["window"].to_pylist(), object), np.array(rows["lang"].to_pylist(), object)))
+    langs, x = np.array(rows["lang"].to_pylist(), object)[order], np.frombuffer(b"".join(rows["window"].to_pylist()), np.uint8).reshape(len(order), -1)[order]
+    mixed = np.random.default_rng(7).permutation(len(x))
+    keep = np.concatenate([mixed[langs[mixed] == name][:lang_windows] for name in sorted(set(langs))])
+    return trained(x[np.sort(keep)], langs[np.sort(keep)].tolist(), length)
 
 
 def identified(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -172,11 +197,17 @@ def identified(docs: DataFrame, model: dict | None) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: dict | None, least: float = 0.5) -> DataFrame:
-    """docs without the texts that are `und` or score below least; lang becomes the prediction."""
+    """docs without the texts that are `und` or score below least; lang becomes the prediction.
+
+    Without a model no language can be told: texts with a letter stay, as they are.
+    """
 
     def run(batches: Iterator[pa.RecordBatch], shared=docs.sparkSession.sparkContext.broadcast(model)) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in chunks(whole, limit=1 << 20):
+            for batch in chunks(whole):
+                if shared.value is None:
+                    yield batch.filter(pa.array([bool(x and _LETTER.search(x)) for x in batch.column("text").to_pylist()], pa.bool_()))
+                    continue
                 found = _labelled(shared.value, batch)
                 keep = [p != "und" and s >= least for p, s in zip(found.column("lang_pred").to_pylist(), found.column("score").to_pylist(), strict=True)]
                 columns = {n: batch.column(n) for n in batch.schema.names}
