@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import stored
+from quire.llm.shared import forget, stored
 
 
 #: Ids of more than 1 / HOT of all rows are fewer than HOT; their least neighbours are broadcast.
@@ -43,7 +43,9 @@ def components(links: DataFrame) -> DataFrame:
     before = mark(edges)
     while before.n:
         large = stored(_large_star(edges, before.n), "stars")
+        forget(edges)
         edges = stored(_small_star(large, mark(large).n), "links")
+        forget(large)
         if (after := mark(edges)) == before:
             break
         before = after

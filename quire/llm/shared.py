@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import gc
-import time
+import re
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -13,25 +13,62 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir that driver and executors share; set here only where it is unset, as in tests."""
+    """The folder of spark.checkpoint.dir that driver and executors share. Only local sessions, as in tests, get one of their own."""
     conf = spark.conf.get("spark.checkpoint.dir", None)
-    if not conf:
-        at = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if at.isDefined():
-            return at.get()
-        import tempfile
-
-        conf = "file://" + tempfile.mkdtemp(prefix="quire-")
-        spark.sparkContext.setCheckpointDir(conf)
+    if conf:
         return conf
-    return conf
+    context = spark.sparkContext
+    at = context._jsc.sc().getCheckpointDir()
+    if at.isDefined():
+        return at.get()
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="quire-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+#: Setting by which Spark drops a query's shuffle files when the query has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_made: list[str] = []
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df once into the shared folder and read it back: later reads start there, also when executors are lost."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write df once into the shared folder and read it back: later reads start there, also when executors are lost.
+
+    The shuffles of df go as soon as it is written.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    _made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Hadoop, wherever it is."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing will read any more."""
+    for df in tables:
+        if df.stored_at in _made:
+            _made.remove(df.stored_at)
+            remove(df.sparkSession, df.stored_at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all stored tables; for a caller that has written its result."""
+    while _made:
+        remove(spark, _made.pop())
 
 
 def partitions(spark: SparkSession) -> int:
@@ -59,13 +96,17 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished plans that nothing refers to any more, instead of at some later collection.
+#: Keys that hold more than 1 / HOT of all rows are fewer than HOT.
+HOT = 10_000
+
+
+def hub_join(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """rows joined with a table of one row a key. n in the table: how many rows the key has, of `total` in all.
 
-    A plan's shuffles are held until the gateway has told the JVM of the objects that Python gave up (once a second), and
-    until the next job takes the last one's place in the scheduler.
+    Rows of hubs, keys with more than 1 / HOT of the rows, stay where they are: the fewer than HOT hubs are broadcast.
     """
-    gc.collect()
-    spark.range(1).count()
-    time.sleep(1.5)
-    spark._jvm.System.gc()
+    hub = F.col("n") * HOT > total
+    hubs = table.filter(hub).drop("n")
+    near = rows.join(F.broadcast(hubs), key)
+    far = rows.join(F.broadcast(hubs.select(key)), key, "left_anti").join(table.filter(~hub).drop("n"), key)
+    return near.unionByName(far)

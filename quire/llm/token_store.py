@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import rans
-from quire.llm.shared import batches_of, partitions, shared_dir
+from quire.llm.shared import batches_of, partitions, remove, shared_dir
 from quire.llm.words import chunks, mix, powers, raw
 
 RAW = "part int, seq int, doc_ids array<bigint>, lengths array<int>, ids binary, before long, n_ids long, used binary"
@@ -383,12 +383,6 @@ def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None
     return path
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Hadoop, wherever it is."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def _decoded(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = rans.Table(shared.value)
