@@ -3,9 +3,11 @@
 A document is the set of its runs of five words (words as in quire.llm.decontaminate; a text of fewer words, but not
 none, is one run). A path is a sequence of tokens of the set: in each of several runs, a token extends a path if a hash
 of both lies below `spread` / set size. Sets meet in the bucket of a path that they share. Buckets of up to `small` sets
-are brute-forced; the sets of larger ones are split by the paths' extensions; extensions that are still large are
+are brute-forced; the sets of a larger one are split by the paths' extensions, level by level, down to `LEVELS` tokens.
+Where splitting can't help it stops early: if the bucket's sets lie with most (`DENSE`) of their paths in large buckets,
+they are near each other and have to be compared. Such buckets, and those that are large at the last level, are
 brute-forced in pairs of blocks. The number of runs follows from the target recall for pairs at the threshold: with
-mu = shared share * spread, a run misses a pair with probability exp(-mu * (1 - exp(-mu))) at most.
+mu = shared share * spread, a path of l + 1 tokens is shared with probability q(l + 1) = 1 - exp(-mu * q(l)) at least.
 
 Equal sets are one node, so copies are never compared. Buckets with the same members are kept once. A pair that meets in
 several buckets counts in the smallest of their numbers. Brute force multiplies a block's sets by token incidence
@@ -13,7 +15,10 @@ matrices, sums links there, and passes on only sums and a spanning star for each
 
 Defined cases: a null text, or one without words, has no links and is a class of its own; rows with one doc_id are
 separate documents; a null doc_id is larger than all others; ties in class ids go by doc_id; other columns are ignored
-by classes() and kept by representatives(); an empty table gives no rows.
+by classes() and kept by representatives(); very long texts are taken whole; an empty table gives no rows.
+
+Keys that many rows share (a popular text, a boilerplate shingle, a giant class) are joined by broadcast: the fewer than
+HOT keys that hold more than 1 / HOT of the rows each.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.components import components
-from quire.llm.shared import partitions, release, stored
+from quire.llm.shared import hub_join, partitions, stored
 from quire.llm.words import FOLDED, Words, chunks, mix, rolled, trim
 
 SIGNED = "doc_id long, key string, node long, n long, paths array<bigint>, kids array<bigint>, parents array<bigint>"
 SHINGLE = 5
+#: Tokens of the longest paths, and the share of paths in large buckets from which a bucket isn't split.
+LEVELS, DENSE = 4, 0.6
 #: Bytes of a token's hash that go to a bucket: two of 1000 tokens in a pair of sets are alike by chance in 1 of 10**8 pairs.
 SENT_BYTES = 6
 
@@ -55,10 +63,25 @@ def shingles(words: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return g[fresh], row[fresh]
 
 
-def runs_for(recall: float, similarity: float, spread: float) -> int:
-    """Runs that let a pair at the threshold meet with the given probability, two levels deep."""
+def runs_for(recall: float, similarity: float, spread: float, levels: int = LEVELS) -> int:
+    """Runs that let a pair at the threshold share a path of so many tokens with the given probability."""
     mu = spread * similarity  # the least shared share of the larger set, at this similarity
-    return math.ceil(math.log(1 - recall) / (-mu * (1 - math.exp(-mu))))
+    q = 1.0
+    for _ in range(levels):
+        q = 1 - math.exp(-mu * q)
+    return math.ceil(math.log(1 - recall) / math.log(1 - q))
+
+
+def _below(tokens: np.ndarray, spread: float) -> np.uint64:
+    return np.uint64(min(int(spread / len(tokens) * 2.0**64), 2**64 - 1))
+
+
+def extended(tokens: np.ndarray, paths: np.ndarray, spread: float) -> tuple[np.ndarray, np.ndarray]:
+    """The paths' extensions by tokens, and the extensions' parents."""
+    if not len(paths):
+        return paths, paths
+    path, at = np.nonzero(mix(tokens[None, :] ^ mix(paths)[:, None]) <= _below(tokens, spread))
+    return mix(tokens[at] * np.uint64(5) + paths[path]), paths[path]
 
 
 def _signed(runs: int, spread: float):
@@ -66,13 +89,9 @@ def _signed(runs: int, spread: float):
 
     def one(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Paths of one token, their extensions, and the extensions' parents."""
-        below = np.uint64(min(int(spread / len(tokens) * 2.0**64), 2**64 - 1))
-        run, at = np.nonzero(mix(tokens[None, :] ^ seeds[:, None]) <= below)
+        run, at = np.nonzero(mix(tokens[None, :] ^ seeds[:, None]) <= _below(tokens, spread))
         paths = mix(tokens[at] + seeds[run] * np.uint64(3))
-        if not len(paths):
-            return paths, paths, paths
-        path, at = np.nonzero(mix(tokens[None, :] ^ mix(paths)[:, None]) <= below)
-        return paths, mix(tokens[at] * np.uint64(5) + paths[path]), paths[path]
+        return paths, *extended(tokens, paths, spread)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -94,6 +113,29 @@ def _signed(runs: int, spread: float):
     return run
 
 
+def _deeper(spread: float):
+    """Extensions of paths of two tokens down to the last level: node, bucket, parent, level."""
+    names = ["node", "bucket", "parent", "level"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(whole):
+                g, row = shingles(Words(batch.column("text"), FOLDED))
+                bounds = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
+                parts: list[tuple] = []
+                with np.errstate(over="ignore"):
+                    for k, (node, paths) in enumerate(zip(batch.column("node").to_pylist(), batch.column("paths").to_pylist(), strict=True)):
+                        tokens, at = g[bounds[k] : bounds[k + 1]], np.unique(np.array(paths, np.int64)).view(np.uint64)
+                        for level in range(3, LEVELS + 1):
+                            at, parent = extended(tokens, at, spread)
+                            parts.append((np.full(len(at), node), at.view(np.int64), parent.view(np.int64), np.full(len(at), level, np.int32)))
+                            at = np.unique(at)
+                columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.int32)]
+                yield pa.record_batch([pa.array(x) for x in columns], names=names)
+
+    return run
+
+
 def _sent(small: int):
     """Each needed set once for each of its buckets, and for each pair of blocks in a large bucket."""
     names = ["bucket", "i", "j", "block", "node", "n_texts", "others", "tokens"]
@@ -207,18 +249,59 @@ def _brute(num: int, den: int):
     return run
 
 
-def _buckets(members: DataFrame) -> DataFrame:
-    """bucket, size and two marks of the members, for buckets of two or more. members: bucket, node."""
-    return members.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y")).filter("size > 1")
+def _buckets(members: DataFrame, *more) -> DataFrame:
+    """bucket, n (its size) and two marks of the members, for buckets of two or more. members: bucket, node."""
+    return members.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor("node").alias("x"), F.bit_xor(F.xxhash64("node")).alias("y"), *more).filter("n > 1")
 
 
-def signed(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9995, spread: float = 1.5) -> DataFrame:
-    """Each row's text key, node, set size and paths, written once."""
+def _members(nodes: DataFrame, text_of, small: int, spread: float) -> DataFrame:
+    """bucket, size, node: the buckets to compare. text_of: adds the texts to rows with a node."""
+    level1 = nodes.select("node", F.explode("paths").alias("bucket")).distinct()
+    sizes1 = stored(_buckets(level1), "sizes")
+    total = nodes.agg(F.coalesce(F.sum(F.size("paths")), F.lit(0)).alias("n")).first().n
+    large = sizes1.filter(F.col("n") > small)
+    wide = stored(hub_join(level1, large.select("bucket", "n"), "bucket", total), "wide")
+    crowded = wide.groupBy("node").agg(F.count("*").alias("c")).join(nodes.select("node", F.size("paths").alias("p")), "node").select("node", (F.col("c") / F.col("p")).alias("share"))
+    dense = F.avg("share").alias("share")
+
+    def closed(sizes: DataFrame) -> DataFrame:
+        return sizes.filter((F.col("n") <= small) | (F.col("share") >= DENSE))
+
+    def still_open(sizes: DataFrame) -> DataFrame:
+        return sizes.filter((F.col("n") > small) & (F.col("share") < DENSE)).select(F.col("bucket").alias("parent"), "n")
+
+    marks = stored(_buckets(wide.join(crowded, "node"), dense), "wide_sizes")
+    level, sizes = [level1], [sizes1.filter(F.col("n") <= small), closed(marks).drop("share")]
+    split, deep = still_open(marks), None
+    for k in range(2, LEVELS + 1):
+        if split.isEmpty():
+            break
+        if k == 2:
+            rows = nodes.select("node", F.explode(F.arrays_zip("kids", "parents")).alias("k")).select("node", F.col("k.kids").alias("bucket"), F.col("k.parents").alias("parent"))
+        else:
+            if deep is None:
+                paths = hub_join(level[-1].withColumnRenamed("bucket", "parent"), split, "parent", total).groupBy("node").agg(F.collect_list("parent").alias("paths"))
+                deep = stored(text_of(paths).select("node", "paths", "text").mapInArrow(_deeper(spread), "node long, bucket long, parent long, level int"), "deep")
+            rows = deep.filter(F.col("level") == k).drop("level")
+        total = max(1, rows.count())
+        level.append(stored(hub_join(rows, split, "parent", total).select("node", "bucket").distinct(), "extended"))
+        marks = stored(_buckets(level[-1].join(crowded, "node", "left").fillna(0.0, ["share"]), dense), "extended_sizes")
+        sizes.append((closed(marks) if k < LEVELS else marks).drop("share"))
+        split = still_open(marks)
+    every = stored(reduce(DataFrame.unionByName, sizes), "buckets")
+    once = every.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n", F.col("n").alias("size"))
+    rows = reduce(DataFrame.unionByName, [x.select("node", "bucket") for x in level])
+    return hub_join(rows, once, "bucket", every.agg(F.coalesce(F.sum("n"), F.lit(1)).alias("n")).first().n)
+
+
+def signed(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9995, spread: float = 1.75) -> DataFrame:
+    """Each row's text key, node, set size, paths and number, written once."""
     rows = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("key"), "text")
-    return stored(rows.mapInArrow(_signed(runs_for(recall, similarity, spread), spread), SIGNED), "signed")
+    found = rows.mapInArrow(_signed(runs_for(recall, similarity, spread), spread), SIGNED)
+    return stored(found.withColumn("row", F.monotonically_increasing_id()), "signed")
 
 
-def classes(docs: DataFrame, similarity: tuple[int, int] = (4, 5), recall: float = 0.9995, small: int = 512, spread: float = 1.5) -> DataFrame:
+def classes(docs: DataFrame, similarity: tuple[int, int] = (4, 5), recall: float = 0.9995, small: int = 512, spread: float = 1.75) -> DataFrame:
     """doc_id, key, class_id, n_links, n_shingles, root: one row per row of docs.
 
     class_id: the smallest doc_id of the class. n_links: different texts with similarity num / den or more.
@@ -227,36 +310,28 @@ def classes(docs: DataFrame, similarity: tuple[int, int] = (4, 5), recall: float
     num, den = similarity
     rows = signed(docs, num / den, recall, spread)
     live = rows.filter("n > 0")
-    nodes = stored(
-        live.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("first"), F.countDistinct("key").alias("n_texts"))
-        .join(live.select("node", "paths", "kids", "parents", "doc_id", "key"), "node")
-        .filter(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.key") == F.col("key")))
-        .dropDuplicates(["node"])
-        .select("node", "doc_id", "key", "n_texts", "paths", "kids", "parents"),
-        "nodes",
-    )
-    level1 = nodes.select("node", F.explode("paths").alias("bucket")).distinct()
-    sizes1 = stored(_buckets(level1), "sizes")
-    pairs = nodes.select("node", F.explode(F.arrays_zip("kids", "parents")).alias("k")).select("node", F.col("k.kids").alias("bucket"), F.col("k.parents").alias("parent"))
-    level2 = stored(pairs.join(sizes1.filter(F.col("size") > small).select(F.col("bucket").alias("parent")), "parent", "left_semi").select("node", "bucket").distinct(), "extended")
-    sizes = sizes1.filter(F.col("size") <= small).union(_buckets(level2))
-    once = sizes.groupBy("size", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
-    members = level1.union(level2).join(once, "bucket").groupBy("node").agg(F.collect_list(F.struct("bucket", "size")).alias("buckets"))
-    wanted = nodes.select("node", "doc_id", "key", "n_texts").join(members, "node")
+    total = live.count()
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "row")).alias("first")
+    firsts = live.groupBy("node").agg(least, F.countDistinct("key").alias("n_texts"), F.count("*").alias("copies")).select("node", F.col("first.row").alias("row"), "n_texts", "copies")
+    nodes = stored(live.join(firsts, ["node", "row"]).select("node", "doc_id", "key", "n_texts", "copies", "paths", "kids", "parents"), "nodes")
     texts = docs.select(F.col("doc_id").alias("own_id"), F.md5(F.coalesce("text", F.lit(""))).alias("own_key"), "text")
-    needed = texts.join(wanted, texts.own_id.eqNullSafe(wanted.doc_id) & (texts.own_key == wanted.key)).select("node", "n_texts", "buckets", "text")
+
+    def text_of(rows: DataFrame) -> DataFrame:
+        wanted = nodes.select("node", "doc_id", "key", "n_texts").join(rows, "node")
+        return texts.join(wanted, texts.own_id.eqNullSafe(wanted.doc_id) & (texts.own_key == wanted.key))
+
+    members = _members(nodes, text_of, small, spread).groupBy("node").agg(F.collect_list(F.struct("bucket", "size")).alias("buckets"))
+    needed = text_of(members).select("node", "n_texts", "buckets", "text")
     sent = needed.mapInArrow(_sent(small), "bucket long, i int, j int, block int, node long, n_texts long, others binary, tokens binary")
     dealt = sent.repartition(partitions(docs.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     found = stored(dealt.mapInArrow(_brute(num, den), "node long, root long, links long"), "found")
-    del needed, sent, dealt
-    release(docs.sparkSession)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    by_node = nodes.select("node", "n_texts", F.col("doc_id").alias("least")).join(links, "node", "left").join(roots.withColumnRenamed("a", "node"), "node", "left")
-    by_node = stored(by_node.select("node", (F.coalesce("links", F.lit(0)) + F.col("n_texts") - 1).alias("n_links"), "least", F.coalesce("root", "node").alias("root")), "nodes")
-    heads = by_node.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least")).getField("least").alias("class_id"))
-    by_class = by_node.join(heads, "root").select("node", "n_links", "class_id", "root")
-    some = live.select("doc_id", "key", "node", "n").join(by_class, "node").select("doc_id", "key", "class_id", "n_links", F.col("n").alias("n_shingles"), "root")
+    by_node = nodes.select("node", "n_texts", "copies", F.col("doc_id").alias("least")).join(links, "node", "left").join(roots.withColumnRenamed("a", "node"), "node", "left")
+    by_node = stored(by_node.select("node", "copies", (F.coalesce("links", F.lit(0)) + F.col("n_texts") - 1).alias("n_links"), "least", F.coalesce("root", "node").alias("root")), "by_node")
+    heads = by_node.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least")).getField("least").alias("class_id"), F.count("*").alias("n"))
+    by_class = hub_join(by_node, heads, "root", by_node.count()).select("node", "n_links", "class_id", "root", F.col("copies").alias("n"))
+    some = hub_join(live.select("doc_id", "key", "node", F.col("n").alias("n_shingles")), by_class, "node", total).select("doc_id", "key", "class_id", "n_links", "n_shingles", "root")
     return some.union(rows.filter("n = 0").select("doc_id", "key", F.col("doc_id").alias("class_id"), F.lit(0).cast("long"), F.col("n"), F.lit(None).cast("long")))
 
 
