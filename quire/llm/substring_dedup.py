@@ -1,17 +1,25 @@
-"""Substring dedup by relative Lempel-Ziv parsing against hash-dealt reference blocks.
-
-Every window of `window` words is a phrase of the reference. The reference index is dealt into blocks by phrase
-hash, so each document meets every block, and each lookup goes to the one block that can hold it. A factor of a
-document is a greedily extended run of phrases that the reference holds in smaller documents; it ends at the first
-phrase the blocks don't hold. Any factor has at least `window` words, and its words are the duplicate span.
-Phrases are compared by 64-bit hashes of their word sequences.
-
-Two shuffles: phrase hashes to blocks (packed arrays of 9 bytes a phrase), then the answers, with each group's
-compressed texts, to document groups. Texts move once. A phrase that many rows of one batch hold is sent once.
+"""Substring dedup by relative Lempel-Ziv parsing against hash-dealt reference blocks, with verified factors.
+
+The reference is all documents. Its index holds every phrase, a window of `window` words, and is dealt into blocks by
+phrase hash, so that each phrase of a document is looked up in the one block that can hold it, and no document has to be
+sent to every block. The lookup gives a place in a smaller document (the smallest that holds the phrase). A factor is the
+longest run of a document's words that continues at one place of one smaller document: it is extended greedily, phrase
+after phrase, and ends where the next phrase isn't found or is found elsewhere; so it has at least `window` words. At its
+two ends every factor is checked: the words between them are compared with the source's words, by 128-bit BLAKE2b digests
+that both sides make from the texts. Only the words of factors that pass are removed. Phrase and row hashes have 64 bits;
+where two of them meet by chance, a factor fails its check and its words stay: no word is removed unverified. In the result,
+n_factors counts runs of phrases that smaller documents hold: factors of which one begins right where another's place
+ends are one run, so that the count doesn't depend on which of several sources was found.
+
+Shuffles: phrases to blocks (packed, about 9 bytes each); places found to the document's group; claims to the source's
+group, with the texts; digests and factors to the document's group, with the texts. A phrase that many rows of one batch
+hold is sent once, and a place that many documents of a group continue is claimed once, so a popular passage isn't
+gathered anywhere. Every step's rows are sorted by block or group, which are `spread` times as many as partitions and are
+worked on one at a time; each step but the last is written to the shared folder and its shuffle dropped.
 
 Defined cases: null text has no words; a document with fewer words than the window keeps all; rows with equal doc_id
-are not smaller than each other, so neither loses words to the other; a null doc_id counts as the largest; other
-columns are ignored; an empty table gives no rows.
+are not smaller than each other, so neither loses words to the other; repeated rows are judged each; a null doc_id counts
+as the largest; very long texts are read whole; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,12 +36,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import dealt, partitions
+from quire.llm.shared import forget, partitions, stored
 from quire.llm.words import SPACES, Words, chunks, identity, numbers
 
 MOVED = "part int, kind int, payload binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, n_factors long, longest_factor long"
-_PHRASES, _SPANS, _TEXTS = 0, 1, 2
+_PHRASES, _PLACES, _FACTORS, _CLAIMS, _DIGESTS, _TEXTS = range(6)
 _NULL_ID = np.iinfo(np.int64).max
 
 
@@ -61,15 +69,37 @@ def _rows(items: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(parts, pa.int32()), pa.array(kinds, pa.int32()), pa.array(blobs, pa.binary())], names=["part", "kind", "payload"])
 
 
-def _spans(group: np.ndarray, uid: np.ndarray, pos: np.ndarray, parts: int, send) -> None:
-    """Send matched phrase positions, by document group: row identities, counts and position steps."""
+def _dealt(rows: DataFrame, n: int) -> DataFrame:
+    """Blocks or groups to n partitions, one after the other in each."""
+    return rows.repartitionById(n, F.pmod("part", F.lit(n)).cast("int")).sortWithinPartitions("part", "kind")
+
+
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[int, list[bytes]]]]:
+    """The payloads of each block or group, by kind."""
+    at, held = None, defaultdict(list)
+    for batch in batches:
+        for part, kind, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            if part != at:
+                if held:
+                    yield at, held
+                at, held = part, defaultdict(list)
+            held[kind].append(blob)
+    if held:
+        yield at, held
+
+
+def _places(uid: np.ndarray, pos: np.ndarray, source: np.ndarray, source_pos: np.ndarray, parts: int) -> list[tuple[int, int, bytes]]:
+    """Found phrases by document group: row identities, counts, position steps, and the places found."""
+    group = (uid % np.uint64(parts)).astype(np.int64)
     order = np.lexsort((pos, uid, group))
-    group, uid, pos = group[order], uid[order], pos[order].astype(np.int64)
+    group, uid, pos, source, source_pos = group[order], uid[order], pos[order].astype(np.int64), source[order], source_pos[order]
+    out = []
     for a, b in itertools.pairwise([*_runs(group), len(group)]):
         starts = _runs(uid[a:b])
         steps = np.diff(pos[a:b], prepend=0)
         steps[starts] = pos[a:b][starts]
-        send(int(group[a]), _squeeze(uid[a:b][starts], np.diff([*starts, b - a]).astype(np.uint32), steps.astype(np.uint32)))
+        out.append((int(group[a]), _PLACES, _squeeze(uid[a:b][starts], np.diff([*starts, b - a]).astype(np.uint32), steps.astype(np.uint32), source[a:b], source_pos[a:b].astype(np.uint32))))
+    return out
 
 
 #: Text bytes that are taken apart at once: the more, the fewer packed arrays for each block.
@@ -79,62 +109,55 @@ PACKED_BYTES = 4 << 20
 def _phrases(window: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in chunks(whole, limit=PACKED_BYTES):
+            for some in chunks(whole, limit=PACKED_BYTES):
+                ids = numbers(some.column("doc_id"))
+                up = np.argsort(ids, kind="stable")
+                ids, batch = ids[up], some.take(pa.array(up))
                 words = Words(batch.column("text"), SPACES)
-                ids, uid = numbers(batch.column("doc_id")), identity(batch.column("doc_id"), words)
+                uid = identity(batch.column("doc_id"), words)
                 h, at = words.grams(window)
+                if not len(h):
+                    continue
                 row = words.rows()[at]
                 pos = at - words.bounds[row]
-                order = np.argsort(h, kind="stable")
+                order = np.argsort(h, kind="stable")  # so the smallest document comes first
                 h, row, pos = h[order], row[order], pos[order]
                 starts = _runs(h)
-                items: list[tuple[int, int, bytes]] = []
-                if len(h):
-                    size = np.diff([*starts, len(h)])
-                    least = np.repeat(np.minimum.reduceat(ids[row], starts), size)
-                    later = ids[row] > least
-                    if later.any():  # a smaller document of this batch holds the phrase
-                        _spans((uid[row[later]] % np.uint64(parts)).astype(np.int64), uid[row[later]], pos[later], parts, lambda g, blob: items.append((g, _SPANS, blob)))
-                    h, row, pos = h[~later], row[~later], pos[~later]
-                    block = (h % np.uint64(parts)).astype(np.int64)
-                    order = np.lexsort((pos, row, block))
-                    h, row, pos, block = h[order], row[order], pos[order], block[order]
-                    for a, b in itertools.pairwise([*_runs(block), len(block)]):
-                        docs = _runs(row[a:b])
-                        steps = np.diff(pos[a:b], prepend=0)
-                        steps[docs] = pos[a:b][docs]
-                        wide = np.flatnonzero(steps > 254)
-                        short = steps.astype(np.uint8)
-                        short[wide] = 255
-                        seven = (h[a:b] // np.uint64(parts)).view(np.uint8).reshape(-1, 8)[:, :7]
-                        meta = _squeeze(ids[row[a:b][docs]], uid[row[a:b][docs]], np.diff([*docs, b - a]).astype(np.uint32), short, steps[wide].astype(np.uint32))
-                        items.append((int(block[a]), _PHRASES, struct.pack("<Q", len(meta)) + meta + seven.tobytes()))
+                first = np.repeat(starts, np.diff([*starts, len(h)]))
+                later = np.flatnonzero(ids[row] > ids[row[first]])  # a smaller document of this batch holds the phrase
+                items = _places(uid[row[later]], pos[later], uid[row[first[later]]], pos[first[later]], parts)
+                left = np.ones(len(h), bool)
+                left[later] = False
+                h, row, pos = h[left], row[left], pos[left]
+                block = (h % np.uint64(parts)).astype(np.int64)
+                order = np.lexsort((pos, row, block))
+                h, row, pos, block = h[order], row[order], pos[order], block[order]
+                for a, b in itertools.pairwise([*_runs(block), len(block)]):
+                    docs = _runs(row[a:b])
+                    steps = np.diff(pos[a:b], prepend=0)
+                    steps[docs] = pos[a:b][docs]
+                    wide = np.flatnonzero(steps > 254)
+                    short = steps.astype(np.uint8)
+                    short[wide] = 255
+                    meta = _squeeze(ids[row[a:b][docs]], uid[row[a:b][docs]], np.diff([*docs, b - a]).astype(np.uint32), short, steps[wide].astype(np.uint32))
+                    items.append((int(block[a]), _PHRASES, struct.pack("<Q", len(meta)) + meta + h[a:b].tobytes()))
                 yield _rows(items)
 
     return run
 
 
-def _answers(parts: int):
+def _found(parts: int):
+    """Of each block: the phrases that a smaller document holds too, with the place in the smallest one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, list[bytes]] = defaultdict(list)
-        for batch in batches:
-            passed = []
-            for part, kind, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if kind == _SPANS:
-                    passed.append((part, kind, blob))
-                else:
-                    blocks[part].append(blob)
-            if passed:
-                yield _rows(passed)
-        for part in list(blocks):
+        for part, kinds in _one_by_one(batches):
+            if kinds[_PLACES]:
+                yield _rows([(part, _PLACES, blob) for blob in kinds[_PLACES]])
             hs, idss, uids, poss = [], [], [], []
-            for blob in blocks.pop(part):
+            for blob in kinds.pop(_PHRASES, ()):
                 (n,) = struct.unpack_from("<Q", blob)
                 ids, uid, counts, short, wide = _loose(blob[8 : 8 + n], "<i8", "<u8", "<u4", "u1", "<u4")
-                seven = np.frombuffer(blob, np.uint8, offset=8 + n).reshape(-1, 7)
-                h = np.zeros((len(seven), 8), np.uint8)
-                h[:, :7] = seven
-                hs.append(h.view("<u8").ravel())
+                hs.append(np.frombuffer(blob, "<u8", offset=8 + n))
                 steps = short.astype(np.int64)
                 steps[short == 255] = wide
                 total = np.cumsum(steps)
@@ -142,16 +165,94 @@ def _answers(parts: int):
                 poss.append((total - np.repeat(total[first] - steps[first], counts)).astype(np.uint32))
                 idss.append(np.repeat(ids, counts))
                 uids.append(np.repeat(uid, counts))
-            h, ids = np.concatenate(hs), np.concatenate(idss)
+            if not hs:
+                continue
+            h = np.concatenate(hs)
             order = np.argsort(h)
-            starts = _runs(h[order])
-            least = np.repeat(np.minimum.reduceat(ids[order], starts), np.diff([*starts, len(h)]))
-            found = order[ids[order] > least]
-            del h, ids, order, least, hs, idss
-            if len(found):
-                uid, pos, items = np.concatenate(uids)[found], np.concatenate(poss)[found], []
-                _spans((uid % np.uint64(parts)).astype(np.int64), uid, pos, parts, lambda g, blob, items=items: items.append((g, _SPANS, blob)))
-                yield _rows(items)
+            h = h[order]
+            same = np.zeros(len(h) + 1, bool)
+            same[1:-1] = h[1:] == h[:-1]
+            shared = same[1:] | same[:-1]  # phrases that come more than once
+            order, h = order[shared], h[shared]
+            if not len(h):
+                continue
+            ids, starts = np.concatenate(idss)[order], _runs(h)
+            group = np.repeat(np.arange(len(starts)), np.diff([*starts, len(h)]))
+            least = np.minimum.reduceat(ids, starts)[group]
+            source = np.minimum.reduceat(np.where(ids == least, np.arange(len(h)), len(h)), starts)[group]
+            later = np.flatnonzero(ids > least)
+            if len(later):
+                uid, pos = np.concatenate(uids)[order], np.concatenate(poss)[order]
+                yield _rows(_places(uid[later], pos[later], uid[source[later]], pos[source[later]], parts))
+
+    return run
+
+
+def _factored(window: int, parts: int):
+    """Of each group: the documents' factors, and one claim for each place that any of them continues."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, kinds in _one_by_one(batches):
+            uids, poss, sources, source_poss = [], [], [], []
+            for blob in kinds.pop(_PLACES, ()):
+                uid, counts, steps, source, source_pos = _loose(blob, "<u8", "<u4", "<u4", "<u8", "<u4")
+                total = np.cumsum(steps.astype(np.int64))
+                first = np.cumsum(counts) - counts
+                poss.append(total - np.repeat(total[first] - steps[first], counts))
+                uids.append(np.repeat(uid, counts))
+                sources.append(source)
+                source_poss.append(source_pos.astype(np.int64))
+            uid, pos, source, source_pos = (np.concatenate(x) for x in (uids, poss, sources, source_poss))
+            order = np.lexsort((pos, uid))
+            uid, pos = uid[order], pos[order]
+            fresh = np.concatenate([[True], (uid[1:] != uid[:-1]) | (pos[1:] != pos[:-1])])  # repeated rows find a place each
+            uid, pos, source, source_pos = uid[fresh], pos[fresh], source[order][fresh], source_pos[order][fresh]
+            goes_on = (uid[1:] == uid[:-1]) & (pos[1:] == pos[:-1] + 1) & (source[1:] == source[:-1]) & (source_pos[1:] == source_pos[:-1] + 1)
+            starts = np.flatnonzero(np.concatenate([[True], ~goes_on]))
+            n = (pos[np.append(starts[1:], len(pos)) - 1] - pos[starts] + window).astype(np.uint32)
+            factors = (uid[starts], pos[starts].astype(np.uint32), n, source[starts], source_pos[starts].astype(np.uint32))
+            items = [(part, _FACTORS, _squeeze(*factors))]
+            claims = np.unique(np.rec.fromarrays([(factors[3] % np.uint64(parts)).astype(np.int64), factors[3], factors[4], n], names="group,uid,pos,n"))
+            for a, b in itertools.pairwise([*_runs(claims.group), len(claims)]):
+                items.append((int(claims.group[a]), _CLAIMS, struct.pack("<i", part) + _squeeze(claims.uid[a:b].astype(np.uint64), claims.pos[a:b].astype(np.uint32), claims.n[a:b].astype(np.uint32))))
+            yield _rows(items)
+
+    return run
+
+
+def _words_of(texts: list[bytes], wanted: set[int] | None = None) -> Iterator[tuple[int, int, list[bytes]]]:
+    """doc_id, identity and words of the rows of a group."""
+    for blob in texts:
+        ids, uid, sizes, body = _loose(blob, "<i8", "<u8", "<i8", "u1")
+        data, at = body.tobytes(), 0
+        for doc, u, size in zip(ids.tolist(), uid.tolist(), sizes.tolist(), strict=True):
+            if wanted is None or u in wanted:
+                yield doc, u, data[at : at + size].split()
+            at += size
+
+
+def _digest(words: list[bytes], pos: int, n: int) -> bytes:
+    return hashlib.blake2b(b" ".join(words[pos : pos + n]), digest_size=16).digest()
+
+
+def _digests():
+    """Answers to claims: digests of the source's words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, kinds in _one_by_one(batches):
+            claims = [(struct.unpack_from("<i", blob)[0], *_loose(blob[4:], "<u8", "<u4", "<u4")) for blob in kinds.pop(_CLAIMS, ())]
+            asked: dict[int, dict[tuple[int, int], bytes]] = defaultdict(dict)
+            for _, uid, pos, n in claims:
+                for u, *place in zip(uid.tolist(), pos.tolist(), n.tolist(), strict=True):
+                    asked[u][tuple(place)] = bytes(16)
+            done = set()
+            for _, u, words in _words_of(kinds[_TEXTS], set(asked)):
+                if u not in done:
+                    done.add(u)
+                    asked[u] = {(pos, n): _digest(words, pos, n) for pos, n in asked[u]}
+            for group, uid, pos, n in claims:
+                made = b"".join(asked[u][p, k] for u, p, k in zip(uid.tolist(), pos.tolist(), n.tolist(), strict=True))
+                yield _rows([(group, _DIGESTS, _squeeze(uid, pos, n, np.frombuffer(made, np.uint8)))])
 
     return run
 
@@ -179,42 +280,35 @@ def _texts(parts: int):
 
 def _kept(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        spans: dict[int, list[bytes]] = defaultdict(list)
-        texts: dict[int, list[bytes]] = defaultdict(list)
-        for batch in batches:
-            for part, kind, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                (texts if kind == _TEXTS else spans)[part].append(blob)
-        for part in list(texts):
-            marks: dict[int, list[np.ndarray]] = defaultdict(list)
-            for blob in spans.pop(part, ()):
-                uid, counts, steps = _loose(blob, "<u8", "<u4", "<u4")
-                at = 0
-                for u, n in zip(uid.tolist(), counts.tolist(), strict=True):
-                    marks[u].append(np.cumsum(steps[at : at + n].astype(np.int64)))
-                    at += n
+        for _, kinds in _one_by_one(batches):
+            digests: dict[tuple[int, int, int], bytes] = {}
+            for blob in kinds.pop(_DIGESTS, ()):
+                uid, pos, n, made = _loose(blob, "<u8", "<u4", "<u4", "u1")
+                made = made.tobytes()
+                digests.update((place, made[16 * k : 16 * k + 16]) for k, place in enumerate(zip(uid.tolist(), pos.tolist(), n.tolist(), strict=True)))
+            factors: dict[int, list[tuple[int, int, bytes]]] = defaultdict(list)
+            for blob in kinds.pop(_FACTORS, ()):
+                for u, pos, n, source, source_pos in zip(*(x.tolist() for x in _loose(blob, "<u8", "<u4", "<u4", "<u8", "<u4")), strict=True):
+                    factors[u].append((pos, n, digests[source, source_pos, n]))
             out: list[tuple] = []
-            for blob in texts.pop(part):
-                ids, uid, sizes, body = _loose(blob, "<i8", "<u8", "<i8", "u1")
-                data, at = body.tobytes(), 0
-                for doc, u, size in zip(ids.tolist(), uid.tolist(), sizes.tolist(), strict=True):
-                    words = data[at : at + size].split()
-                    at += size
-                    removed = n_factors = longest = 0
-                    if found := marks.get(u):
-                        edge = np.zeros(len(words) + 1, np.int32)
-                        pos = np.unique(np.concatenate(found))
-                        edge[pos] += 1
-                        np.add.at(edge, pos + window, -1)
-                        gone = np.cumsum(edge[:-1]) > 0
-                        removed = int(gone.sum())
-                        cuts = np.flatnonzero(np.diff(pos) != 1)  # a factor ends where the next phrase isn't held
-                        ends, begins = np.append(pos[cuts], pos[-1]) + window, np.append(pos[0], pos[cuts + 1])
-                        n_factors, longest = len(begins), int((ends - begins).max())
-                        words = list(itertools.compress(words, (~gone).tolist()))
-                    out.append((None if doc == _NULL_ID else doc, len(words) + removed, removed, hashlib.sha256(b" ".join(words)).hexdigest(), n_factors, longest, words))
-                    if len(out) >= 2000:
-                        yield _result(out)
-                        out = []
+            for doc, u, words in _words_of(kinds[_TEXTS]):
+                held = [(pos, n) for pos, n, made in factors.get(u, ()) if _digest(words, pos, n) == made]
+                runs: list[list[int]] = []  # factors of one document, joined where the next phrase begins in another place
+                for pos, n in sorted(held):
+                    if runs and pos == runs[-1][1] - window + 1:
+                        runs[-1][1] = pos + n
+                    else:
+                        runs.append([pos, pos + n])
+                kept, at = [] if runs else words, 0
+                for a, b in runs:
+                    kept += words[at:a] if a > at else []
+                    at = b
+                kept += words[at:] if runs else []
+                longest = max((b - a for a, b in runs), default=0)
+                out.append((None if doc == _NULL_ID else doc, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), len(runs), longest, kept))
+                if len(out) >= 2000:
+                    yield _result(out)
+                    out = []
             if out:
                 yield _result(out)
 
@@ -228,10 +322,14 @@ def _result(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", "n_factors", "longest_factor", "kept_text"])
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, blocks: int | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 13, blocks: int | None = None, spread: int = 2) -> DataFrame:
     """One row per row of docs: counts, the kept words (joined by one space) and their SHA-256."""
-    parts = blocks or partitions(docs.sparkSession)
+    n = blocks or partitions(docs.sparkSession)
+    parts = spread * n
     docs = docs.select("doc_id", "text")
-    phrases = dealt(docs.mapInArrow(_phrases(window, parts), MOVED), parts, "part")
-    answers = phrases.mapInArrow(_answers(parts), MOVED)
-    return dealt(answers.union(docs.mapInArrow(_texts(parts), MOVED)), parts, "part").mapInArrow(_kept(window), f"{RESULT}, kept_text string")
+    found = stored(_dealt(docs.mapInArrow(_phrases(window, parts), MOVED), n).mapInArrow(_found(parts), MOVED), "places")
+    factored = stored(_dealt(found, n).mapInArrow(_factored(window, parts), MOVED), "factors")
+    forget(found)
+    texts = docs.mapInArrow(_texts(parts), MOVED)
+    digests = stored(_dealt(factored.filter(F.col("kind") == _CLAIMS).union(texts), n).mapInArrow(_digests(), MOVED), "digests")
+    return _dealt(factored.filter(F.col("kind") == _FACTORS).union(digests).union(texts), n).mapInArrow(_kept(window), f"{RESULT}, kept_text string")
