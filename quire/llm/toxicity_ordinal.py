@@ -3,13 +3,19 @@
 Features are folded words and their five-byte prefixes, counted over the whole text; those whose log odds between toxic
 and other texts stand out (root of the likelihood ratio of `least_z` or more) are kept, at most `most_features`. P(grade >= k) is
 sigmoid(w.x - threshold_k) with one w for all k and increasing thresholds; the output is the expected severity, the sum
-of these. Labels of 0 and 1 are refined into grades 0 to 3 by how many distinct strong features a toxic text has
-(thirds of the toxic sample); graded labels can be given instead.
+of these. Graded labels are taken as they are. Labels of 0 and 1 hold no grades; toxic texts then get grades 1 to 3 by
+how many distinct strong features they have (thirds of the toxic sample), where the strong features are those of the
+other half of the sample: no text is graded by features that it helped to choose. These grades measure how much toxic
+wording a text holds, not a human judgement; `toxic` rests on the first threshold alone, which the labels fix.
 
-The model is fitted on a bounded sample of labelled rows (`most_rows`, by id hash).
+The model is fitted on a bounded sample: `most_rows` labelled ids, by id hash, with one text each (of several under one
+id the one with the least MD5), and of a text of more than `most_chars` characters one stretch of that length, at a place
+that its hash chooses. So the driver receives most_rows * most_chars characters at most. Scores are of whole texts.
 
 Defined cases: null or empty text has no features and so the severity of the intercepts; without labelled rows of both
-kinds all severities are 0; rows with one doc_id are scored each; other columns are ignored.
+kinds all severities are 0; an id with several labels has the highest; of equal likely grades the lowest is given; rows
+with one doc_id, and repeated rows, are scored each; very long texts are scored whole; empty documents give no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.words import FOLDED, Words, chunks, mix, powers
@@ -82,6 +88,23 @@ def signed_root(bad: np.ndarray, fine: np.ndarray, n_bad: int, n_fine: int) -> n
     return np.sign(bad * n_fine - fine * n_bad) * np.sqrt(2 * np.maximum(0, part(bad, n_bad) + part(fine, n_fine)))
 
 
+def strong_features(texts: list[str], y: np.ndarray, least_z: float) -> np.ndarray:
+    """Of each text: its distinct features that lean to toxic texts in the half of the texts that it isn't in."""
+    half = np.random.default_rng(11).permutation(len(y)) % 2
+    out = np.zeros(len(y), np.int64)
+    for side in (0, 1):
+        mine, other = np.flatnonzero(half == side), np.flatnonzero(half != side)
+        n_bad, n_fine = (y[other] > 0).sum(), (y[other] == 0).sum()
+        if not n_bad or not n_fine:
+            continue
+        names, bad, fine = counts_of([texts[k] for k in other], y[other] > 0)
+        chosen = names[signed_root(bad, fine, n_bad, n_fine) >= least_z]
+        for a in range(0, len(mine) if len(chosen) else 0, SLICE):
+            row, _, _ = counted(chosen, Words(pa.array([texts[k] for k in mine[a : a + SLICE]], pa.large_string()), FOLDED))
+            out[mine[a : a + SLICE]] = np.bincount(row, minlength=len(mine[a : a + SLICE]))
+    return out
+
+
 def fitted(texts: list[str], labels: list[int], least_z: float = 4.5, most_features: int = 4096, grades: int = 3, steps: int = 600, penalty: float = 5e-6) -> dict | None:
     y = np.array(labels)
     if not (y > 0).any() or not (y == 0).any():
@@ -98,7 +121,7 @@ def fitted(texts: list[str], labels: list[int], least_z: float = 4.5, most_featu
     row, feature, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     grade = np.minimum(y, grades)
     if y.max() == 1:
-        strong = np.bincount(row[z[picked][feature] >= least_z], minlength=len(y))
+        strong = strong_features(texts, y, least_z)
         cuts = np.quantile(strong[y > 0], [k / grades for k in range(1, grades)])
         grade = np.where(y > 0, 1 + (strong[:, None] > cuts).sum(1), 0)
     x = 1 + np.log(n)
@@ -146,16 +169,19 @@ def _score(shared):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000) -> dict | None:
-    """A model from about most_rows labelled rows, by id hash, whole texts."""
-    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "toxic")
+def fit(docs: DataFrame, labels: DataFrame, most_rows: int = 6000, most_chars: int = 1 << 14) -> dict | None:
+    """A model from a bounded sample of labelled rows, see above."""
+    known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     n = known.count()
     if not n:
         return None
-    place = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = known.filter(place < most_rows / n)  # about most_rows rows, however many labels there are
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").toArrow().sort_by("doc_id")
-    return fitted([t or "" for t in rows["text"].to_pylist()], rows["toxic"].to_pylist()) if rows.num_rows else None
+    place = F.pmod(F.xxhash64(F.lit("toxicity"), "doc_id"), F.lit(1 << 30))
+    sample = known.filter(place / F.lit(float(1 << 30)) < 1.2 * (most_rows + 100) / n).orderBy(place, "doc_id").limit(most_rows)
+    found = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    one = found.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.md5("text")))).filter("nth = 1")
+    stretch = F.when(F.length("text") > most_chars, F.expr(f"substring(text, cast(1 + pmod(xxhash64(text), length(text) - {most_chars} + 1) as int), {most_chars})")).otherwise(F.col("text"))
+    rows = one.select("doc_id", "toxic", stretch.alias("text")).toArrow().sort_by("doc_id")
+    return fitted(rows["text"].to_pylist(), rows["toxic"].to_pylist()) if rows.num_rows else None
 
 
 def graded(docs: DataFrame, model: dict | None) -> DataFrame:
