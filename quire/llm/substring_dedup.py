@@ -14,8 +14,9 @@ ends are one run, so that the count doesn't depend on which of several sources w
 Shuffles: phrases to blocks (packed, about 9 bytes each); places found to the document's group; claims to the source's
 group, with the texts; digests and factors to the document's group, with the texts. A phrase that many rows of one batch
 hold is sent once, and a place that many documents of a group continue is claimed once, so a popular passage isn't
-gathered anywhere. Every step's rows are sorted by block or group, which are `spread` times as many as partitions and are
-worked on one at a time; each step but the last is written to the shared folder and its shuffle dropped.
+gathered anywhere. Every step's rows are sorted by block or group, and these are worked on one at a time; each step but the
+last is written to the shared folder and its shuffle dropped. A task needs the memory of one block: a partition, unless
+`spread` cuts partitions into so many blocks each (at the price of as many more, smaller packed rows).
 
 Defined cases: null text has no words; a document with fewer words than the window keeps all; rows with equal doc_id
 are not smaller than each other, so neither loses words to the other; repeated rows are judged each; a null doc_id counts
@@ -322,7 +323,7 @@ def _result(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256", "n_factors", "longest_factor", "kept_text"])
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, blocks: int | None = None, spread: int = 2) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 13, blocks: int | None = None, spread: int = 1) -> DataFrame:
     """One row per row of docs: counts, the kept words (joined by one space) and their SHA-256."""
     n = blocks or partitions(docs.sparkSession)
     parts = spread * n
