@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from quire.functions import patterns as P
+
 
 @dataclass(frozen=True)
 class Config:
@@ -12,6 +14,8 @@ class Config:
     stamp_conf: float = 0.88
     drop_header: bool = True
     drop_footer: bool = True
+    header: str = P.HEADER
+    footer: str = P.FOOTER
     header_y: float = 0.125
     footer_y: float = 0.85
     line_tol: float = 0.45
@@ -26,11 +30,15 @@ class Config:
     tables: bool = True
     grid_tables: bool = True
     page_marker: bool = True
+    figures: bool = True
     font_size: float = 10.5
+    zh_font: str = "宋体"
+    en_font: str = "Times New Roman"
 
 
 #: Fixed values of single operators.
 BREAK_SIZES, MIN_CHARS = 1.2, 20
+RULE_HIGH, RULE_WIDE, RULE_SLIM = 10.0, 14.0, 0.25
 COL_TOL, HOST_SLACK, CROSS_SLACK, COL_SLACK, ROW_GAP = 0.022, 0.01, 0.02, 0.02, 0.05
 LEAD_WINDOW, LEAD, LEAD_FACTOR = 0.08, 0.02, 1.75
 FILL = 0.85

@@ -13,6 +13,9 @@ PROSE_HEAD = r"^([•·●○。]\s*\S|\d{1,2}[\.、]\s*\S|[（(]\d{1,2}[）)]|[
 SHORT_LABEL = r"^[\dA-Za-z][\.、)）]?<end>"
 HEADER = r"^(TROESTER|EXCELLENCE IN EXTRUSION|Contract No\.|January \d+|Attachment \d|De?a?tailed Technical Description|Page\s*\d+\s*/\s*\d+|正直诚信|山东泰开电缆有限公司<end>)"
 FOOTER = r"^(\d{1,3}\s*/\s*\d{1,3}<end>|\d{1,3}<end>|[-—–]\s*\d{1,3}\s*[-—–.．。]?<end>|邮箱|地址|邮编|网址|http|tkdlsc)"
+#: Headers and footers that name nobody, for Config(header=..., footer=...).
+ANY_HEADER = r"^(Contract No\.|January \d+|Attachment \d|Page\s*\d+\s*/\s*\d+)"
+ANY_FOOTER = r"^(\d{1,3}\s*/\s*\d{1,3}<end>|\d{1,3}<end>|[-—–]\s*\d{1,3}\s*[-—–.．。]?<end>|邮箱|地址|邮编|网址|http)"
 SENTENCE = r"[。；;]<end>"
 HEADING_LETTER = r"^[A-Z]\.\s+[A-Z]"
 HEADING_NUMBER = r"^\d{1,2}[\.、]\s*\S"

@@ -141,6 +141,17 @@ def cache_stem(stem: Column) -> Column:
     return F.when(kept == "", "DOC").otherwise(F.substring(kept, 1, 16))
 
 
+def cache_name(stem: Column, version: str, long_edge: Column, flattened: Column, straightened: Column, page_no: Column) -> Column:
+    """The name that a page's items are kept under: stem, version digits, size, how the page was prepared, and the page."""
+    prepared = F.when(straightened & flattened, "df").when(straightened, "d").when(flattened, "f").otherwise("r")
+    return F.concat(cache_stem(stem), L("_" + version.replace(".", "") + "_"), long_edge.cast("string"), prepared, L("_"), F.when(page_no > 9999, page_no.cast("string")).otherwise(F.lpad(page_no.cast("string"), 4, "0")), L(".json"))
+
+
+def cache_key(content: Column, *options: Column) -> Column:
+    """A key by content and everything that changes what is read, so that like names don't meet."""
+    return F.sha2(F.concat_ws("\n", F.sha2(content, 256), *[F.coalesce(o.cast("string"), L("")) for o in options]), 256)
+
+
 def duration(seconds: Column) -> Column:
     s = seconds.cast("long")
     return F.when(s >= 3600, F.format_string("%d h %d min", F.floor(s / 3600), F.floor(F.pmod(s, L(3600)) / 60))).when(s >= 60, F.format_string("%d min %d s", F.floor(s / 60), F.pmod(s, L(60)))).otherwise(F.format_string("%d s", s))

@@ -5,6 +5,7 @@ A document's page starts are the group (bounded by its pages); the folds carry o
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from itertools import groupby
 
 from pyspark.sql import DataFrame
@@ -81,16 +82,22 @@ def continued(blocks: DataFrame, policy=anchored_pieces) -> DataFrame:
     return folded(blocks.select("doc_id", "page_no", "block", "kind", "starts"), ["doc_id"], ["page_no", "block"], one, "doc_id long, page_no int, block int, kind string, table_no int")
 
 
-def tiers(starts: list[float], step: float) -> list[tuple[float, int]]:
-    """Indent tiers in order of place: a start within half a step of a tier's first start belongs to it."""
-    found: list[list] = []
-    for x in starts:
-        near = next((t for t in found if abs(t[0] - x) <= step / 2), None)
-        if near:
-            near[1] += 1
-        else:
-            found.append([x, 1])
-    return sorted((x, n) for x, n in found)
+def merged_tiers(pages: list[list[float]], step: float) -> list[tuple[float, int]]:
+    """Indent tiers by place, with their hits: pages in order, starts of a page ascending.
+
+    A start within half a step of a tier belongs to it (the leftmost such tier); a tier stays where its first start is.
+    """
+    place: list[float] = []
+    hits: list[int] = []
+    for starts in pages:
+        for x in sorted(starts):
+            k = bisect_left(place, x - step / 2)
+            if k < len(place) and place[k] <= x + step / 2:
+                hits[k] += 1
+            else:
+                place.insert(k, x)
+                hits.insert(k, 1)
+    return list(zip(place, hits, strict=True))
 
 
 def zero_of(found: list[tuple[float, int]]) -> float:
@@ -98,15 +105,17 @@ def zero_of(found: list[tuple[float, int]]) -> float:
     return next((x for x, n in found if n >= IND_MIN_HITS), found[0][0] if found else 0.0)
 
 
-def indent_zero(paras: DataFrame, step: float = 0.035) -> DataFrame:
-    """Each document's zero of indents, from all its pages: the first of two passes, the second joins it."""
+def indent_zero(lines: DataFrame, step: float = 0.035) -> DataFrame:
+    """Each document's zero of indents, from the text lines of all its pages (doc_id, page_no, cx0): the first of two passes."""
+
+    def one(key: tuple, rows: list[tuple]) -> list[tuple]:
+        return [(*key, zero_of(merged_tiers([[x for _, x in some] for _, some in groupby(rows, key=lambda r: r[0])], step)))]
 
-    one = lambda key, rows: [(*key, zero_of(tiers([cx0 for *_, cx0 in rows], step)))]
-    return folded(paras.select("doc_id", "page_no", "para", "cx0"), ["doc_id"], ["page_no", "para"], one, "doc_id long, zero double")
+    return folded(lines.select("doc_id", "page_no", "cx0"), ["doc_id"], ["page_no", "cx0"], one, "doc_id long, zero double")
 
 
-def indented(paras: DataFrame, step: float = 0.035, most: int = 15) -> DataFrame:
-    """Paragraphs with their indent level and whether they are right-aligned."""
-    joined = paras.join(indent_zero(paras, step), "doc_id")
-    raw = F.round((F.col("cx0") - F.col("zero")) / step)
-    return joined.withColumn("level", F.least(F.greatest(raw, F.lit(0.0)), F.lit(float(most))).cast("int")).withColumn("right", (raw > most) & (F.col("rx1") - F.col("rx0") < 0.25))
+def indented(paras: DataFrame, lines: DataFrame, step: float = 0.035, most: int = 15) -> DataFrame:
+    """Paragraphs with their indent level and whether they are right-aligned: the second pass. lines: of text blocks, see indent_zero()."""
+    joined = paras.join(indent_zero(lines, step), "doc_id", "left")
+    raw = F.round((F.col("cx0") - F.coalesce("zero", F.lit(0.0))) / step)
+    return joined.withColumn("level", F.least(F.greatest(raw, F.lit(0.0)), F.lit(float(most))).cast("int")).withColumn("right", (raw > most) & (F.col("rx1") - F.col("cx0") < 0.25))

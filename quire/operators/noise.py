@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.config import Config
-from quire.functions import patterns as P
 from quire.functions import text as X
 
 
-def relative(items: DataFrame, width: float, height: float) -> DataFrame:
+def relative(items: DataFrame, width: float | Column, height: float | Column) -> DataFrame:
     return items.withColumns({"rx0": F.col("x0") / width, "rx1": F.col("x1") / width, "ry0": F.col("y0") / height, "ry1": F.col("y1") / height})
 
 
-def zones(items: DataFrame, width: float, height: float, cfg: Config = Config()) -> DataFrame:
+def zones(items: DataFrame, width: float | Column, height: float | Column, cfg: Config = Config()) -> DataFrame:
     """Items that are no noise, with cleaned text and zone (body, header or footer)."""
     rows = relative(items.withColumn("t", X.clean(F.col("t"))).filter("t != ''"), width, height)
     t, n, s = F.col("t"), F.length("t"), F.col("s")
@@ -24,6 +23,6 @@ def zones(items: DataFrame, width: float, height: float, cfg: Config = Config())
         side = ((F.col("rx0") > 0.95) | (F.col("rx1") < 0.05)) & (n <= 3)
         stamp = (s < cfg.stamp_conf) & (n <= 4) & ~prose & ~X.short_label(t)
         rows = rows.filter(~(edge | side | stamp))
-    header = F.lit(cfg.drop_header) & (F.col("ry1") < cfg.header_y) & X.like(t, P.HEADER)
-    footer = F.lit(cfg.drop_footer) & (F.col("ry0") > cfg.footer_y) & X.like(t, P.FOOTER)
+    header = F.lit(cfg.drop_header) & (F.col("ry1") < cfg.header_y) & X.like(t, cfg.header)
+    footer = F.lit(cfg.drop_footer) & (F.col("ry0") > cfg.footer_y) & X.like(t, cfg.footer)
     return rows.withColumn("zone", F.when(header, "header").when(footer, "footer").otherwise("body"))

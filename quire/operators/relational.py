@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.config import BREAK_SIZES, COL_SLACK, MIN_CHARS
+from quire.config import COL_SLACK, MIN_CHARS
 
 PAGE = ("doc_id", "page_no")
 
@@ -16,32 +16,6 @@ def usable_pages(chars: DataFrame, least: int = MIN_CHARS) -> DataFrame:
     return chars.groupBy(*PAGE).agg(n.alias("visible")).withColumn("usable", F.col("visible") >= least)
 
 
-def rows_of(chars: DataFrame) -> DataFrame:
-    """Characters with a row number: a row ends where the next centre is half a height away."""
-    by = Window.partitionBy(*PAGE).orderBy("cy", "x0", "seq")
-    rows = chars.withColumn("cy", (F.col("y0") + F.col("y1")) / 2)
-    far = F.abs(F.col("cy") - F.lag("cy").over(by)) >= 0.5 * F.greatest(F.least(F.col("y1") - F.col("y0"), F.lag(F.col("y1") - F.col("y0")).over(by)), F.lit(1.0))
-    return rows.withColumn("new", F.coalesce(far, F.lit(True)).cast("int")).withColumn("row", F.sum("new").over(by)).drop("new", "cy")
-
-
-def segments(chars: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """Items from text-layer characters: a row breaks at wide gaps and where a vertical rule stands between two."""
-    rows = rows_of(chars)
-    by = Window.partitionBy(*PAGE, "row").orderBy("x0", "seq")
-    gap = F.col("x0") - F.lag("x1").over(by) > BREAK_SIZES * F.greatest(F.col("size"), F.lag("size").over(by), F.lit(1.0))
-    rows = rows.withColumn("brk", F.coalesce(gap, F.lit(True)))
-    if rules is not None:
-        centre, before = (F.col("x0") + F.col("x1")) / 2, F.lag((F.col("x0") + F.col("x1")) / 2).over(by)
-        rows = rows.withColumns({"xb": centre, "xa": before, "yc": (F.col("y0") + F.col("y1")) / 2})
-        r = rules.select(*PAGE, F.col("x").alias("r_x"), F.col("y0").alias("r_y0"), F.col("y1").alias("r_y1"))
-        apart = rows.select(*PAGE, "seq", "xa", "xb", "yc").join(r, list(PAGE)).filter("xa < r_x and r_x < xb and r_y0 <= yc and yc <= r_y1").select(*PAGE, "seq").distinct().withColumn("apart", F.lit(True))
-        rows = rows.join(apart, [*PAGE, "seq"], "left").withColumn("brk", F.col("brk") | F.coalesce("apart", F.lit(False)))
-    rows = rows.withColumn("seg", F.sum(F.col("brk").cast("int")).over(by))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x0", "seq", "c"))), lambda s: s["c"]), "")
-    items = rows.groupBy(*PAGE, "row", "seg").agg(text.alias("t"), *[f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))])
-    return items.filter(~F.col("t").rlike(r"(?U)^\s*\z")).withColumn("s", F.lit(1.0))
-
-
 def gap_clusters(values: DataFrame, keys: list[str], value: str, tol: float | Column) -> DataFrame:
     """Clusters of sorted values whose neighbours are at most tol apart: number, mean and size."""
     by = Window.partitionBy(*keys).orderBy(value)

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from quire.functions import interface
 from quire.functions import patterns as P
 from quire.functions import text as X
-from quire.operators import components, crosspage, figures, grids, imaging, noise, page, recognition, styles
+from quire.operators import components, crosspage, figures, grids, imaging, noise, page, recognition, styles, textlayer
 from quire.operators import relational as R
-from quire.sinks import document, markdown, searchable_pdf, spreadsheet
+from quire.sinks import markdown, searchable_pdf
 from quire.sources import jobs
 from quire.sources import typeset as T
 
@@ -82,13 +82,6 @@ def markdown_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return markdown.rendered(page.blocks_of(nation_items(spark, sf_dir), W, H))
 
 
-@query()
-def workbook_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("s_suppkey")
-    items = T.cells(T.table(spark, sf_dir, "supplier"), F.floor(key / 500), F.pmod(key, F.lit(500)), [key, F.col("s_name"), F.col("s_nationkey"), money(F.col("s_acctbal"))], 240)
-    return spreadsheet.workbooks(page.blocks_of(items, W, H)).select("doc_id", F.sha2("content", 256).alias("sha"))
-
-
 # ---- text rules
 
 _WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -203,7 +196,7 @@ def usable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""WITH {_PIECES} SELECT doc_id, (pos // 40 + 1)::INT AS page_no, t, (64 + 32 * (pos % 3))::DOUBLE AS x0, (320 + 32 * (pos % 40))::DOUBLE AS y0 FROM pieces WHERE trim(t) <> ''""")
 def segment_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.segments(T.characters(T.prose(T.table(spark, sf_dir, "documents")))).select("doc_id", "page_no", "t", "x0", "y0")
+    return textlayer.segments(T.characters(T.prose(T.table(spark, sf_dir, "documents")))).select("doc_id", "page_no", "t", "x0", "y0")
 
 
 @query("""WITH d AS (SELECT l_suppkey, l_extendedprice AS v, CASE WHEN l_extendedprice - lag(l_extendedprice) OVER w > 50 OR lag(l_extendedprice) OVER w IS NULL THEN 1 ELSE 0 END AS b FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_extendedprice)),
@@ -331,16 +324,6 @@ def line_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.lines_of(T.prose(T.table(spark, sf_dir, "documents")), W, H).select("doc_id", "page_no", "text", "cx0", "ry0")
 
 
-@query()
-def para_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return page.paragraphs_of(T.prose(T.table(spark, sf_dir, "documents")), W, H)
-
-
-@query()
-def para_indents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return crosspage.indented(page.paragraphs_of(T.prose(T.table(spark, sf_dir, "documents")), W, H))
-
-
 @query(f"WITH {_LINES} SELECT doc_id, page_no, count(*) AS n_lines, count(DISTINCT cx0) AS n_starts, min(ry0) AS top FROM l GROUP BY ALL")
 def page_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose_lines(spark, sf_dir).groupBy("doc_id", "page_no").agg(F.count("*").alias("n_lines"), F.countDistinct("cx0").alias("n_starts"), F.min("ry0").alias("top"))
@@ -442,20 +425,6 @@ def format_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- files
 
 
-@query()
-def word_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("s_suppkey")
-    items = T.cells(T.table(spark, sf_dir, "supplier"), F.floor(key / 500), F.pmod(key, F.lit(500)), [key, F.col("s_name"), F.col("s_nationkey"), money(F.col("s_acctbal"))], 240)
-    blocks = page.blocks_of(items, W, H)
-    numbered = blocks.join(crosspage.continued(blocks).select("doc_id", "page_no", "block", "table_no"), ["doc_id", "page_no", "block"], "left")
-    return document.documents(numbered).select("doc_id", F.sha2("content", 256).alias("sha"))
-
-
-@query()
-def searchable_pdf_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return searchable_pdf.documents(T.prose(T.table(spark, sf_dir, "documents")), W, H).select("doc_id", F.length("content").alias("size"))
-
-
 @query(f"""WITH {_PIECES} SELECT doc_id, pos, 24 * 72 / 150.0::DOUBLE AS size, least(greatest(round(100 * (10 * len(t)) * .48 / (greatest(len(t), 1) * 11.52), 6), 10), 400)::DOUBLE AS stretch,
 round((64 + 32 * (pos % 3)) * .48, 6)::DOUBLE AS x, round(2048 * .48 - (344 + 32 * (pos % 40)) * .48 + .15 * 11.52, 6)::DOUBLE AS baseline FROM pieces WHERE t <> ''""")
 def text_run_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -503,12 +472,6 @@ def figure_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return figures.interleaved(blocks, figs).filter("kind = 'figure'").select("doc_id", F.col("at").alias("place"))
 
 
-@query()
-def paragraph_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paras = page.paragraphs_of(T.prose(T.table(spark, sf_dir, "documents")), W, H)
-    return styles.styled(crosspage.indented(paras)).select("doc_id", "page_no", "para", "style", "size", "bold", "align", "left")
-
-
 @query("""SELECT n_nationkey, round(greatest(9000 * ((1 + n_nationkey) / 100.0::DOUBLE) / .9, 680.4))::INT AS first, round(9000 * (.9 - (1 + n_nationkey) / 100.0::DOUBLE) / .9)::INT AS second,
 round(9000 * (1 + n_nationkey) / (5.0 + n_nationkey))::INT AS ruled FROM nation""")
 def column_widths(spark: SparkSession, sf_dir: str) -> DataFrame:

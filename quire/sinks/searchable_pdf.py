@@ -73,6 +73,11 @@ def texts(blob: bytes) -> list[list[str]]:
     return out
 
 
+def page_numbers(blob: bytes) -> range:
+    """Pages of a file, from 1."""
+    return range(1, len(re.findall(rb"/Type /Page /Parent", blob)) + 1)
+
+
 def documents(items: DataFrame, width: int, height: int) -> DataFrame:
     """doc_id, content: text-only pages of one size. A document is one group, as its file is one."""
 

@@ -26,6 +26,29 @@ def batch(jobs: DataFrame, default: str, failed_only: bool = False) -> DataFrame
     return wanted.withColumn("formats", F.coalesce("formats", F.lit(default)))
 
 
+def removed(jobs: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """The queue without a path, and what was taken out, for undone()."""
+    return jobs.filter(F.col("path") != path), jobs.filter(F.col("path") == path)
+
+
+def undone(jobs: DataFrame, taken: DataFrame) -> DataFrame:
+    """The queue with the last removal back, unless the path was added again meanwhile."""
+    return jobs.unionByName(taken.join(jobs.select("path"), "path", "left_anti"))
+
+
+def retried(jobs: DataFrame, path: str) -> DataFrame:
+    """The queue with one failed job waiting again; all other results stay."""
+    again = (F.col("path") == path) & (F.col("status") == "failed")
+    return jobs.withColumn("status", F.when(again, "waiting").otherwise(F.col("status")))
+
+
+def run_summary(outcomes: DataFrame) -> DataFrame:
+    """One row: files done, failed and left, and failed pages. outcomes: path, status (done, failed or waiting), n_errors."""
+    count = lambda s: F.count_if(F.col("status") == s)
+    pages = F.coalesce(F.sum(F.when(F.col("status") == "done", F.col("n_errors"))), F.lit(0)).cast("long")
+    return outcomes.agg(count("done").alias("done"), count("failed").alias("failed"), count("waiting").alias("left"), pages.alias("failed_pages"))
+
+
 def toggled(formats: Column, name: Column) -> Column:
     """An array of formats with one switched; the last one can't be switched off."""
     after = F.when(F.array_contains(formats, name), F.array_remove(formats, name)).otherwise(F.array_append(formats, name))
@@ -43,3 +66,16 @@ def verified(files: DataFrame, packs: DataFrame) -> DataFrame:
     """name, ok: whether each pack's content has its size and SHA-256. files: name, content; packs: name, bytes, sha256."""
     right = (F.length("content") == F.col("bytes")) & (F.sha2("content", 256) == F.lower("sha256"))
     return packs.join(files.select("name", "content"), "name", "left").select("name", F.coalesce(right, F.lit(False)).alias("ok"))
+
+
+def chosen_pack(registry: DataFrame, files: DataFrame, code: str) -> str:
+    """The file name of a language pack. registry: code, name, bytes, sha256. Never another pack instead: errors say what is wrong."""
+    wanted = registry.filter(F.col("code") == code)
+    rows = wanted.join(verified(files, wanted), "name").join(files.select("name", F.lit(True).alias("there")).distinct(), "name", "left").collect()  # a row a pack of one code
+    if not rows:
+        raise ValueError(f"no language pack is known as {code}")
+    if not rows[0].there:
+        raise FileNotFoundError(f"the language pack {rows[0].name} is not installed")
+    if not rows[0].ok:
+        raise ValueError(f"the language pack {rows[0].name} is damaged")
+    return rows[0].name

@@ -48,6 +48,23 @@ def strewn(docs: DataFrame) -> DataFrame:
     )
 
 
+#: Fixed values of this adapter: beginnings and ends of an essay's lines; most lines have none.
+ESSAY_HEADS = ("", "", "1. ", "", "", "a. ", "", "• ", "", "第二条 ", "", "(1) ", "", "一、", "", "- ")
+ESSAY_TAILS = ("", "", "", ".", "", "；")
+
+
+def essay(docs: DataFrame) -> DataFrame:
+    """Items of prose with lists, centred short lines and small indents, ten pixels a character."""
+    pos, n = F.col("pos"), F.col("doc_id")
+    pick = lambda xs, k: F.element_at(F.array(*map(F.lit, xs)), (F.pmod(k, F.lit(len(xs))) + 1).cast("int"))
+    short = F.pmod(pos, F.lit(23)) == 7
+    t = F.when(short, F.substring("t", 1, 20)).otherwise(F.concat(pick(ESSAY_HEADS, F.floor(pos / 3) + n), F.col("t"), pick(ESSAY_TAILS, F.floor(pos / 2) + 3 * n)))
+    x0 = F.when(short, 412).when(F.pmod(pos, F.lit(11)) == 5, 104).when(F.pmod(pos, F.lit(7)) == 0, 84).otherwise(64)
+    y0 = TOP + PITCH * F.pmod(pos, F.lit(ROWS))
+    lines = pieces(docs).filter("t != ''").select("doc_id", (F.floor(pos / ROWS) + 1).cast("int").alias("page_no"), pos.alias("seq"), t.alias("t"), x0.cast("double").alias("x0"), y0.cast("double").alias("y0"))
+    return lines.select("*", (F.col("x0") + 10 * F.length("t")).alias("x1"), (F.col("y0") + TALL).alias("y1"), F.lit(0.99).alias("s"))
+
+
 def cells(rows: DataFrame, doc: Column, number: Column, columns: list[Column], pitch: int) -> DataFrame:
     """Items of a table: a cell an item, columns pitch pixels apart. number: the row's place in its document, from 0."""
     numbered = rows.select(doc.cast("long").alias("doc_id"), number.cast("long").alias("n"), F.posexplode(F.array(*[c.cast("string") for c in columns])).alias("c", "t"))

@@ -2,7 +2,7 @@
 
 import duckdb
 import pytest
-from quire.plans import catalogue
+from quire.plans import catalogue, outputs  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
