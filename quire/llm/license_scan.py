@@ -2,13 +2,14 @@
 the expressions that the tags carry.
 
 Words are maximal runs of a-z, 0-9 and non-ASCII characters after lower-casing A-Z; a phrase matches where its words
-stand consecutively. All phrases, and the words of the tag itself, are in one automaton. Where the tag occurs, the rest
-of its line is parsed as an expression of identifiers with `and`, `or`, `with` and parentheses (with binds before and,
-and before or), and evaluated to an obligation rank: `or` takes the lesser, `and` the greater, and an exception granted
-by `with` lowers a copyleft rank by one.
-
-Defined cases: null text is empty; a malformed expression gives no labels and no rank; several tags are evaluated each
-and joined as by `and`; other columns are ignored; an empty table gives no rows.
+stand consecutively. All phrases, and the words of the tag itself, are in one automaton. Where the tag occurs, the longest
+leading part of its line that is an expression of identifiers with `and`, `or`, `with` and parentheses (with binds before
+and, and before or) is evaluated to an obligation rank: `or` takes the lesser, `and` the greater, and an exception granted
+by `with` lowers a copyleft rank by one. What follows that part (a comma, prose, a closing quote) is not the tag's.
+
+Defined cases: null text is empty; a line without an expression gives no labels and no rank; several tags are evaluated
+each and joined as by `and`; very long texts and lines are scanned whole, in time in proportion to their length; phrases
+that overlap count each; repeated rows are scanned each; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -56,7 +57,7 @@ FAMILIES = (
 )
 _LEVEL = {"or": 1, "and": 2, "with": 3}
 _TOKEN = re.compile(r"\s*([()]|[A-Za-z0-9][A-Za-z0-9.+_:-]*)")
-_TAG = re.compile(r"spdx-license-identifier:[ \t]*([^\n\r*#<>]*)", re.IGNORECASE)
+_TAG = re.compile(r"spdx-license-identifier:[ \t]*[\"'`]?([^\n\r*#<>]*)", re.IGNORECASE)
 
 
 def postfix(text: str) -> list[str] | None:
@@ -99,6 +100,23 @@ def postfix(text: str) -> list[str] | None:
     return out + stack[::-1]
 
 
+def leading(text: str) -> list[str] | None:
+    """postfix() of the longest leading part that parses; None if there is none."""
+    at = depth = end = 0
+    operand = True
+    while m := _TOKEN.match(text, at):
+        low = m[1].lower()
+        if operand == (low == ")" or low in _LEVEL):
+            break
+        depth += (low == "(") - (low == ")")
+        if depth < 0:
+            break
+        operand, at = low == "(" or low in _LEVEL, m.end()
+        if not operand and not depth:
+            end = at
+    return postfix(text[:end]) if end else None
+
+
 def evaluate(form: list[str]) -> tuple[int, set[str]]:
     """Obligation rank and families of a postfix expression; an unknown identifier is restricted and its own family."""
     stack: list[tuple[int, set[str]]] = []
@@ -143,7 +161,7 @@ def scan_text(text: str | None) -> tuple:
         tagged |= phrase == TAG
     rank, expressions = None, []
     for m in _TAG.finditer(text or "") if tagged else ():
-        if form := postfix(m[1]):
+        if form := leading(m[1]):
             own, families = evaluate(form)
             rank, score = max(own, rank or 0), 1.0
             labels |= families
