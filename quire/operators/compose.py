@@ -149,10 +149,10 @@ def pages_of(items: DataFrame, pages: DataFrame, cfg: Config = Config()) -> Data
 
 
 def blocks_of(pages: DataFrame) -> DataFrame:
-    """doc_id, page_no, block and the block's columns; a page with an error is one row of kind `failed`."""
-    each = pages.filter("error IS NULL").select(*PAGE, F.posexplode("blocks").alias("block", "b")).select(*PAGE, "block", "b.*")
-    failed = pages.filter("error IS NOT NULL").select(*PAGE, F.lit(0).alias("block"), F.lit("failed").alias("kind"))
-    return each.unionByName(failed, allowMissingColumns=True)
+    """doc_id, page_no, block and the block's columns; a page with an error is one row of kind `failed`, one without blocks `empty`."""
+    kind = F.when(F.col("error").isNotNull(), "failed").when(F.size("blocks") == 0, "empty")
+    each = pages.withColumn("kind_of_page", kind).select(*PAGE, "kind_of_page", F.posexplode_outer("blocks").alias("block", "b")).select(*PAGE, "kind_of_page", "block", "b.*")
+    return each.withColumns({"kind": F.coalesce("kind_of_page", "kind"), "block": F.coalesce("block", F.lit(0))}).drop("kind_of_page")
 
 
 def statistics(pages: DataFrame) -> DataFrame:

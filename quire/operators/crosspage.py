@@ -6,6 +6,7 @@ A document's page starts are the group (bounded by its pages); the folds carry o
 from __future__ import annotations
 
 from bisect import bisect_left
+from dataclasses import dataclass, field
 from itertools import groupby
 
 from pyspark.sql import DataFrame
@@ -19,37 +20,46 @@ def close(a: list[float], b: list[float], tol: float) -> bool:
     return len(a) == len(b) and all(abs(x - y) < tol for x, y in zip(a, b, strict=True))
 
 
-def anchored_pieces(pages: list[tuple[int, list[tuple[str, list[float]]] | None]]) -> list[tuple[int, int, str, int]]:
-    """(page, block, kind, table number) by the word-processor policy.
+Blocks = list[tuple[str, list[float]]] | None
 
-    pages: by number, blocks (kind, starts) or None for a failed page. Only a page's first block can go on; it is
-    compared with the table's first piece. Text closes a grid but leaves a borderless table open; a figure closes both.
+
+@dataclass
+class Anchors:
+    """The word-processor policy, a page at a time; also the state of a stream.
+
+    Only a page's first block can go on. It is compared with the table's first piece. Text closes a grid but leaves a
+    borderless table open, a figure or a failed page closes both, and a grid closes a borderless table and the other way
+    round. held: by kind, the table's number, the starts of its first piece, and the last page.
     """
-    table: tuple[int, list[float], int] | None = None  # number, starts of the first piece, last page
-    grid: tuple[int, list[float], int] | None = None
-    out, number = [], 0
-    for page, blocks in pages:
-        if blocks is None:
-            table = grid = None
-            continue
-        for k, (kind, starts) in enumerate(blocks):
-            if kind == "text":
-                grid = None
-            elif kind == "figure":
-                table = grid = None
+
+    number: int = 0
+    held: dict[str, tuple[int, list[float], int]] = field(default_factory=dict)
+
+    def page(self, page: int, blocks: Blocks) -> list[tuple[int, int, str, int]]:
+        """(page, block, kind, table number) of the page's tables. blocks: kind and starts, or None for a failed page."""
+        out = []
+        for k, (kind, starts) in enumerate([("figure", [])] if blocks is None else blocks):
+            if kind in ("table", "grid"):
+                number, first, last = self.held.get(kind, (0, [], 0))
+                if k or not number or last != page - 1 or not close(first, starts, SAME_GRID if kind == "grid" else SAME_TABLE):
+                    self.number += 1
+                    number, first = self.number, starts
+                self.held = {kind: (number, first, page)}
+                out.append((page, k, kind, number))
+            elif kind == "text":
+                self.held.pop("grid", None)
             else:
-                held = grid if kind == "grid" else table
-                if k == 0 and held and held[2] == page - 1 and close(held[1], starts, SAME_GRID if kind == "grid" else SAME_TABLE):
-                    held = (held[0], held[1], page)
-                else:
-                    number += 1
-                    held = (number, starts, page)
-                table, grid = (None, held) if kind == "grid" else (held, None)
-                out.append((page, k, kind, held[0]))
-    return out
+                self.held = {}
+        return out
+
 
+def anchored_pieces(pages: list[tuple[int, Blocks]]) -> list[tuple[int, int, str, int]]:
+    """The tables of pages, by number, after the policy of Anchors."""
+    state = Anchors()
+    return [piece for page, blocks in pages for piece in state.page(page, blocks)]
 
-def counted_pieces(pages: list[tuple[int, list[tuple[str, list[float]]] | None]]) -> list[tuple[int, int, str, int]]:
+
+def counted_pieces(pages: list[tuple[int, Blocks]]) -> list[tuple[int, int, str, int]]:
     """The same by the Markdown policy: only the column count matters, grids and tables are alike, text and figures close."""
     held: tuple[int, int, int] | None = None  # number, columns, page
     out, number = [], 0
@@ -75,7 +85,7 @@ def continued(blocks: DataFrame, policy=anchored_pieces) -> DataFrame:
     def one(key: tuple, rows: list[tuple]) -> list[tuple]:
         pages = []
         for number, some in groupby(rows, key=lambda r: r[0]):
-            own = [(kind, starts or []) for _, _, kind, starts in some]
+            own = [(kind, starts or []) for _, _, kind, starts in some if kind != "empty"]
             pages.append((number, None if any(kind == "failed" for kind, _ in own) else own))
         return [(*key, *r) for r in policy(pages)]
 
@@ -100,6 +110,11 @@ def merged_tiers(pages: list[list[float]], step: float) -> list[tuple[float, int
     return list(zip(place, hits, strict=True))
 
 
+def tiers(starts: list[float], step: float) -> list[tuple[float, int]]:
+    """The tiers of one page."""
+    return merged_tiers([starts], step)
+
+
 def zero_of(found: list[tuple[float, int]]) -> float:
     """The leftmost tier with enough hits, else the leftmost, else 0."""
     return next((x for x, n in found if n >= IND_MIN_HITS), found[0][0] if found else 0.0)

@@ -57,8 +57,12 @@ def uncovered(segs: DataFrame, boxes: DataFrame, share: float = 0.8, inset: floa
 
 
 def anchored(v: DataFrame, ys: DataFrame, tol: float) -> DataFrame:
-    """Vertical segments that reach at least two of the page's horizontal positions. ys: y."""
-    hit = v.join(ys, list(PAGE)).filter(F.col("y").between(F.col("y0") - tol, F.col("y1") + tol))
+    """Vertical segments that reach at least two of the page's horizontal positions, up to twice tol past their ends. ys: y.
+
+    Rules at nearly one height are one position: the mean of a cluster whose neighbours are at most tol apart.
+    """
+    positions = gap_clusters(ys.select(*PAGE, "y"), list(PAGE), "y", tol).select(*PAGE, F.col("mean").alias("y"))
+    hit = v.join(positions, list(PAGE)).filter(F.col("y").between(F.col("y0") - 2 * tol, F.col("y1") + 2 * tol))
     return hit.groupBy(*PAGE, "v_id").agg(F.count("*").alias("reached")).filter("reached >= 2")
 
 
@@ -73,10 +77,21 @@ def col_of(x: Column, starts: Column, slack: float = COL_SLACK) -> Column:
     return F.greatest(F.lit(0), F.array_max(F.transform(starts, lambda s, i: F.when(x >= s - slack, i).otherwise(0))))
 
 
-def runs(pixels: DataFrame, keys: list[str], at: str, least: int) -> DataFrame:
-    """One-dimensional opening: runs of consecutive set positions of at least a length."""
-    by = Window.partitionBy(*keys).orderBy(at)
-    return pixels.withColumn("_k", F.col(at) - F.row_number().over(by)).groupBy(*keys, "_k").agg(F.min(at).alias("start"), F.count("*").alias("length")).filter(F.col("length") >= least).drop("_k")
+def runs(pixels: DataFrame, keys: list[str], at: str, least: int, stretch: int = 1 << 16) -> DataFrame:
+    """One-dimensional opening: runs of consecutive set positions of at least a length.
+
+    Runs are found in stretches of positions, so that a key with most rows is spread; only runs that touch a stretch's
+    border, two for each stretch and key at most, meet in one window to be joined.
+    """
+    part, by = [*keys, "_b"], Window.partitionBy(*keys, "_b").orderBy(at)
+    local = pixels.withColumn("_b", F.floor(F.col(at) / stretch)).withColumn("_k", F.col(at) - F.row_number().over(by))
+    local = local.groupBy(*part, "_k").agg(F.min(at).alias("start"), F.max(at).alias("end"))
+    touches = (F.pmod("start", F.lit(stretch)) == 0) | (F.pmod("end", F.lit(stretch)) == stretch - 1)
+    along = Window.partitionBy(*keys).orderBy("start")
+    new = F.coalesce((F.col("start") != F.lag("end").over(along) + 1).cast("int"), F.lit(1))
+    joined = local.filter(touches).withColumn("_new", new).withColumn("_run", F.sum("_new").over(along)).groupBy(*keys, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    every = local.filter(~touches).select(*keys, "start", "end").unionByName(joined.select(*keys, "start", "end"))
+    return every.withColumn("length", F.col("end") - F.col("start") + 1).filter(F.col("length") >= least).drop("end")
 
 
 def line_pitch(lines: DataFrame) -> DataFrame:

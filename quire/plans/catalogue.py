@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import interface
-from quire.functions import patterns as P
 from quire.functions import text as X
 from quire.operators import components, crosspage, figures, grids, imaging, noise, page, recognition, styles, textlayer
 from quire.operators import relational as R
@@ -87,8 +86,14 @@ def markdown_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WS = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 
 
-def _re(pattern: str) -> str:
-    return pattern.replace("<end>", r"\z").replace("'", "''")
+# The patterns of the SQL, written out from the rules; the implementation's are never read here.
+_NUM = r"^(\d{1,2}\.\d{1,2}(\.\d{1,2})?[\s、．.]|\d{1,2}[.、]\s*|[一二三四五六七八九十]+[、．.]|[（(]\d{1,2}[）)]|[（(][A-Za-z][）)]|[ivxIVX]{2,4}[.、](\s|[A-Z][a-z])|[A-Za-z][.、](\s|[A-Z][a-z])|[•·●○*]\s*|[-–—]\s+)"
+_STOP = r"[。．.：:；;!?！？）)】\]\"”]\z"
+_GLYPH = r"^([•·●○*]\s*|[-–—]\s+)"
+_PROSE = r"[。！？；：]\z|^([•·●○。]\s*\S|\d{1,2}[.、]\s*\S|[（(]\d{1,2}[）)]|[一二三四五六七八九十]+[、．.])"
+_LABEL = r"^[\dA-Za-z][.、)）]?\z"
+_ABOVE = r"^(Contract No\.|January \d+|Attachment \d|Page\s*\d+\s*/\s*\d+)"
+_BELOW = r"^(\d{1,3}\s*/\s*\d{1,3}\z|\d{1,3}\z|[-—–]\s*\d{1,3}\s*[-—–.．。]?\z|邮箱|地址|邮编|网址|http)"
 
 
 def _clean(t: str) -> str:
@@ -117,8 +122,8 @@ def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "pos", F.concat(pick(HEADS, F.col("pos") + F.col("doc_id")), F.col("t"), pick(TAILS, F.col("pos") + 3 * F.col("doc_id"))).alias("t"))
 
 
-@query(rf"""WITH {_MARKED} SELECT doc_id, pos, regexp_matches(t, '{_re(P.NUM_START)}') AS starts, regexp_matches(t, '{_re(P.END_PUNCT)}') AS ends, regexp_matches(t, '{_re(P.BULLET)}') AS bullet,
-regexp_matches(t, '{_re(P.PROSE_TAIL)}') OR regexp_matches(t, '{_re(P.PROSE_HEAD)}') AS prose, len(regexp_extract_all(t, '\p{{L}}')) >= 2 AS speaks FROM marked""")
+@query(rf"""WITH {_MARKED} SELECT doc_id, pos, regexp_matches(t, '{_NUM}') AS starts, regexp_matches(t, '{_STOP}') AS ends, regexp_matches(t, '{_GLYPH}') AS bullet,
+regexp_matches(t, '{_PROSE}') AS prose, len(regexp_extract_all(t, '\p{{L}}')) >= 2 AS speaks FROM marked""")
 def list_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("t")
     return marked(spark, sf_dir).select("doc_id", "pos", X.num_start(t).alias("starts"), X.end_punct(t).alias("ends"), X.bullet(t).alias("bullet"), X.looks_like_prose(t).alias("prose"), X.lang_clear(t).alias("speaks"))
@@ -181,10 +186,10 @@ strewn AS (SELECT doc_id, pos, x0, y0, s, CASE WHEN kind < {len(T.STRAYS)} THEN
 
 
 @query(rf"""WITH {_STREWN}, c AS (SELECT doc_id, pos, s::DOUBLE AS s, x0 / 1024.0 AS rx0, (x0 + least(10 * len(t), 1020 - x0)) / 1024.0 AS rx1, y0 / 2048.0 AS ry0, (y0 + 24) / 2048.0 AS ry1, {_clean("t")} AS t FROM strewn),
-p AS (SELECT *, len(t) AS n, rx0 <= .95 AND rx1 >= .05 AND (regexp_matches(t, '{_re(P.PROSE_TAIL)}') OR regexp_matches(t, '{_re(P.PROSE_HEAD)}')) AS prose FROM c WHERE t <> '')
-SELECT doc_id, pos, t, CASE WHEN ry1 < .125 AND regexp_matches(t, '{_re(P.HEADER)}') THEN 'header' WHEN ry0 > .85 AND regexp_matches(t, '{_re(P.FOOTER)}') THEN 'footer' ELSE 'body' END AS zone FROM p
+p AS (SELECT *, len(t) AS n, rx0 <= .95 AND rx1 >= .05 AND regexp_matches(t, '{_PROSE}') AS prose FROM c WHERE t <> '')
+SELECT doc_id, pos, t, CASE WHEN ry1 < .125 AND regexp_matches(t, '{_ABOVE}') THEN 'header' WHEN ry0 > .85 AND regexp_matches(t, '{_BELOW}') THEN 'footer' ELSE 'body' END AS zone FROM p
 WHERE NOT ((ry1 > .90 OR ry0 < .05) AND s < .88 AND n <= 3 AND NOT prose) AND NOT ((rx0 > .95 OR rx1 < .05) AND n <= 3)
-AND NOT (s < .88 AND n <= 4 AND NOT prose AND NOT regexp_matches(t, '{_re(P.SHORT_LABEL)}'))""")
+AND NOT (s < .88 AND n <= 4 AND NOT prose AND NOT regexp_matches(t, '{_LABEL}'))""")
 def noise_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return noise.zones(T.strewn(T.table(spark, sf_dir, "documents")), W, H).select("doc_id", F.col("seq").alias("pos"), "t", "zone")
 
@@ -240,7 +245,9 @@ def rule_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.rule_components(R.crossings(*rules(spark, sf_dir), 5.0)).select("doc_id", "kind", "id", "root")
 
 
-@query(f"WITH {_RULES}, y AS (SELECT doc_id, y FROM h) SELECT v.doc_id, v_id, count(*) AS reached FROM v JOIN y ON v.doc_id = y.doc_id AND y.y BETWEEN v.y0 - 5 AND v.y1 + 5 GROUP BY ALL HAVING count(*) >= 2")
+@query(f"""WITH {_RULES}, n AS (SELECT doc_id, y, CASE WHEN y - lag(y) OVER w > 5 OR lag(y) OVER w IS NULL THEN 1 ELSE 0 END AS new FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY y)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY y) AS g FROM n), y AS (SELECT doc_id, avg(y) AS y FROM g GROUP BY doc_id, g)
+SELECT v.doc_id, v_id, count(*) AS reached FROM v JOIN y ON v.doc_id = y.doc_id AND y.y BETWEEN v.y0 - 10 AND v.y1 + 10 GROUP BY ALL HAVING count(*) >= 2""")
 def anchored_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     h, v = rules(spark, sf_dir)
     return R.anchored(v, h.select("doc_id", "page_no", "y"), 5.0).select("doc_id", "v_id", "reached")

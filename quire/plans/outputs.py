@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as X
 from quire.operators import compose, crosspage, detection, figures, imaging, page, styles, textlayer
-from quire.plans.catalogue import _PIECES, _clean, query
+from quire.plans.catalogue import _GLYPH, _NUM, _PIECES, _STOP, _clean, query
 from quire.sinks import document, markdown, searchable_pdf, spreadsheet
 from quire.sources import files, jobs, render
 from quire.sources import typeset as T
@@ -194,9 +194,6 @@ def figure_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- paragraphs
 
-_NUM = r"^(\d{1,2}\.\d{1,2}(\.\d{1,2})?[\s、．.]|\d{1,2}[.、]\s*|[一二三四五六七八九十]+[、．.]|[（(]\d{1,2}[）)]|[（(][A-Za-z][）)]|[ivxIVX]{2,4}[.、](\s|[A-Z][a-z])|[A-Za-z][.、](\s|[A-Z][a-z])|[•·●○*]\s*|[-–—]\s+)"
-_STOP = r"[。．.：:；;!?！？）)】\]\"”]\z"
-_GLYPH = r"^([•·●○*]\s*|[-–—]\s+)"
 _zh = lambda t: f"len(regexp_extract_all({t}, '[\\x{{4E00}}-\\x{{9FFF}}]')) >= 2"
 _ESSAY = f"""{_PIECES}, e AS (SELECT doc_id, pos, CASE WHEN pos % 23 = 7 THEN substr(t, 1, 20) ELSE {{heads}}[(pos // 3 + doc_id) % 16 + 1] || t || {{tails}}[(pos // 2 + 3 * doc_id) % 6 + 1] END AS t,
 CASE WHEN pos % 23 = 7 THEN 412 WHEN pos % 11 = 5 THEN 104 WHEN pos % 7 = 0 THEN 84 ELSE 64 END AS x FROM pieces WHERE t <> ''),

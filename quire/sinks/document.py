@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from quire.config import Config
 from quire.functions import patterns as P
 from quire.operators.styles import CM, LEAST_CELL, LEAST_GRID_CELL
+from quire.plans.folding import folded
 from quire.sinks.books import Look, Open, indent_zero, is_header_row, lone, look, mark
 from quire.sinks.books import books as of_documents
 from quire.sinks.spreadsheet import archive
@@ -288,3 +289,27 @@ def books(pages: DataFrame, lang: str = "en", cfg: Config = Config()) -> DataFra
         return (writer.written(),)
 
     return of_documents(pages, make, "content binary")
+
+
+def documents(blocks: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """doc_id, content of plain blocks, without page marks and looks: tables of one number are one table of equal columns.
+
+    blocks: doc_id, page_no, block, kind, table_no, rows, paras, as page.blocks_of() and crosspage.continued() have them.
+    """
+
+    def one(key: tuple, some: list[tuple]) -> list[tuple]:
+        body: list[str | Table] = []
+        tables: dict[int, Table] = {}
+        for _, _, kind, number, rows, paras in some:
+            if kind != "table":
+                body += [paragraph(Look("plain", t, 0, cfg.font_size, False, "left"), cfg) for t in paras or []]
+                continue
+            if number not in tables:
+                n = max(map(len, rows))
+                tables[number] = Table([round((21.0 * CM - MARGINS) / n)] * n, False)
+                body.append(tables[number])
+            table = tables[number]
+            table.rows += [row([cell(t or "", w, cfg, TABLE_SIZE) for t, w in zip(r, table.widths, strict=False)]) for r in rows]
+        return [(*key, packed("".join(x if isinstance(x, str) else x.xml() for x in body), [], cfg))]
+
+    return folded(blocks.select("doc_id", "page_no", "block", "kind", "table_no", "rows", "paras"), ["doc_id"], ["page_no", "block"], one, "doc_id long, content binary")

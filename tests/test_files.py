@@ -2,24 +2,32 @@
 
 import numpy as np
 import pytest
+from quire.config import Config
 from quire.operators import grids, imaging, recognition
 from quire.operators.page import Box
 from quire.plans import catalogue
 from quire.sinks import document, searchable_pdf
+from quire.sinks.books import Look
 
 
 def test_word_reads_back():
-    mark = ""
-    body = document.paragraph("a <b> & c") + document.paragraph(f"x {mark}1{mark}2{mark} y") + document.table([["h", "i"], ["1\n2", "3"]], header=True)
-    paras, tables = document.read_back(document.packed(body))
+    mark, cfg = "\ue000", Config()
+    plain = lambda t: document.paragraph(Look("plain", t, 0, 10.5, False, "left"), cfg)
+    table = document.Table([1000, 1000], False)
+    table.rows = [document.row([document.cell(t, 1000, cfg, 10) for t in r], header=k == 0) for k, r in enumerate([["h", "i"], ["1\n2", "3"]])]
+    paras, tables = document.read_back(document.packed(plain("a <b> & c") + plain(f"x {mark}1{mark}2{mark} y") + table.xml(), [], cfg))
     assert paras == ["a <b> & c", "x 12 y"] and tables == [[["h", "i"], ["1\n2", "3"]]]
+    assert table.xml().count("<w:tblHeader") == 1
 
 
 def test_spans_in_word():
     cells = [(0, 0, 2, 1, "tall", [True] * 4), (0, 1, 1, 2, "wide", [True, False, True, True]), (1, 1, 1, 1, "x", [True] * 4), (1, 2, 1, 1, "y", [True] * 4)]
-    xml = document.spanned(cells)
+    block = {"kind": "grid", "rows": [["tall", "wide", ""], ["", "x", "y"]], "cells": [dict(zip(("r", "c", "h", "w", "text", "edges"), c, strict=True)) for c in cells]}
+    table = document.Table([500, 500, 500], True)
+    table.rows = document.Writer([], "en", Config()).ruled_rows(block, table.widths, False)
+    xml = table.xml()
     assert xml.count("<w:vMerge") == 2 and '<w:gridSpan w:val="2"/>' in xml
-    assert document.read_back(document.packed(xml))[1] == [[["tall", "wide"], ["", "x", "y"]]]
+    assert document.read_back(document.packed(xml, [], Config()))[1] == [[["tall", "wide"], ["", "x", "y"]]]
 
 
 def test_pdf_reads_back():
