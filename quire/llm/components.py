@@ -38,13 +38,13 @@ def components(links: DataFrame) -> DataFrame:
 
     Every round is written to the shared folder, so an executor's loss costs no earlier round.
     """
-    edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "links")
+    edges = stored(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a != b").distinct(), "links", narrow=True)
     mark = lambda df: df.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
     before = mark(edges)
     while before.n:
-        large = stored(_large_star(edges, before.n), "stars")
+        large = stored(_large_star(edges, before.n), "stars", narrow=True)
         forget(edges)
-        edges = stored(_small_star(large, mark(large).n), "links")
+        edges = stored(_small_star(large, mark(large).n), "links", narrow=True)
         forget(large)
         if (after := mark(edges)) == before:
             break

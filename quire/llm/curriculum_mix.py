@@ -63,7 +63,7 @@ def targets(sizes: DataFrame, most: float = 3.0, tilt: float = 0.5, parts: int =
     sizes = sizes.select("source", F.col("source").isNull().alias("last"), F.coalesce("source", F.lit("")).alias("name"), F.col("source_size").cast("double").alias("amount"), "source_size")
     ranked = _summed(_ranged(sizes, ("last", "name"), parts), ("last", "name"), {"nth": F.lit(1)}).withColumn("turn", F.pmod(F.col("nth") - 1, F.lit(len(WEIGHTS))))
     weighed = ranked.select("source", "last", "name", "source_size", "amount", "turn", F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("turn") + 1).cast("int")).alias("weight"))
-    need = stored(weighed.withColumn("need", F.lit(most) * F.col("amount") / F.col("weight")), "needs")
+    need = stored(weighed.withColumn("need", F.lit(most) * F.col("amount") / F.col("weight")), "needs", narrow=True)
     order = ("need", "last", "name")
     summed = _summed(_ranged(need, order, parts), order, {"sizes": F.col("amount"), "weights": F.col("weight")})
     total = need.agg(F.coalesce(F.sum("amount"), F.lit(0.0)).alias("size"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("weight")).first()
@@ -85,7 +85,7 @@ def placed(rows: DataFrame, most: float = 3.0, tilt: float = 0.5, buckets: int |
     n = buckets or max(64, 4 * partitions(rows.sparkSession))
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     rows = rows.withColumn("key", key).withColumn("bucket", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * n / F.lit(1 << 32)).cast("int"))
-    cells = stored(rows.groupBy("source", "bucket").agg(F.sum("size").alias("cell")), "cells")
+    cells = stored(rows.groupBy("source", "bucket").agg(F.sum("size").alias("cell")), "cells", narrow=True)
     per_source = targets(cells.groupBy("source").agg(F.sum("cell").alias("source_size")), most, tilt)
     earlier = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select("source", "bucket", F.coalesce(F.sum("cell").over(earlier), F.lit(0)).alias("base"))

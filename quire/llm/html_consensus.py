@@ -328,7 +328,7 @@ def winners(pages: DataFrame) -> DataFrame:
 
 def extracted(pages: DataFrame, least_share: float = 0.9, broadcast_bytes: int = 32 << 20, salts: int = 64) -> DataFrame:
     """One row per row of pages; see RESULT."""
-    best = stored(winners(pages), "paths")
+    best = stored(winners(pages), "paths", narrow=True)
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
     size = best.agg(F.coalesce(F.sum(F.octet_length("host") + F.octet_length("path") + 64), F.lit(0)).alias("b")).first().b
     if size <= broadcast_bytes:

@@ -14,8 +14,8 @@ ends are one run, so that the count doesn't depend on which of several sources w
 Shuffles: phrases to blocks (packed, about 9 bytes each); places found to the document's group; claims to the source's
 group, with the texts; digests and factors to the document's group, with the texts. A phrase that many rows of one batch
 hold is sent once, and a place that many documents of a group continue is claimed once, so a popular passage isn't
-gathered anywhere. Every step's rows are sorted by block or group, and these are worked on one at a time; each step but the
-last is written to the shared folder and its shuffle dropped. A task needs the memory of one block: a partition, unless
+gathered anywhere. Every step's rows are sorted by block or group, and these are worked on one at a time; factors
+and claims are written to the shared folder, and the shuffles before them dropped. A task needs the memory of one block: a partition, unless
 `spread` cuts partitions into so many blocks each (at the price of as many more, smaller packed rows).
 
 Defined cases: null text has no words; a document with fewer words than the window keeps all; rows with equal doc_id
@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.shared import forget, partitions, stored
+from quire.llm.shared import partitions, stored
 from quire.llm.words import SPACES, Words, chunks, identity, numbers
 
 MOVED = "part int, kind int, payload binary"
@@ -328,9 +328,8 @@ def substring_dedup(docs: DataFrame, window: int = 13, blocks: int | None = None
     n = blocks or partitions(docs.sparkSession)
     parts = spread * n
     docs = docs.select("doc_id", "text")
-    found = stored(_dealt(docs.mapInArrow(_phrases(window, parts), MOVED), n).mapInArrow(_found(parts), MOVED), "places")
+    found = _dealt(docs.mapInArrow(_phrases(window, parts), MOVED), n).mapInArrow(_found(parts), MOVED)
     factored = stored(_dealt(found, n).mapInArrow(_factored(window, parts), MOVED), "factors")
-    forget(found)
     texts = docs.mapInArrow(_texts(parts), MOVED)
-    digests = stored(_dealt(factored.filter(F.col("kind") == _CLAIMS).union(texts), n).mapInArrow(_digests(), MOVED), "digests")
+    digests = _dealt(factored.filter(F.col("kind") == _CLAIMS).union(texts), n).mapInArrow(_digests(), MOVED)
     return _dealt(factored.filter(F.col("kind") == _FACTORS).union(digests).union(texts), n).mapInArrow(_kept(window), f"{RESULT}, kept_text string")
