@@ -151,9 +151,11 @@ def skew(gray: np.ndarray) -> float:
 
 
 def rotated(gray: np.ndarray, degrees: float) -> np.ndarray:
-    """Rotated about the centre with bilinear sampling and white corners; tiny angles change nothing."""
+    """A gray or colour raster rotated about the centre with bilinear sampling and white corners; tiny angles change nothing."""
     if abs(degrees) < LEAST_SKEW:
         return gray
+    if gray.ndim == 3:
+        return np.stack([rotated(gray[:, :, c], degrees) for c in range(gray.shape[2])], 2)
     h, w = gray.shape
     c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
     y, x = np.mgrid[0:h, 0:w].astype(np.float32)
@@ -180,14 +182,23 @@ def raster(w: int, h: int, px: bytes) -> np.ndarray:
 
 
 def prepared(pages: DataFrame) -> DataFrame:
-    """Pages (doc_id, page_no, w, h, px) with shading, then skew, taken out: rules and recognition see the same raster."""
+    """Pages (doc_id, page_no, w, h, px and, if there is colour, rgb) with shading, then skew, taken out.
+
+    Rules and recognition see the same raster; colour is only turned, by the same angle.
+    """
+    colour = "rgb" in pages.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for k in range(batch.num_rows):  # a raster at a time
+                (r,) = batch.slice(k, 1).to_pylist()
                 flat, spread = flattened(raster(r["w"], r["h"], r["px"]))
                 straight, angle = straightened(flat)
-                yield pa.RecordBatch.from_pylist([{**{k: r[k] for k in ("doc_id", "page_no", "w", "h")}, "px": straight.tobytes(), "spread": spread, "angle": float(angle)}], schema)
-
-    schema = pa.schema([("doc_id", pa.int64()), ("page_no", pa.int32()), ("w", pa.int32()), ("h", pa.int32()), ("px", pa.binary()), ("spread", pa.int32()), ("angle", pa.float64())])
-    return pages.select("doc_id", "page_no", "w", "h", "px").mapInArrow(run, "doc_id long, page_no int, w int, h int, px binary, spread int, angle double")
+                row = {**{k: r[k] for k in ("doc_id", "page_no", "w", "h")}, "px": straight.tobytes(), "spread": spread, "angle": float(angle)}
+                if colour:
+                    row["rgb"] = None if r["rgb"] is None else rotated(np.frombuffer(r["rgb"], np.uint8).reshape(r["h"], r["w"], 3), -angle).tobytes()
+                yield pa.RecordBatch.from_pylist([row], schema)
+
+    schema = pa.schema([("doc_id", pa.int64()), ("page_no", pa.int32()), ("w", pa.int32()), ("h", pa.int32()), ("px", pa.binary()), ("spread", pa.int32()), ("angle", pa.float64()), *([("rgb", pa.binary())] if colour else [])])
+    more = ["rgb"] if colour else []
+    return pages.select("doc_id", "page_no", "w", "h", "px", *more).mapInArrow(run, "doc_id long, page_no int, w int, h int, px binary, spread int, angle double" + ", rgb binary" * colour)

@@ -10,9 +10,9 @@ from quire.config import COL_SLACK, MIN_CHARS
 PAGE = ("doc_id", "page_no")
 
 
-def usable_pages(chars: DataFrame, least: int = MIN_CHARS) -> DataFrame:
-    """Pages whose text layer has enough visible characters."""
-    n = F.count_if(~F.col("c").rlike(r"(?U)^\s*\z"))
+def usable_pages(chars: DataFrame, least: int = MIN_CHARS, column: str = "c") -> DataFrame:
+    """Pages whose text layer has enough visible characters; the column may hold characters or longer texts."""
+    n = F.coalesce(F.sum(F.regexp_count(column, F.lit(r"(?U)\S"))), F.lit(0)).cast("long")
     return chars.groupBy(*PAGE).agg(n.alias("visible")).withColumn("usable", F.col("visible") >= least)
 
 
@@ -46,12 +46,15 @@ def in_boxes(items: DataFrame, boxes: DataFrame, inside: bool = True) -> DataFra
     return i.join(b, [*same, x.between(F.col("b.bx0"), F.col("b.bx1")), y.between(F.col("b.by0"), F.col("b.by1"))], "left_semi" if inside else "left_anti")
 
 
-def uncovered(segs: DataFrame, boxes: DataFrame, share: float = 0.8, inset: float = 0.15) -> DataFrame:
-    """Horizontal segments that no single text box covers for more than share of their length. segs: id, x0, x1, y."""
-    b = boxes.select(*PAGE, "bx0", "bx1", "by0", "by1")
-    pad = F.greatest(F.lit(inset) * (F.col("by1") - F.col("by0")), F.lit(2.0))
-    hit = segs.join(b, list(PAGE)).filter((F.col("y") >= F.col("by0") + pad) & (F.col("y") <= F.col("by1") - pad))
-    cover = (F.least("x1", "bx1") - F.greatest("x0", "bx0")) / F.greatest(F.col("x1") - F.col("x0"), F.lit(1.0))
+def uncovered(segs: DataFrame, boxes: DataFrame, share: float = 0.8, inset: float = 0.15, vertical: bool = False) -> DataFrame:
+    """Segments that no single text box covers for more than share of their length.
+
+    segs: id, x0, x1, y, or, if vertical, id, y0, y1, x. boxes: bx0, bx1, by0, by1.
+    """
+    begin, end, at, low, high, near, far = ("y0", "y1", "x", "by0", "by1", "bx0", "bx1") if vertical else ("x0", "x1", "y", "bx0", "bx1", "by0", "by1")
+    pad = F.greatest(F.lit(inset) * (F.col(far) - F.col(near)), F.lit(2.0))
+    hit = segs.join(boxes.select(*PAGE, "bx0", "bx1", "by0", "by1"), list(PAGE)).filter((F.col(at) >= F.col(near) + pad) & (F.col(at) <= F.col(far) - pad))
+    cover = (F.least(end, high) - F.greatest(begin, low)) / F.greatest(F.col(end) - F.col(begin), F.lit(1.0))
     covered = hit.groupBy(*PAGE, "id").agg(F.max(cover).alias("cover")).filter(F.col("cover") > share)
     return segs.join(covered, [*PAGE, "id"], "left_anti")
 

@@ -196,7 +196,7 @@ def noise_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""WITH {_PIECES} SELECT doc_id, (pos // 40 + 1)::INT AS page_no, sum(len(regexp_replace(t, '\s', '', 'g')))::BIGINT AS visible, sum(len(regexp_replace(t, '\s', '', 'g'))) >= 20 AS usable FROM pieces WHERE t <> '' GROUP BY ALL""")
 def usable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.usable_pages(T.characters(T.prose(T.table(spark, sf_dir, "documents"))))
+    return R.usable_pages(T.prose(T.table(spark, sf_dir, "documents")), column="t")
 
 
 @query(rf"""WITH {_PIECES} SELECT doc_id, (pos // 40 + 1)::INT AS page_no, t, (64 + 32 * (pos % 3))::DOUBLE AS x0, (320 + 32 * (pos % 40))::DOUBLE AS y0 FROM pieces WHERE trim(t) <> ''""")

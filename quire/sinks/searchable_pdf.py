@@ -1,17 +1,25 @@
-"""Searchable PDF: each page is its picture with invisible text over it. Bytes are built by hand."""
+"""Searchable PDF: each page is its picture with invisible text over it. Bytes are built by hand.
+
+Pictures are made page by page (JPEG, or without loss), so that a document's file is put together from small parts.
+"""
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.plans.folding import folded
+from quire.sinks.jpeg import jpeg
 
 # Fixed values.
-BASELINE, LEAST_STRETCH, MOST_STRETCH = 0.15, 10.0, 400.0
+BASELINE, LEAST_STRETCH, MOST_STRETCH, QUALITY = 0.15, 10.0, 400.0, 90
 
 
 def placed(x0: float, y0: float, x1: float, y1: float, n: int, kx: float, ky: float, height: float) -> tuple[float, float, float, float]:
@@ -31,8 +39,29 @@ def hexed(t: str) -> str:
     return "".join(c for c in t if c.isprintable() or c == " ").encode("utf-16-be", "replace").hex().upper()
 
 
-def pdf(pages: list[tuple[int, int, bytes | None, list[tuple]]], dpi: float = 150.0) -> bytes:
-    """pages: width, height, gray pixels or None, and items (t, x0, y0, x1, y1) in pixels."""
+@dataclass(frozen=True)
+class Picture:
+    """Bytes of a page picture, its channels, and the filter that reads them."""
+
+    data: bytes
+    channels: int
+    filter: str
+
+    @property
+    def head(self) -> bytes:
+        return f"/ColorSpace /Device{'Gray' if self.channels == 1 else 'RGB'} /BitsPerComponent 8 /Filter /{self.filter}".encode()
+
+
+def picture(w: int, h: int, px: bytes, quality: int | None = QUALITY) -> Picture:
+    """Of gray (w * h bytes) or colour pixels. quality: of JPEG, None without loss."""
+    n = len(px) // (w * h)
+    if quality is None:
+        return Picture(zlib.compress(px), n, "FlateDecode")
+    return Picture(jpeg(np.frombuffer(px, np.uint8).reshape((h, w) if n == 1 else (h, w, 3)), quality), n, "DCTDecode")
+
+
+def pdf(pages: list[tuple[int, int, bytes | Picture | None, list[tuple]]], dpi: float = 150.0, quality: int | None = QUALITY) -> bytes:
+    """pages: width, height, pixels or a picture or None, and items (t, x0, y0, x1, y1) in pixels."""
     k = 72.0 / dpi
     objects: list[bytes] = [b"", b""]
     add = lambda body: (objects.append(body), len(objects))[1]
@@ -50,9 +79,10 @@ def pdf(pages: list[tuple[int, int, bytes | None, list[tuple]]], dpi: float = 15
                 size, stretch, x, y = placed(*box, len(t), k, k, h * k)
                 out.append(f"/F {size:.3f} Tf {stretch:.2f} Tz 1 0 0 1 {x:.3f} {y:.3f} Tm <{code}> Tj")
         out.append("ET")
-        picture = b"/XObject << /Im %d 0 R >>" % add(stream(b"/Type /XObject /Subtype /Image /Width %d /Height %d /ColorSpace /DeviceGray /BitsPerComponent 8 /Filter /FlateDecode" % (w, h), zlib.compress(px))) if px is not None else b""
+        made = picture(w, h, px, quality) if isinstance(px, bytes) else px
+        image = b"/XObject << /Im %d 0 R >>" % add(stream(b"/Type /XObject /Subtype /Image /Width %d /Height %d " % (w, h) + made.head, made.data)) if made else b""
         content = add(stream(b"/Filter /FlateDecode", zlib.compress("\n".join(out).encode())))
-        kids.append(add(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 %.3f %.3f] /Resources << /Font << /F %d 0 R >> %s >> /Contents %d 0 R >>" % (w * k, h * k, font, picture, content)))
+        kids.append(add(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 %.3f %.3f] /Resources << /Font << /F %d 0 R >> %s >> /Contents %d 0 R >>" % (w * k, h * k, font, image, content)))
     objects[0] = b"<< /Type /Catalog /Pages 2 0 R >>"
     objects[1] = b"<< /Type /Pages /Count %d /Kids [%s] >>" % (len(kids), b" ".join(b"%d 0 R" % n for n in kids))
     data, offsets = bytearray(b"%PDF-1.5\n%\xe2\xe3\xcf\xd3\n"), []
@@ -88,3 +118,31 @@ def documents(items: DataFrame, width: int, height: int) -> DataFrame:
         return [(*key, pdf([(width, height, None, pages[p]) for p in sorted(pages)]))]
 
     return folded(items.select("doc_id", "page_no", "seq", "t", "x0", "y0", "x1", "y1"), ["doc_id"], ["page_no", "seq"], one, "doc_id long, content binary")
+
+
+def books(pages: DataFrame, items: DataFrame, dpi: float = 150.0, quality: int | None = QUALITY) -> DataFrame:
+    """doc_id, content of whole documents; a page that couldn't be read keeps its picture, without text.
+
+    pages: doc_id, page_no, w, h, px (gray) and, where there is colour, rgb. items: doc_id, page_no, seq, t, x0, y0, x1, y1.
+    """
+    rgb = F.col("rgb") if "rgb" in pages.columns else F.lit(None).cast("binary").alias("rgb")
+    names, kinds = ["doc_id", "page_no", "w", "h", "data", "channels", "filter"], [pa.int64(), *[pa.int32()] * 3, pa.binary(), pa.int32(), pa.string()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):  # a raster at a time
+                (r,) = batch.slice(k, 1).to_pylist()
+                px = r["rgb"] if r["rgb"] is not None else r["px"]
+                whole = px is not None and len(px) in (r["w"] * r["h"], 3 * r["w"] * r["h"])
+                made = picture(r["w"], r["h"], px, quality) if whole and px else None
+                row = [r["doc_id"], r["page_no"], r["w"], r["h"], *((made.data, made.channels, made.filter) if made else (None, 0, None))]
+                yield pa.record_batch([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names=names)
+
+    made = pages.select("doc_id", "page_no", "w", "h", "px", rgb).mapInArrow(run, "doc_id long, page_no int, w int, h int, data binary, channels int, filter string")
+    texts = items.groupBy("doc_id", "page_no").agg(F.array_sort(F.collect_list(F.struct("seq", "t", "x0", "y0", "x1", "y1"))).alias("items"))
+
+    def one(key: tuple, rows: list[tuple]) -> list[tuple]:
+        parts = [(w, h, Picture(data, n, kind) if data is not None else None, [tuple(i[c] for c in ("t", "x0", "y0", "x1", "y1")) for i in some or []]) for _, w, h, data, n, kind, some in rows]
+        return [(*key, pdf(parts, dpi))]
+
+    return folded(made.join(texts, ["doc_id", "page_no"], "left"), ["doc_id"], ["page_no"], one, "doc_id long, content binary")

@@ -200,13 +200,28 @@ def test_stream_waits_for_pages(spark, tmp_path):
 
 def test_renderer_seam(spark):
     px = np.arange(60 * 40, dtype=np.uint32).astype(np.uint8).reshape(40, 60)
-    good = searchable_pdf.pdf([(60, 40, px.tobytes(), [("word", 1, 1, 9, 9)]), (60, 40, px[::-1].tobytes(), [])])
+    good = searchable_pdf.pdf([(60, 40, px.tobytes(), [("word", 1, 1, 9, 9)]), (60, 40, px[::-1].tobytes(), [])], quality=None)
     rows = spark.createDataFrame([("a.pdf", bytearray(good)), ("b.pdf", bytearray(b"no pdf")), ("c.pdf", bytearray(good[:400] + good[420:]))], "path string, content binary")
     found = sorted(render.pages(rows, render.OwnPdf).collect(), key=lambda r: (r.path, r.page_no))
     assert [(r.path, r.page_no, r.w, r.h) for r in found if r.path == "a.pdf"] == [("a.pdf", 1, 60, 40), ("a.pdf", 2, 60, 40)] and bytes(found[0].px) == px.tobytes()
     assert [(r.page_no, r.problem) for r in found if r.path == "b.pdf"] == [(0, "ValueError: not a PDF file")]
 
 
+def test_pdf_of_whole_documents(spark):
+    from quire.sinks import jpeg
+
+    px = np.tile(np.arange(64, dtype=np.uint8), (48, 1))
+    rows = [(1, 2, 64, 48, bytearray(px.tobytes()), None), (1, 1, 64, 48, bytearray(px.tobytes()), bytearray(np.repeat(px, 3).tobytes())), (1, 3, 64, 48, bytearray(b"cut off"), None)]
+    some = spark.createDataFrame(rows, "doc_id long, page_no int, w int, h int, px binary, rgb binary")
+    items = spark.createDataFrame([(1, 1, 1, "second", 5.0, 20.0, 40.0, 30.0), (1, 1, 0, "first", 5.0, 5.0, 40.0, 15.0), (1, 2, 0, "字", 1.0, 1.0, 9.0, 9.0)], "doc_id long, page_no int, seq int, t string, x0 double, y0 double, x1 double, y1 double")
+    blob = bytes(searchable_pdf.books(some, items).first().content)
+    assert searchable_pdf.texts(blob) == [["first", "second"], ["字"], []] and len(searchable_pdf.page_numbers(blob)) == 3
+    found = [jpeg.size_of(b"\xff\xd8" + part.split(b"\nendstream")[0]) for part in blob.split(b"stream\n\xff\xd8")[1:]]
+    assert found == [(64, 48, 3), (64, 48, 1)]
+    plain = bytes(searchable_pdf.books(some.drop("rgb"), items, quality=None).first().content)
+    assert bytes(render.OwnPdf(plain).page(0, 0)["px"]) == px.tobytes()
+
+
 def test_files_and_queue(spark, tmp_path):
     for name in ("b.PDF", "a.pdf", "in/c.pdf", ".hidden/d.pdf", "e.txt", "1/2/3/4/5/6/deep.pdf", "1/2/3/4/5/6/7/too.pdf"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
