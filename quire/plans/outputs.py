@@ -419,3 +419,131 @@ def source_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = T.prose(T.table(spark, sf_dir, "documents"))
     told = lambda name: items.select("doc_id", "page_no", F.concat(F.lit(f"{name} "), "t").alias("t"))
     return files.chosen_source(relational.usable_pages(T.characters(items)), told("layer"), told("read"))
+
+
+# ---- what single rules leave to be shown
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN 'x' || p_partkey || '/2y' WHEN 2 THEN '(a + ' || p_partkey || ')/c_1 and 3/(4 5)' ELSE '/' END AS flat FROM part""")
+def flat_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, k = "", F.col("p_partkey")
+    t = F.when(k % 4 == 0, F.col("p_name")).when(k % 4 == 1, F.concat(F.lit(f"x{m}"), k, F.lit(f"{m}2{m}y"))).when(k % 4 == 2, F.concat(F.lit(f"{m}a + "), k, F.lit(f"{m}c_1{m} and {m}3{m}4 5{m}"))).otherwise(F.lit(f"{m}{m}{m}"))
+    flat = F.when(k % 4 == 3, F.replace(F.replace(X.flat_text(t), F.lit("("), F.lit("")), F.lit(")"), F.lit(""))).otherwise(X.flat_text(t))
+    return T.table(spark, sf_dir, "part").select("p_partkey", flat.alias("flat"))
+
+
+@query("""WITH p AS (SELECT o_orderkey, repeat(['i', 'I', 'l', 'L', '1'][o_orderkey % 5 + 1], (o_orderkey % 3 + 1)::INT) AS a, repeat(['i', 'I', 'l', 'L', '1'][(o_orderkey % 7) % 5 + 1], (o_orderkey % 4 + 1)::INT) AS b, CASE WHEN o_orderkey % 11 = 0 THEN ') other' ELSE '. same' END AS tail FROM orders)
+SELECT o_orderkey, CASE WHEN len(b) > len(a) AND a[1] = b[1] AND tail = '. same' THEN b ELSE a END || '. same' AS t FROM p""")
+def marker_rereads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.operators import recognition
+
+    k, letters = F.col("o_orderkey"), F.array(*map(F.lit, "iIlL1"))
+    run = lambda at, n: F.repeat(F.element_at(letters, (at + 1).cast("int")), (n + 1).cast("int"))
+    items = T.table(spark, sf_dir, "orders").select(k, F.concat(run(k % 5, k % 3), F.lit(". same")).alias("t"), F.concat(run(k % 7 % 5, k % 4), F.when(k % 11 == 0, ") other").otherwise(". same")).alias("again"))
+    return recognition.reread(items)
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity::DOUBLE * 2 AS x0, l_discount::DOUBLE * 10 AS s FROM lineitem WHERE l_discount * 10 >= .5 AND l_returnflag <> 'A'")
+def score_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.operators import recognition
+
+    x = F.col("l_quantity").cast("double")
+    items = T.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.when(F.col("l_returnflag") == "A", "").otherwise("t").alias("t"), (F.col("l_discount").cast("double") * 10).alias("s"), *[x.alias(c) for c in ("x0", "y0", "x1", "y1")])
+    return recognition.accepted(items, 0.5).select("l_orderkey", "l_linenumber", "x0", "s")
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'xlsx' ELSE 'docx' END AS formats, CASE o_orderkey % 3 WHEN 0 THEN 'xlsx' WHEN 1 THEN 'docx,xlsx' ELSE 'docx' END AS toggled FROM orders WHERE o_orderstatus = 'F'""")
+def queue_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed jobs are tried again with their own formats or the default; a format is switched, the last one stays."""
+    k = F.col("o_orderkey")
+    queue = T.table(spark, sf_dir, "orders").select(k, F.when(F.col("o_orderstatus") == "F", "failed").otherwise("done").alias("status"), F.when(k % 3 == 0, "xlsx").alias("formats"))
+    chosen = F.when(k % 3 == 2, F.array(F.lit("docx"), F.lit("xlsx"))).when(k % 3 == 0, F.array(F.lit("xlsx"))).otherwise(F.array(F.lit("docx")))
+    return jobs.batch(queue, "docx", failed_only=True).select(k, "formats", F.array_join(jobs.toggled(chosen, F.lit("xlsx")), ",").alias("toggled"))
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, regexp_replace(regexp_replace(E'  ' || text || E'\n x', '\s+', ' ', 'g'), '^ | $', '', 'g') AS t FROM conversations)
+SELECT conv_id, turn, CASE WHEN len(t) <= 30 THEN t ELSE substr(t, 1, 30) || '…' END AS line, (len(t) * 700) // 1024 AS kb, printf('%.1f MB', len(t) * 700 / 1e6) AS mb, CASE WHEN turn <= 6 THEN 10 WHEN turn <= 10 THEN 9 ELSE 8 END AS font FROM c""")
+def interface_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.functions import interface
+
+    t = F.concat(F.lit("  "), "text", F.lit("\n x"))
+    flat = interface.one_line(t, 10**9)
+    return T.table(spark, sf_dir, "conversations").select("conv_id", "turn", interface.one_line(t, 30).alias("line"), interface.kilobytes(F.length(flat) * 700).cast("long").alias("kb"), interface.megabytes(F.length(flat) * 700).alias("mb"), X.grid_font(F.col("turn")).alias("font"))
+
+
+@query("""WITH v AS (SELECT o_custkey AS doc_id, o_orderkey AS id, floor(o_totalprice) % 900 AS x, (o_orderkey % 40) * 10 AS y0, (o_orderkey % 40) * 10 + 200 AS y1 FROM orders), b AS (SELECT c_custkey AS doc_id, (c_custkey % 5) * 100 AS bx0, (c_custkey % 5) * 100 + 300 AS bx1, 100 AS by0, 500 AS by1 FROM customer)
+SELECT doc_id, id FROM v WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.doc_id = v.doc_id AND v.x >= bx0 + 45 AND v.x <= bx1 - 45 AND (least(y1, by1) - greatest(y0, by0)) / (y1 - y0) > .8)""")
+def upright_rules_off_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.operators import relational
+
+    key, k = F.col("o_orderkey"), F.pmod("c_custkey", F.lit(5)) * 100
+    segs = T.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.lit(1).alias("page_no"), key.alias("id"), (F.floor("o_totalprice") % 900).cast("double").alias("x"), (key % 40 * 10).cast("double").alias("y0"), (key % 40 * 10 + 200).cast("double").alias("y1"))
+    boxes = T.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.lit(1).alias("page_no"), k.alias("bx0"), (k + 300).alias("bx1"), F.lit(100).alias("by0"), F.lit(500).alias("by1"))
+    return relational.uncovered(segs, boxes, vertical=True).select("doc_id", "id")
+
+
+def _drawn(spark: SparkSession, sf_dir: str, found_in, schema: str) -> DataFrame:
+    """Rows that found_in gives for the key of each nation, in Python."""
+    names, kinds = [c.split()[0] for c in schema.split(", ")], [{"long": pa.int64(), "int": pa.int32(), "double": pa.float64()}[c.split()[1]] for c in schema.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            rows = [r for k in batch.column("k").to_pylist() for r in found_in(k)]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [()] * len(names), kinds, strict=True)], names=names)
+
+    return T.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k")).mapInArrow(run, schema)
+
+
+@query("""WITH s AS (SELECT n_nationkey::BIGINT AS k, unnest(range(0, 1 + n_nationkey % 4)) AS i FROM nation) SELECT k, (10 + 40 * i)::INT AS x, (20 + k)::INT AS y, (5 + i)::INT AS w, (3 + k % 5)::INT AS h, ((5 + i) * (3 + k % 5))::INT AS area FROM s
+UNION ALL SELECT n_nationkey, 5, 150, 20, 20, 20 FROM nation""")
+def raster_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of drawn rectangles, and of a diagonal, which hangs together by corners."""
+
+    def found(k: int) -> list[tuple]:
+        bits = np.zeros((200, 200), bool)
+        for i in range(1 + k % 4):
+            bits[20 + k : 23 + k + k % 5, 10 + 40 * i : 15 + 41 * i] = True
+        bits[150 + np.arange(20), 24 - np.arange(20)] = True
+        return [(k, *b) for b in imaging.blobs(bits)]
+
+    return _drawn(spark, sf_dir, found, "k long, x int, y int, w int, h int, area int")
+
+
+@query("SELECT n_nationkey::BIGINT AS k, (1 + n_nationkey % 3)::INT AS columns, 2 AS rows, (n_nationkey % 3 + 1) * 2 AS cells FROM nation")
+def broken_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grids whose standing rules have gaps of a few pixels and lean by one; one more bar crosses text and is a letter's stroke."""
+    from quire.operators import grids
+    from quire.operators.page import Box
+
+    def found(k: int) -> list[tuple]:
+        n = 1 + k % 3
+        px = np.full((800, 1200), 255, np.uint8)
+        xs, ys = [100 + 900 * i // n for i in range(n + 1)], (200, 300, 400)
+        for y in ys:
+            px[y : y + 2, xs[0] : xs[-1] + 2] = 0
+        for x in xs:
+            px[200:252, x : x + 2] = px[255:340, x + 1 : x + 3] = px[343:402, x : x + 2] = 0
+        px[205:395, 150:153] = 0
+        hs, vs, tol = imaging.page_rules(px)
+        boxes = [Box("stroke", 120.0, 190.0, 190.0, 410.0)]
+        return [(k, len(g.xs) - 1, len(g.ys) - 1, len(g.cells)) for g in grids.grids_of(hs, vs, boxes, 1200, tol)]
+
+    return _drawn(spark, sf_dir, found, "k long, columns int, rows int, cells int")
+
+
+@query("""SELECT s_suppkey, s_suppkey::VARCHAR AS key, CASE WHEN s_suppkey % 2 = 0 OR s_suppkey = max(s_suppkey) OVER (PARTITION BY s_suppkey // 16) THEN s_name ELSE s_name || CASE WHEN s_suppkey % 4 = 1 THEN ' ' ELSE chr(10) END || 'more of it' END AS name, s_nationkey::VARCHAR AS nation FROM supplier""")
+def continued_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Table rows of which every second goes on in a line of its own: joined where the cell's first line was full.
+
+    A table ends with its last wide line, so what goes on below that is text.
+    """
+    key = F.col("s_suppkey")
+    rows = T.table(spark, sf_dir, "supplier")
+    full = F.when(key % 4 == 1, 700).otherwise(460)
+    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(n).alias("n"), t.cast("string").alias("t"), x0.cast("double").alias("x0"), x1.cast("double").alias("x1")) for c, n, t, x0, x1 in (
+        (0, 0, key, F.lit(64), F.lit(120)), (1, 0, F.col("s_name"), F.lit(256), full), (2, 0, F.col("s_nationkey"), F.lit(768), F.lit(800)), (3, 1, F.when(key % 2 == 1, "more of it"), F.lit(256), F.lit(400)))])
+    items = rows.select(F.floor(key / 16).alias("doc_id"), F.lit(1).alias("page_no"), key, F.explode(cells).alias("i")).filter("i.t IS NOT NULL")
+    y0 = T.TOP + 64 * F.pmod(key, F.lit(16)) + T.PITCH * F.col("i.n")
+    items = items.select("doc_id", "page_no", (key * 4 + F.col("i.c")).alias("seq"), "i.t", "i.x0", y0.cast("double").alias("y0"), "i.x1", (y0 + T.TALL).cast("double").alias("y1"))
+    found = page.blocks_of(items, W, H).filter("kind = 'table'").select(F.explode("rows").alias("r"))
+    return found.select(F.col("r")[0].cast("long").alias("s_suppkey"), F.col("r")[0].alias("key"), F.col("r")[1].alias("name"), F.col("r")[2].alias("nation"))
