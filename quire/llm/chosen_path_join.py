@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.components import components
-from quire.llm.shared import hub_join, partitions, stored
+from quire.llm.shared import forget, hub_join, partitions, stored
 from quire.llm.words import FOLDED, Words, chunks, mix, rolled, trim
 
 SIGNED = "doc_id long, key string, node long, n long, paths array<bigint>, kids array<bigint>, parents array<bigint>"
@@ -255,12 +255,18 @@ def _buckets(members: DataFrame, *more) -> DataFrame:
 
 
 def _members(nodes: DataFrame, text_of, small: int, spread: float) -> DataFrame:
-    """bucket, size, node: the buckets to compare. text_of: adds the texts to rows with a node."""
+    """node, buckets (bucket and size): the buckets to compare, written once. text_of: adds the texts to rows with a node."""
+    held: list[DataFrame] = []
+
+    def kept(df: DataFrame, name: str, narrow: bool = True) -> DataFrame:
+        held.append(stored(df, name, narrow))
+        return held[-1]
+
     level1 = nodes.select("node", F.explode("paths").alias("bucket")).distinct()
-    sizes1 = stored(_buckets(level1), "sizes")
+    sizes1 = kept(_buckets(level1), "sizes")
     total = nodes.agg(F.coalesce(F.sum(F.size("paths")), F.lit(0)).alias("n")).first().n
     large = sizes1.filter(F.col("n") > small)
-    wide = stored(hub_join(level1, large.select("bucket", "n"), "bucket", total), "wide")
+    wide = kept(hub_join(level1, large.select("bucket", "n"), "bucket", total), "wide")
     crowded = wide.groupBy("node").agg(F.count("*").alias("c")).join(nodes.select("node", F.size("paths").alias("p")), "node").select("node", (F.col("c") / F.col("p")).alias("share"))
     dense = F.avg("share").alias("share")
 
@@ -270,7 +276,7 @@ def _members(nodes: DataFrame, text_of, small: int, spread: float) -> DataFrame:
     def still_open(sizes: DataFrame) -> DataFrame:
         return sizes.filter((F.col("n") > small) & (F.col("share") < DENSE)).select(F.col("bucket").alias("parent"), "n")
 
-    marks = stored(_buckets(wide.join(crowded, "node"), dense), "wide_sizes")
+    marks = kept(_buckets(wide.join(crowded, "node"), dense), "wide_sizes")
     level, sizes = [level1], [sizes1.filter(F.col("n") <= small), closed(marks).drop("share")]
     split, deep = still_open(marks), None
     for k in range(2, LEVELS + 1):
@@ -281,17 +287,20 @@ def _members(nodes: DataFrame, text_of, small: int, spread: float) -> DataFrame:
         else:
             if deep is None:
                 paths = hub_join(level[-1].withColumnRenamed("bucket", "parent"), split, "parent", total).groupBy("node").agg(F.collect_list("parent").alias("paths"))
-                deep = stored(text_of(paths).select("node", "paths", "text").mapInArrow(_deeper(spread), "node long, bucket long, parent long, level int"), "deep")
+                deep = kept(text_of(paths).select("node", "paths", "text").mapInArrow(_deeper(spread), "node long, bucket long, parent long, level int"), "deep", narrow=False)
             rows = deep.filter(F.col("level") == k).drop("level")
         total = max(1, rows.count())
-        level.append(stored(hub_join(rows, split, "parent", total).select("node", "bucket").distinct(), "extended"))
-        marks = stored(_buckets(level[-1].join(crowded, "node", "left").fillna(0.0, ["share"]), dense), "extended_sizes")
+        level.append(kept(hub_join(rows, split, "parent", total).select("node", "bucket").distinct(), "extended"))
+        marks = kept(_buckets(level[-1].join(crowded, "node", "left").fillna(0.0, ["share"]), dense), "extended_sizes")
         sizes.append((closed(marks) if k < LEVELS else marks).drop("share"))
         split = still_open(marks)
-    every = stored(reduce(DataFrame.unionByName, sizes), "buckets")
+    every = kept(reduce(DataFrame.unionByName, sizes), "buckets")
     once = every.groupBy("n", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket", "n", F.col("n").alias("size"))
     rows = reduce(DataFrame.unionByName, [x.select("node", "bucket") for x in level])
-    return hub_join(rows, once, "bucket", every.agg(F.coalesce(F.sum("n"), F.lit(1)).alias("n")).first().n)
+    found = hub_join(rows, once, "bucket", every.agg(F.coalesce(F.sum("n"), F.lit(1)).alias("n")).first().n)
+    out = stored(found.groupBy("node").agg(F.collect_list(F.struct("bucket", "size")).alias("buckets")), "members", narrow=True)
+    forget(*held)
+    return out
 
 
 def signed(docs: DataFrame, similarity: float = 0.8, recall: float = 0.9995, spread: float = 1.75) -> DataFrame:
@@ -308,19 +317,23 @@ def classes(docs: DataFrame, similarity: tuple[int, int] = (4, 5), recall: float
     root: the class itself, also where rows of several classes share a doc_id; null without words.
     """
     num, den = similarity
-    rows = signed(docs, num / den, recall, spread)
-    live = rows.filter("n > 0")
-    total = live.count()
+    full = signed(docs, num / den, recall, spread)
+    live = full.filter("n > 0")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "row")).alias("first")
     firsts = live.groupBy("node").agg(least, F.countDistinct("key").alias("n_texts"), F.count("*").alias("copies")).select("node", F.col("first.row").alias("row"), "n_texts", "copies")
-    nodes = stored(live.join(firsts, ["node", "row"]).select("node", "doc_id", "key", "n_texts", "copies", "paths", "kids", "parents"), "nodes")
+    pathed = stored(live.join(firsts, ["node", "row"]).select("node", "doc_id", "key", "n_texts", "copies", "paths", "kids", "parents"), "paths", narrow=True)
+    rows, nodes = stored(full.select("doc_id", "key", "node", "n"), "rows", narrow=True), stored(pathed.select("node", "doc_id", "key", "n_texts", "copies"), "nodes", narrow=True)
+    forget(full)
+    live = rows.filter("n > 0")
+    total = live.count()
     texts = docs.select(F.col("doc_id").alias("own_id"), F.md5(F.coalesce("text", F.lit(""))).alias("own_key"), "text")
 
     def text_of(rows: DataFrame) -> DataFrame:
         wanted = nodes.select("node", "doc_id", "key", "n_texts").join(rows, "node")
         return texts.join(wanted, texts.own_id.eqNullSafe(wanted.doc_id) & (texts.own_key == wanted.key))
 
-    members = _members(nodes, text_of, small, spread).groupBy("node").agg(F.collect_list(F.struct("bucket", "size")).alias("buckets"))
+    members = _members(pathed, text_of, small, spread)
+    forget(pathed)
     needed = text_of(members).select("node", "n_texts", "buckets", "text")
     sent = needed.mapInArrow(_sent(small), "bucket long, i int, j int, block int, node long, n_texts long, others binary, tokens binary")
     dealt = sent.repartition(partitions(docs.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
@@ -328,9 +341,9 @@ def classes(docs: DataFrame, similarity: tuple[int, int] = (4, 5), recall: float
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     by_node = nodes.select("node", "n_texts", "copies", F.col("doc_id").alias("least")).join(links, "node", "left").join(roots.withColumnRenamed("a", "node"), "node", "left")
-    by_node = stored(by_node.select("node", "copies", (F.coalesce("links", F.lit(0)) + F.col("n_texts") - 1).alias("n_links"), "least", F.coalesce("root", "node").alias("root")), "by_node")
+    by_node = stored(by_node.select("node", "copies", (F.coalesce("links", F.lit(0)) + F.col("n_texts") - 1).alias("n_links"), "least", F.coalesce("root", "node").alias("root")), "by_node", narrow=True)
     heads = by_node.groupBy("root").agg(F.min(F.struct(F.col("least").isNull(), "least")).getField("least").alias("class_id"), F.count("*").alias("n"))
-    by_class = hub_join(by_node, heads, "root", by_node.count()).select("node", "n_links", "class_id", "root", F.col("copies").alias("n"))
+    by_class = stored(hub_join(by_node, heads, "root", by_node.count()).select("node", "n_links", "class_id", "root", F.col("copies").alias("n")), "by_class", narrow=True)
     some = hub_join(live.select("doc_id", "key", "node", F.col("n").alias("n_shingles")), by_class, "node", total).select("doc_id", "key", "class_id", "n_links", "n_shingles", "root")
     return some.union(rows.filter("n = 0").select("doc_id", "key", F.col("doc_id").alias("class_id"), F.lit(0).cast("long"), F.col("n"), F.lit(None).cast("long")))
 
@@ -340,7 +353,7 @@ def representatives(docs: DataFrame, **how) -> DataFrame:
     found = classes(docs, **how)
     lone = found.filter("n_shingles = 0").select("doc_id", "key").distinct()
     first = found.filter("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("f")).select("f.doc_id", "f.key")
-    keep = stored(lone.union(first), "kept").select(F.col("doc_id").alias("keep_id"), F.col("key").alias("keep_key"))
+    keep = stored(lone.union(first), "kept", narrow=True).select(F.col("doc_id").alias("keep_id"), F.col("key").alias("keep_key"))
     own = F.md5(F.coalesce(docs["text"], F.lit("")))
     kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep.keep_id) & (own == keep.keep_key), "left_semi")
     twice = docs.select("doc_id", own.alias("key")).groupBy("doc_id", "key").count().filter("count > 1").limit(1).count()

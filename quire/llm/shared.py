@@ -45,12 +45,8 @@ def stored(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     spark = df.sparkSession
     df = df.coalesce(FILES * spark.sparkContext.defaultParallelism) if narrow else df
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with settings(spark, {_CLEANUP: "true"} | MODEST):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before)
     _made.append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
@@ -91,15 +87,26 @@ def docs_of(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 
 @contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Jobs that run inside hand Python at most so many rows at once; the session's own setting returns afterwards."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+def settings(spark: SparkSession, some: dict[str, str]) -> Iterator[None]:
+    """Jobs that run inside have these settings; the session's own return afterwards."""
+    before = {k: spark.conf.get(k, None) for k in some}
+    for k, v in some.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+#: Batches that Python workers get: at most so many rows and bytes, as a row may be a whole text.
+MODEST = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
+
+
+def modest(spark: SparkSession) -> None:
+    """From now on the session hands Python workers modest batches, also where rows are returned and read later."""
+    for k, v in MODEST.items():
+        spark.conf.set(k, v)
 
 
 #: Keys that hold more than 1 / HOT of all rows are fewer than HOT.

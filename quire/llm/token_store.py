@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.llm import rans
-from quire.llm.shared import batches_of, partitions, remove, shared_dir
+from quire.llm.shared import MODEST, partitions, remove, settings, shared_dir
 from quire.llm.words import chunks, mix, powers, raw
 
 RAW = "part int, seq int, doc_ids array<bigint>, lengths array<int>, ids binary, before long, n_ids long, used binary"
@@ -364,7 +364,7 @@ def write(docs: DataFrame, path: str | None = None, tokenizer: str | None = None
     path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     ordered = docs.select("doc_id", "text").repartitionByRange(partitions(spark), F.col("doc_id").asc_nulls_last()).sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "text")
     scratch = f"{path}/raw"
-    with batches_of(spark, 2000):
+    with settings(spark, MODEST):
         ordered.mapInArrow(_packed(tokenizer or default_tokenizer(), end_id, block_ids), RAW).write.parquet(scratch)
     packed = spark.read.schema(RAW).parquet(scratch)
     sizes = {r.part: r.n for r in packed.groupBy("part").agg(F.sum("n_ids").alias("n")).toLocalIterator()}  # a row for each partition
