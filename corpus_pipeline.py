@@ -1,7 +1,7 @@
 """A five-stage corpus pipeline over documents, counted as part of quire.llm.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
-stage's docs. All but the last return the columns of docs, whatever further columns these hold.
+stage's docs. Stages hand Python workers modest batches, and leave the session so. All but the last return the columns of docs, whatever further columns these hold.
 
 Defined cases, beside those of the operators: an empty table stays empty, and the last stage gives no rows; null and empty
 texts, and texts without a letter, go at the first stage; very long texts are taken whole; repeated rows are near copies
@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import byte_cnn_lang, chosen_path_join, curriculum_mix, decontaminate, token_store
-from quire.llm.shared import clear, remove, shared_dir
+from quire.llm.shared import clear, modest, remove, shared_dir
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,6 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Nulls in any column: a null text goes, a null doc_id or source stays. Ties between languages go by name.
     """
+    modest(spark)
     return byte_cnn_lang.accepted(docs, byte_cnn_lang.fit(docs), least=0.3)
 
 
@@ -31,11 +32,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Repeated rows are one class. A text without words is near nothing but the same row repeated.
     """
+    modest(spark)
     return chosen_path_join.representatives(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Hit words go; documents of which half or more is hit go as a whole. An empty benchmark, or null items, hit nothing."""
+    modest(spark)
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -46,6 +49,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A store of token ids, and each document's place in it. Rows with one doc_id follow each other; a null doc_id is last."""
+    modest(spark)
     return token_store.read(spark, token_store.write(docs))
 
 
