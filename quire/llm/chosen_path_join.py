@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.components import components
-from quire.llm.shared import forget, hub_join, partitions, stored
+from quire.llm.shared import few_join, forget, hub_join, partitions, stored
 from quire.llm.words import FOLDED, Words, chunks, mix, rolled, trim
 
 SIGNED = "doc_id long, key string, node long, n long, paths array<bigint>, kids array<bigint>, parents array<bigint>"
@@ -266,7 +266,7 @@ def _members(nodes: DataFrame, text_of, small: int, spread: float) -> DataFrame:
     sizes1 = kept(_buckets(level1), "sizes")
     total = nodes.agg(F.coalesce(F.sum(F.size("paths")), F.lit(0)).alias("n")).first().n
     large = sizes1.filter(F.col("n") > small)
-    wide = kept(hub_join(level1, large.select("bucket", "n"), "bucket", total), "wide")
+    wide = kept(few_join(level1, large.select("bucket", "n"), "bucket", total), "wide")
     crowded = wide.groupBy("node").agg(F.count("*").alias("c")).join(nodes.select("node", F.size("paths").alias("p")), "node").select("node", (F.col("c") / F.col("p")).alias("share"))
     dense = F.avg("share").alias("share")
 
@@ -286,11 +286,11 @@ def _members(nodes: DataFrame, text_of, small: int, spread: float) -> DataFrame:
             rows = nodes.select("node", F.explode(F.arrays_zip("kids", "parents")).alias("k")).select("node", F.col("k.kids").alias("bucket"), F.col("k.parents").alias("parent"))
         else:
             if deep is None:
-                paths = hub_join(level[-1].withColumnRenamed("bucket", "parent"), split, "parent", total).groupBy("node").agg(F.collect_list("parent").alias("paths"))
+                paths = few_join(level[-1].withColumnRenamed("bucket", "parent"), split, "parent", total).groupBy("node").agg(F.collect_list("parent").alias("paths"))
                 deep = kept(text_of(paths).select("node", "paths", "text").mapInArrow(_deeper(spread), "node long, bucket long, parent long, level int"), "deep", narrow=False)
             rows = deep.filter(F.col("level") == k).drop("level")
         total = max(1, rows.count())
-        level.append(kept(hub_join(rows, split, "parent", total).select("node", "bucket").distinct(), "extended"))
+        level.append(kept(few_join(rows, split, "parent", total).select("node", "bucket").distinct(), "extended"))
         marks = kept(_buckets(level[-1].join(crowded, "node", "left").fillna(0.0, ["share"]), dense), "extended_sizes")
         sizes.append((closed(marks) if k < LEVELS else marks).drop("share"))
         split = still_open(marks)

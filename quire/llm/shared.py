@@ -123,3 +123,12 @@ def hub_join(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFra
     near = rows.join(F.broadcast(hubs), key)
     far = rows.join(F.broadcast(hubs.select(key)), key, "left_anti").join(table.filter(~hub).drop("n"), key)
     return near.unionByName(far)
+
+
+#: Rows of a table of keys that is broadcast as a whole (a few MB).
+FEW = 100_000
+
+
+def few_join(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """hub_join(), for a table that is likely small: it is counted, and broadcast if it has FEW rows at most."""
+    return rows.join(F.broadcast(table.drop("n")), key) if table.limit(FEW + 1).count() <= FEW else hub_join(rows, table, key, total)
