@@ -1,9 +1,12 @@
 """The text layer of pages: characters to items, in one exchange and one fold.
 
+Before the exchange, the characters that a task has of one page are packed into one row, so that pages move, not
+characters. After it, whole pages are unpacked and folded.
+
 Rows of a page are found from the top down: a character belongs to the last row if its centre is less than half of the
 lower height (of the row's whole extent, or its own) away from the row's centre. Characters that share their top and foot
 are taken at once, so the walk takes a step for each height on a line, not for each character; everything else is
-vectorised over whole batches. A page that goes on in the next batch is held back until it is complete.
+vectorised over whole batches of pages.
 """
 
 from __future__ import annotations
@@ -112,26 +115,61 @@ def _items(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 _KINDS = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
 _SCHEMA = pa.schema([(name, _KINDS[kind]) for name, kind in (c.split() for c in ITEMS.split(", "))])
-#: Characters that are gathered before a fold.
+#: Characters that are gathered before they are packed, and before a fold.
 ENOUGH = 100_000
+PACKED = "doc_id long, page_no int, n int, chars binary"
+_CHARS = pa.schema([("seq", pa.int64()), ("c", pa.string()), *[(c, pa.float64()) for c in ("x0", "y0", "x1", "y1", "size")]])
 
 
-def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     held: list[pa.RecordBatch] = []
-    size = 0
     for batch in batches:
         held.append(batch)
-        size += batch.num_rows
-        if size < ENOUGH:
-            continue
-        whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-        doc, no = (whole.column(c).to_numpy(zero_copy_only=False) for c in PAGE)
-        last = np.flatnonzero((doc == doc[-1]) & (no == no[-1]))[0]
-        if last:
-            yield _items(whole.slice(0, int(last)))
-        held, size = [whole.slice(int(last))], whole.num_rows - int(last)
-    if size:
-        yield _items(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+        if sum(b.num_rows for b in held) >= ENOUGH:
+            yield pa.Table.from_batches(held)
+            held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for the characters of each page, in Arrow's stream format."""
+    for table in _gathered(batches):
+        doc, no = (table.column(c).to_numpy() for c in PAGE)
+        order = np.lexsort((no, doc))
+        if (np.diff(order) < 0).any():
+            table, doc, no = table.take(pa.array(order)), doc[order], no[order]
+        chars = pa.table([table.column(f.name).cast(f.type) for f in _CHARS], schema=_CHARS).combine_chunks()
+        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (no[1:] != no[:-1])])) if len(doc) else np.zeros(0, np.int64)
+        n, blobs = np.diff(first, append=len(doc)), []
+        for a, k in zip(first.tolist(), n.tolist(), strict=True):
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, _CHARS) as stream:
+                stream.write_table(chars.slice(a, k))
+            blobs.append(out.getvalue().to_pybytes())
+        yield pa.record_batch([pa.array(doc[first], pa.int64()), pa.array(no[first], pa.int32()), pa.array(n, pa.int32()), pa.array(blobs, pa.binary())], names=["doc_id", "page_no", "n", "chars"])
+
+
+def _unpacked(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    """The characters of packed rows, with their pages."""
+    table = pa.concat_tables([pa.ipc.open_stream(blob).read_all() for *_, blob in rows]).combine_chunks()
+    doc, no, n = (np.array([r[k] for r in rows]) for k in range(3))
+    whole = pa.table([pa.array(np.repeat(doc, n), pa.int64()), pa.array(np.repeat(no, n), pa.int32()), *table.columns], names=[*PAGE, *_CHARS.names])
+    return whole.combine_chunks().to_batches()[0]
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[int, int, int, bytes]] = []
+    size = 0
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "page_no", "n", "chars")), strict=True):
+            if size >= ENOUGH and row[:2] != held[-1][:2]:
+                yield _items(_unpacked(held))
+                held, size = [], 0
+            held.append(row)
+            size += row[2]
+    if held:
+        yield _items(_unpacked(held))
 
 
 def segments(chars: DataFrame, rules: DataFrame | None = None) -> DataFrame:
@@ -144,4 +182,37 @@ def segments(chars: DataFrame, rules: DataFrame | None = None) -> DataFrame:
         kinds = dict(rows.dtypes)
         line = {"seq": F.lit(-1), "c": F.lit(None), "x0": F.col("x"), "x1": F.col("x"), "size": F.lit(0)}
         rows = rows.union(rules.select(*[line.get(c, F.col(c)).cast(kinds[c]).alias(c) for c in _GIVEN]))
-    return rows.repartition(*PAGE).sortWithinPartitions(*PAGE).mapInArrow(_folded, ITEMS)
+    return rows.mapInArrow(_packed, PACKED).repartition(*PAGE).sortWithinPartitions(*PAGE).mapInArrow(_folded, ITEMS)
+
+
+def segments_of(pages: DataFrame) -> DataFrame:
+    """Items of pages that hold their characters as an array, as sources.render gives them: nothing moves.
+
+    pages: doc_id, page_no, chars (array of c, x0, y0, x1, y1, size, in the order of seq) and, where there are rules, rules
+    (array of x, y0, y1).
+    """
+    ruled = "rules" in pages.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            doc, no = (batch.column(c).to_numpy(zero_copy_only=False) for c in PAGE)
+            parts = []
+            for name in ("chars", "rules") if ruled else ("chars",):
+                lists = batch.column(name)
+                n = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+                flat = lists.flatten()
+                column = lambda c, flat=flat: flat.field(c)
+                seq = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+                number = lambda c: column(c).cast(pa.float64())
+                if name == "chars":
+                    own = [pa.array(seq), column("c"), *map(number, ("x0", "y0", "x1", "y1", "size"))]
+                else:
+                    own = [pa.array(seq), pa.nulls(len(flat), pa.string()), number("x"), number("y0"), number("x"), number("y1"), pa.array(np.zeros(len(flat)))]
+                parts.append(pa.table([pa.array(np.repeat(doc, n), pa.int64()), pa.array(np.repeat(no, n), pa.int32()), *own], names=[*PAGE, *_CHARS.names]))
+            table = pa.concat_tables(parts)
+            if ruled:
+                table = table.take(pa.array(np.lexsort((table.column("page_no").to_numpy(), table.column("doc_id").to_numpy()))))
+            if table.num_rows:
+                yield _items(table.combine_chunks().to_batches()[0])
+
+    return pages.select(*PAGE, "chars", *(["rules"] if ruled else [])).mapInArrow(run, ITEMS)

@@ -80,3 +80,10 @@ def characters(items: DataFrame, size: float = 10.0) -> DataFrame:
     """One row per character of the items; spaces open gaps and are not drawn themselves."""
     each = items.select("doc_id", "page_no", "seq", "x0", "y0", "y1", F.posexplode(F.split("t", "")).alias("k", "c")).filter("c != ''")
     return each.select("doc_id", "page_no", (F.col("seq") * 1000 + F.col("k")).alias("seq"), "c", (F.col("x0") + 10 * F.col("k")).alias("x0"), "y0", (F.col("x0") + 10 * F.col("k") + 10).alias("x1"), "y1", F.lit(size).alias("size"))
+
+
+def character_pages(items: DataFrame, size: float = 10.0) -> DataFrame:
+    """One row per page of the items, with its characters as an array."""
+    each = F.transform(F.filter(F.split("t", ""), lambda c: c != ""), lambda c, k: F.struct(c.alias("c"), (F.col("x0") + 10 * k).alias("x0"), F.col("y0").alias("y0"), (F.col("x0") + 10 * k + 10).alias("x1"), F.col("y1").alias("y1"), F.lit(size).alias("size")))
+    lines = items.select("doc_id", "page_no", "seq", each.alias("chars"))
+    return lines.groupBy("doc_id", "page_no").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "chars"))), lambda s: s["chars"])).alias("chars"))

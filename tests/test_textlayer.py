@@ -52,6 +52,24 @@ def test_against_a_walk(spark):
     assert plain.count() == sum(len(walked([c[2:] for c in chars if c[0] == d and c[1] == p], [])) for d in range(30) for p in (1, 2))
 
 
+ARRAYS = "doc_id long, page_no int, chars array<struct<c string, x0 double, y0 double, x1 double, y1 double, size double>>, rules array<struct<x double, y0 double, y1 double>>"
+
+
+def test_arrays_give_the_same(spark):
+    rng = np.random.default_rng(9)
+    pages, rows, ruled = [], [], []
+    for page in range(1, 40):
+        chars = [(str(rng.choice(list("ab é字"))), float(x), float(y), float(x) + 9, float(y) + 12, 8.0) for x, y in zip(rng.integers(0, 300, 50), rng.choice([10, 13, 40, 80], 50), strict=True)]
+        rules = [(float(x), 0.0, 60.0) for x in rng.integers(0, 300, 4)]
+        pages.append((page % 3, page, chars if page % 10 else [], rules if page % 4 else None))
+        rows += [(page % 3, page, k, *c) for k, c in enumerate(chars if page % 10 else [])]
+        ruled += [(page % 3, page, *r) for r in (rules if page % 4 else [])]
+    key = lambda df: sorted(map(tuple, df.collect()))
+    arrays = spark.createDataFrame(pages, ARRAYS)
+    assert key(textlayer.segments_of(arrays)) == key(textlayer.segments(spark.createDataFrame(rows, CHARS), spark.createDataFrame(ruled, RULES)))
+    assert key(textlayer.segments_of(arrays.drop("rules"))) == key(textlayer.segments(spark.createDataFrame(rows, CHARS)))
+
+
 def test_pages_across_batches(spark, monkeypatch):
     """A page that goes on in the next batch stays whole."""
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
