@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from quire.config import Config
+from quire.functions import text as X
 from quire.operators import figures, grids, imaging, noise, page
 from quire.operators.page import Box
 
@@ -126,18 +127,16 @@ def page_of(row: dict, cfg: Config) -> dict:
     return out
 
 
-def pages_of(items: DataFrame, pages: DataFrame, cfg: Config = Config()) -> DataFrame:
-    """One row per page, see PAGES. items: doc_id, page_no, seq, t, x0, y0, x1, y1, s, in pixels.
-
-    pages: doc_id, page_no, w, h, and, where there are rasters, px (gray), rgb and problem (why a page couldn't be read).
-    """
+def pages_with(pages: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """One row per page, see PAGES; rasters stay where they are. pages: see pages_of(), with boxes, the page's items as an array."""
     given = {"px": "binary", "rgb": "binary", "problem": "string"}
-    pages = pages.select(*PAGE, "w", "h", *[F.col(c) if c in pages.columns else F.lit(None).cast(kind).alias(c) for c, kind in given.items()])
-    sized = items.join(pages.select(*PAGE, F.greatest("w", F.lit(1)).alias("w"), F.greatest("h", F.lit(1)).alias("h")), list(PAGE))
-    kept = noise.zones(sized, F.col("w"), F.col("h"), cfg)
-    boxes = F.collect_list(F.struct("seq", "t", "x0", "y0", "x1", "y1", "zone")).alias("items")
-    by_page = kept.groupBy(*PAGE).agg(boxes)
-    counts = items.groupBy(*PAGE).agg(F.count("*").cast("int").alias("n_items"))
+    pages = pages.select(*PAGE, "w", "h", "boxes", *[F.col(c) if c in pages.columns else F.lit(None).cast(kind).alias(c) for c, kind in given.items()])
+    w, h = F.greatest("w", F.lit(1)), F.greatest("h", F.lit(1))
+    place = ("x0", "y0", "x1", "y1")
+    cleaned = F.transform("boxes", lambda b: F.struct(b["seq"].cast("long").alias("seq"), X.clean(b["t"]).alias("t"), *[b[c].cast("double").alias(c) for c in place], b["s"].alias("s")))
+    verdict = lambda b: noise.judged(b["t"], b["s"], b["x0"] / w, b["x1"] / w, b["y0"] / h, b["y1"] / h, cfg)
+    zoned = F.transform(F.filter(cleaned, lambda b: verdict(b)[0]), lambda b: F.struct(*[b[c].alias(c) for c in ("seq", "t", *place)], verdict(b)[1].alias("zone")))
+    rows = pages.withColumns({"items": zoned, "n_items": F.greatest(F.size("boxes"), F.lit(0))}).drop("boxes")
     schema = to_arrow_schema(StructType.fromDDL(PAGES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,7 +144,17 @@ def pages_of(items: DataFrame, pages: DataFrame, cfg: Config = Config()) -> Data
             for k in range(batch.num_rows):  # a raster at a time
                 yield pa.RecordBatch.from_pylist([page_of(row, cfg) for row in batch.slice(k, 1).to_pylist()], schema)
 
-    return pages.join(by_page, list(PAGE), "left").join(counts, list(PAGE), "left").mapInArrow(run, PAGES)
+    return rows.mapInArrow(run, PAGES)
+
+
+def pages_of(items: DataFrame, pages: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """One row per page, see PAGES. items: doc_id, page_no, seq, t, x0, y0, x1, y1, s, in pixels; those of other pages are left out.
+
+    pages: doc_id, page_no, w, h, and, where there are rasters, px (gray), rgb and problem (why a page couldn't be read).
+    Items and rasters meet by page, so rasters move; where a task has both, pages_with() spares that.
+    """
+    boxes = F.collect_list(F.struct("seq", "t", "x0", "y0", "x1", "y1", "s")).alias("boxes")
+    return pages_with(pages.join(items.groupBy(*PAGE).agg(boxes), list(PAGE), "left"), cfg)
 
 
 def blocks_of(pages: DataFrame) -> DataFrame:
