@@ -174,6 +174,25 @@ def test_weave_and_figures():
     assert [p.kind for p in compose.with_figures(parts, found)] == ["figure", "text", "grid", "figure", "text", "figure"]
 
 
+def test_pages_with_their_boxes(spark):
+    """Items gathered beforehand give the same pages; noise and zones are those of the rows' rules."""
+    from pyspark.sql import functions as F
+    from quire.operators import noise
+    from quire.plans import outputs
+    from quire.sources import typeset
+
+    sf = "/root/testdata/sf0.001"
+    sheets, items = outputs.scanned_pages(spark, sf)
+    boxes = items.groupBy("doc_id", "page_no").agg(F.collect_list(F.struct("seq", "t", "x0", "y0", "x1", "y1", "s")).alias("boxes"))
+    key = lambda df: sorted((r.doc_id, r.n_items, r.n_aside, r.error, str(r.blocks)) for r in df.collect())
+    assert key(compose.pages_with(sheets.join(boxes, ["doc_id", "page_no"], "left"))) == key(compose.pages_of(items, sheets))
+    strewn = typeset.strewn(spark.read.parquet(f"{sf}/documents.parquet"))
+    sizes = strewn.select("doc_id", "page_no").distinct().withColumns({"w": F.lit(1024), "h": F.lit(2048)})
+    rows = noise.zones(strewn, 1024, 2048).groupBy("doc_id", "page_no").agg(F.count_if(F.col("zone") != "body").alias("n"))
+    found = compose.pages_of(strewn, sizes)
+    assert {(r.doc_id, r.page_no): r.n_aside for r in found.collect() if r.n_aside} == {(r.doc_id, r.page_no): r.n for r in rows.collect() if r.n}
+
+
 def test_indents_of_all_pages():
     assert crosspage.merged_tiers([[0.2, 0.1], [0.11, 0.2, 0.05]], 0.035) == [(0.05, 1), (0.1, 2), (0.2, 2)]
     assert crosspage.zero_of(crosspage.merged_tiers([[0.2] * 3], [0.1][0])) == 0.2
