@@ -241,6 +241,24 @@ def test_pdf_of_whole_documents(spark):
     assert bytes(render.OwnPdf(plain).page(0, 0)["px"]) == px.tobytes()
 
 
+def test_saved_files(spark, tmp_path):
+    from pyspark.sql import functions as F
+    from quire.sinks import saved
+
+    rows = spark.createDataFrame([(1, bytearray(b"one"), "a/b"), (2, bytearray(b"two"), "c"), (3, bytearray(b"three"), "c")], "doc_id long, content binary, name string").coalesce(1)
+    write = lambda some, **how: sorted((r.doc_id, r.path) for r in saved.saved(some, str(tmp_path), ".docx", "20260102030405", **how).collect())
+    assert write(rows, name=F.col("name")) == [(1, f"{tmp_path}/a_b.docx"), (2, f"{tmp_path}/c.docx"), (3, f"{tmp_path}/c-20260102030405.docx")]
+    assert write(rows, name=F.col("name")) == [(1, f"{tmp_path}/a_b.docx"), (2, f"{tmp_path}/c.docx"), (3, f"{tmp_path}/c-20260102030405.docx")]  # again: the same
+    other = rows.withColumn("content", F.lit(b"other"))
+    assert write(other.limit(1), name=F.lit("c")) == [(1, f"{tmp_path}/c-20260102030405-2.docx")]
+    assert (tmp_path / "c.docx").read_bytes() == b"two" and sorted(p.name for p in tmp_path.iterdir()) == ["a_b.docx", "c-20260102030405-2.docx", "c-20260102030405.docx", "c.docx"]
+    f = block("figure", figure={"x0": 700, "y0": 100, "x1": 800, "y1": 200, "png": figures.png(np.zeros((9, 9), np.uint8))})
+    (tmp_path / "1.md").write_text("mine")
+    (row,) = saved.saved_markdown(markdown.books(pages(spark, [f, f])), str(tmp_path), "20260102030405").collect()
+    assert row.path.endswith("/1-20260102030405.md") and "![](1-20260102030405.assets/fig-2.png)" in open(row.path).read() and (tmp_path / "1.md").read_text() == "mine"
+    assert (figures.unpng((tmp_path / "1-20260102030405.assets/fig-1.png").read_bytes()) == 0).all()
+
+
 def test_files_and_queue(spark, tmp_path):
     for name in ("b.PDF", "a.pdf", "in/c.pdf", ".hidden/d.pdf", "e.txt", "1/2/3/4/5/6/deep.pdf", "1/2/3/4/5/6/7/too.pdf"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
