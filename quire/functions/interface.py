@@ -91,4 +91,5 @@ def kilobytes(size: Column) -> Column:
 
 
 def megabytes(size: Column) -> Column:
-    return F.format_string("%.1f MB", size / 1e6)
+    """One decimal, rounded as the number's binary value says."""
+    return F.concat(F.replace(F.format_number(size / 1e6, 1), F.lit(","), F.lit("")), F.lit(" MB"))
