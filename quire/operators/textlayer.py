@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quire.config import BREAK_SIZES, RULE_HIGH, RULE_SLIM, RULE_WIDE
 
 PAGE = ("doc_id", "page_no")
-ITEMS = "doc_id long, page_no int, row int, seg int, t string, x0 double, y0 double, x1 double, y1 double, s double"
+ITEMS = "doc_id long, page_no int, row int, seg int, seq int, t string, x0 double, y0 double, x1 double, y1 double, s double"
 _GIVEN = ("doc_id", "page_no", "seq", "c", "x0", "y0", "x1", "y1", "size")
 
 
@@ -107,9 +107,10 @@ def _items(batch: pa.RecordBatch) -> pa.RecordBatch:
     text = pa.Array.from_buffers(pa.large_string(), len(begins), [None, pa.py_buffer(np.ascontiguousarray(cuts)), data]).cast(pa.string())
     own, first_row = row[begins], np.searchsorted(page, page[begins])
     nth = np.arange(len(begins)) - np.searchsorted(own, own) + 1
+    seq = np.arange(len(begins)) - np.searchsorted(page[begins], page[begins])
     ids = [batch.column(c).take(pa.array(order[begins])) for c in PAGE]
     extent = [f.reduceat(v, begins) for f, v in ((np.minimum, x0), (np.minimum, y0), (np.maximum, x1), (np.maximum, y1))]
-    columns = [*ids, pa.array((own - row[first_row] + 1).astype(np.int32)), pa.array(nth.astype(np.int32)), text, *map(pa.array, extent), pa.array(np.ones(len(begins)))]
+    columns = [*ids, pa.array((own - row[first_row] + 1).astype(np.int32)), pa.array(nth.astype(np.int32)), pa.array(seq.astype(np.int32)), text, *map(pa.array, extent), pa.array(np.ones(len(begins)))]
     return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, _SCHEMA, strict=True)], schema=_SCHEMA).filter(pc.greater(pc.utf8_length(pc.utf8_trim_whitespace(text)), 0))
 
 

@@ -81,3 +81,19 @@ def test_pages_across_batches(spark, monkeypatch):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert sorted((r.doc_id, len(r.t)) for r in found) == [(d, 60_000) for d in range(4)]
     assert textlayer.segments(spark.createDataFrame([], CHARS)).count() == 0
+
+
+def test_items_make_pages(spark):
+    """From characters to documents, as the README has it."""
+    from pyspark.sql import functions as F
+    from quire.operators import compose
+    from quire.sinks import markdown
+    from quire.sources import typeset
+
+    docs = spark.createDataFrame([(1, "Some words of a first line\nand a second one."), (2, "1. A numbered line")], "doc_id long, text string")
+    items = textlayer.segments(typeset.characters(typeset.prose(docs)))
+    sizes = items.select("doc_id", "page_no").distinct().withColumns({"w": F.lit(typeset.WIDTH), "h": F.lit(typeset.HEIGHT)})
+    pages = compose.pages_of(items, sizes)
+    texts = {r.doc_id: r.markdown for r in markdown.books(pages).collect()}
+    assert "Some words of a first line" in texts[1] and texts[2].endswith("### 1. A numbered line\n\n")
+    assert sorted((r.doc_id, r.n_items, r.n_blocks) for r in compose.statistics(pages).collect()) == [(1, 2, 1), (2, 1, 1)]
