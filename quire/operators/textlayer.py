@@ -133,22 +133,25 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def packed(table: pa.Table) -> pa.RecordBatch:
+    """Characters (doc_id, page_no and the columns of a character) as rows of PACKED: a row for each page, in Arrow's stream format."""
+    doc, no = (table.column(c).to_numpy() for c in PAGE)
+    order = np.lexsort((no, doc))
+    if (np.diff(order) < 0).any():
+        table, doc, no = table.take(pa.array(order)), doc[order], no[order]
+    chars = pa.table([table.column(f.name).cast(f.type) for f in _CHARS], schema=_CHARS).combine_chunks()
+    first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (no[1:] != no[:-1])])) if len(doc) else np.zeros(0, np.int64)
+    n, blobs = np.diff(first, append=len(doc)), []
+    for a, k in zip(first.tolist(), n.tolist(), strict=True):
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, _CHARS) as stream:
+            stream.write_table(chars.slice(a, k))
+        blobs.append(out.getvalue().to_pybytes())
+    return pa.record_batch([pa.array(doc[first], pa.int64()), pa.array(no[first], pa.int32()), pa.array(n, pa.int32()), pa.array(blobs, pa.binary())], names=["doc_id", "page_no", "n", "chars"])
+
+
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for the characters of each page, in Arrow's stream format."""
-    for table in _gathered(batches):
-        doc, no = (table.column(c).to_numpy() for c in PAGE)
-        order = np.lexsort((no, doc))
-        if (np.diff(order) < 0).any():
-            table, doc, no = table.take(pa.array(order)), doc[order], no[order]
-        chars = pa.table([table.column(f.name).cast(f.type) for f in _CHARS], schema=_CHARS).combine_chunks()
-        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (no[1:] != no[:-1])])) if len(doc) else np.zeros(0, np.int64)
-        n, blobs = np.diff(first, append=len(doc)), []
-        for a, k in zip(first.tolist(), n.tolist(), strict=True):
-            out = pa.BufferOutputStream()
-            with pa.ipc.new_stream(out, _CHARS) as stream:
-                stream.write_table(chars.slice(a, k))
-            blobs.append(out.getvalue().to_pybytes())
-        yield pa.record_batch([pa.array(doc[first], pa.int64()), pa.array(no[first], pa.int32()), pa.array(n, pa.int32()), pa.array(blobs, pa.binary())], names=["doc_id", "page_no", "n", "chars"])
+    yield from map(packed, _gathered(batches))
 
 
 def _unpacked(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
@@ -183,7 +186,12 @@ def segments(chars: DataFrame, rules: DataFrame | None = None) -> DataFrame:
         kinds = dict(rows.dtypes)
         line = {"seq": F.lit(-1), "c": F.lit(None), "x0": F.col("x"), "x1": F.col("x"), "size": F.lit(0)}
         rows = rows.union(rules.select(*[line.get(c, F.col(c)).cast(kinds[c]).alias(c) for c in _GIVEN]))
-    return rows.mapInArrow(_packed, PACKED).repartition(*PAGE).sortWithinPartitions(*PAGE).mapInArrow(_folded, ITEMS)
+    return segments_packed(rows.mapInArrow(_packed, PACKED))
+
+
+def segments_packed(pages: DataFrame) -> DataFrame:
+    """Items of characters in rows of PACKED, of which a page may have several: the form in which a reader in Python hands them over."""
+    return pages.repartition(*PAGE).sortWithinPartitions(*PAGE).mapInArrow(_folded, ITEMS)
 
 
 def segments_of(pages: DataFrame) -> DataFrame:

@@ -201,7 +201,7 @@ def usable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rf"""WITH {_PIECES} SELECT doc_id, (pos // 40 + 1)::INT AS page_no, t, (64 + 32 * (pos % 3))::DOUBLE AS x0, (320 + 32 * (pos % 40))::DOUBLE AS y0 FROM pieces WHERE trim(t) <> ''""")
 def segment_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return textlayer.segments_of(T.character_pages(T.prose(T.table(spark, sf_dir, "documents")))).select("doc_id", "page_no", "t", "x0", "y0")
+    return textlayer.segments_packed(T.packed_characters(T.prose(T.table(spark, sf_dir, "documents")))).select("doc_id", "page_no", "t", "x0", "y0")
 
 
 @query("""WITH d AS (SELECT l_suppkey, l_extendedprice AS v, CASE WHEN l_extendedprice - lag(l_extendedprice) OVER w > 50 OR lag(l_extendedprice) OVER w IS NULL THEN 1 ELSE 0 END AS b FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_extendedprice)),

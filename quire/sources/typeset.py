@@ -5,9 +5,15 @@ Powers of two keep relative coordinates exact. A page has 40 rows; row i spans 3
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.operators import textlayer
+
 WIDTH, HEIGHT, ROWS, TOP, PITCH, TALL = 1024, 2048, 40, 320, 32, 24
 
 
@@ -87,3 +93,19 @@ def character_pages(items: DataFrame, size: float = 10.0) -> DataFrame:
     each = F.transform(F.filter(F.split("t", ""), lambda c: c != ""), lambda c, k: F.struct(c.alias("c"), (F.col("x0") + 10 * k).alias("x0"), F.col("y0").alias("y0"), (F.col("x0") + 10 * k + 10).alias("x1"), F.col("y1").alias("y1"), F.lit(size).alias("size")))
     lines = items.select("doc_id", "page_no", "seq", each.alias("chars"))
     return lines.groupBy("doc_id", "page_no").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("seq", "chars"))), lambda s: s["chars"])).alias("chars"))
+
+
+def packed_characters(items: DataFrame, size: float = 10.0) -> DataFrame:
+    """The characters of the items, packed by page as a reader in Python would hand them over (textlayer.PACKED)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("t").to_pylist()
+            n = np.fromiter(map(len, texts), np.int64, len(texts))
+            k = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            each = {c: np.repeat(batch.column(c).to_numpy(zero_copy_only=False), n) for c in ("doc_id", "page_no", "seq", "x0", "y0", "y1")}
+            x0 = each["x0"] + 10.0 * k
+            columns = {"doc_id": each["doc_id"], "page_no": each["page_no"], "seq": each["seq"] * 1000 + k, "c": pa.array(list("".join(texts)), pa.string()), "x0": x0, "y0": each["y0"], "x1": x0 + 10, "y1": each["y1"], "size": np.full(len(k), size)}
+            yield textlayer.packed(pa.table(columns))
+
+    return items.select("doc_id", "page_no", "seq", "t", "x0", "y0", "y1").mapInArrow(run, textlayer.PACKED)

@@ -67,6 +67,11 @@ def test_arrays_give_the_same(spark):
     key = lambda df: sorted(map(tuple, df.collect()))
     arrays = spark.createDataFrame(pages, ARRAYS)
     assert key(textlayer.segments_of(arrays)) == key(textlayer.segments(spark.createDataFrame(rows, CHARS), spark.createDataFrame(ruled, RULES)))
+    from quire.sources import typeset
+
+    items = typeset.prose(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))
+    forms = [textlayer.segments(typeset.characters(items)), textlayer.segments_of(typeset.character_pages(items)), textlayer.segments_packed(typeset.packed_characters(items))]
+    assert key(forms[0]) == key(forms[1]) == key(forms[2])
     assert key(textlayer.segments_of(arrays.drop("rules"))) == key(textlayer.segments(spark.createDataFrame(rows, CHARS)))
 
 
