@@ -16,6 +16,15 @@ from pyspark.sql.types import StructType
 EMIT = 4096
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows, dealt evenly over all cores: rows that cost much work may lie in a file of one split.
+
+    The number of parts is given, so that they aren't put together again because their rows are small.
+    """
+    session = df.sparkSession
+    return df.repartition(max(4 * session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def folded(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[tuple, list[tuple]], list[tuple]], schema: str) -> DataFrame:
     """fold(key, rows) gives the output rows of each group; rows are tuples of the columns that aren't keys, by order."""
     others = [c for c in df.columns if c not in keys]

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as X
 from quire.operators import compose, crosspage, detection, figures, imaging, page, styles, textlayer
 from quire.plans.catalogue import _GLYPH, _NUM, _PIECES, _STOP, _clean, query
+from quire.plans.folding import spread
 from quire.sinks import document, markdown, searchable_pdf, spreadsheet
 from quire.sources import files, jobs, render
 from quire.sources import typeset as T
@@ -336,7 +337,8 @@ def detected_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, [pa.int64(), *[pa.float64()] * 4], strict=True)], names=["doc_id", "x0", "y0", "x1", "y1"])
 
-    return T.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey")).mapInArrow(run, "doc_id long, x0 double, y0 double, x1 double, y1 double")
+    parts = T.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("p_partkey"))
+    return spread(parts).mapInArrow(run, "doc_id long, x0 double, y0 double, x1 double, y1 double")
 
 
 @query("""WITH c AS (SELECT l_suppkey AS doc_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS seq, 20 + l_partkey % 400 AS w, 16 + (l_linenumber % 8) * 2 AS h FROM lineitem),

@@ -69,6 +69,16 @@ def test_many_parts_and_none():
     assert len(detection.quadrilaterals(p, 400, 400)) == 1
 
 
+def test_maps_are_spread(spark):
+    """Probability maps are much work for a key; the keys may lie in a file of one split."""
+    from quire.plans import outputs
+
+    found = outputs.detected_boxes(spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() >= 8
+    sizes = found.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    assert max(sizes) <= 2 * sum(sizes) / len(sizes) + 16
+
+
 class Stub:
     """Reads dark bars: a bar's mean gray value, in tens, is its letter; a bar of 7 has a marker that a wider reading lengthens."""
 
