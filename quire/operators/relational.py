@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.config import COL_SLACK, MIN_CHARS
+from quire.plans.folding import dealt
 
 PAGE = ("doc_id", "page_no")
 
@@ -20,7 +21,7 @@ def gap_clusters(values: DataFrame, keys: list[str], value: str, tol: float | Co
     """Clusters of sorted values whose neighbours are at most tol apart: number, mean and size."""
     by = Window.partitionBy(*keys).orderBy(value)
     new = F.coalesce((F.col(value) - F.lag(value).over(by) > tol).cast("int"), F.lit(1))
-    return values.withColumn("_new", new).withColumn("cluster", F.sum("_new").over(by)).groupBy(*keys, "cluster").agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
+    return dealt(values, *keys).withColumn("_new", new).withColumn("cluster", F.sum("_new").over(by)).groupBy(*keys, "cluster").agg(F.avg(value).alias("mean"), F.count("*").alias("n"))
 
 
 def reading_order(boxes: DataFrame, step: float = 10.0) -> DataFrame:

@@ -14,6 +14,20 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 EMIT = 4096
+#: Bytes of input for a part, and what is no file's size but a plan that doesn't know its own.
+PART, UNKNOWN = 4 << 20, 1 << 50
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """The rows by key, in parts whose number grows with the bytes of input, so that a part's rows to sort stay as many.
+
+    Parts of a number that is given aren't put together again: judged by their compressed bytes, millions of short rows
+    would make one part.
+    """
+    session, leaves = df.sparkSession, df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(leaves.apply(k).stats().sizeInBytes() for k in range(leaves.size()))
+    least = session.sparkContext.defaultParallelism
+    return df.repartition(max(least, -(-size // PART)) if size < UNKNOWN else max(least, int(session.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def spread(df: DataFrame) -> DataFrame:
