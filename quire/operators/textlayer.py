@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.config import BREAK_SIZES, RULE_HIGH, RULE_SLIM, RULE_WIDE
+from quire.plans.folding import dealt
 
 PAGE = ("doc_id", "page_no")
 ITEMS = "doc_id long, page_no int, row int, seg int, seq int, t string, x0 double, y0 double, x1 double, y1 double, s double"
@@ -119,6 +120,10 @@ _SCHEMA = pa.schema([(name, _KINDS[kind]) for name, kind in (c.split() for c in
 #: Characters that are gathered before they are packed, and before a fold.
 ENOUGH = 100_000
 PACKED = "doc_id long, page_no int, n int, chars binary"
+#: Before a packed page's bytes: how many characters, bytes before compression, bytes of a length; of each number its kind, bytes of a step and first.
+_NUMBERS, _SCALES = ("seq", "x0", "y0", "x1", "y1", "size"), (1, 1024)
+_HEAD = np.dtype([("n", "i4"), ("size", "i8"), ("length", "i1"), ("kind", "i1", 6), ("width", "i1", 6), ("first", "i8", 6)])
+_CODEC = pa.Codec("zstd", 1)
 _CHARS = pa.schema([("seq", pa.int64()), ("c", pa.string()), *[(c, pa.float64()) for c in ("x0", "y0", "x1", "y1", "size")]])
 
 
@@ -133,20 +138,58 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def _narrow(v: np.ndarray, first: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """Numbers as steps of few bytes from one to the next, and the first of each page: kind, firsts, steps (0 at a page's first).
+
+    Kinds 0 to 2: whole numbers, multiples of 1/1024, bits of doubles. Steps of 64 bits wrap around, so nothing is lost.
+    """
+    for kind, k in enumerate(_SCALES):
+        scaled = v * k
+        if (np.abs(scaled) < 1 << 52).all():
+            bits = scaled.astype(np.int64)
+            if ((bits / k).view(np.int64) == v.view(np.int64)).all():
+                break
+    else:
+        kind, bits = len(_SCALES), v.view(np.int64)
+    steps = np.diff(bits, prepend=bits[:1])
+    steps[first] = 0
+    return kind, bits[first], steps.astype(_least(steps))
+
+
+def _least(v: np.ndarray) -> np.dtype:
+    """The smallest signed type for whole numbers."""
+    low, high = (int(v.min()), int(v.max())) if len(v) else (0, 0)
+    return next(np.dtype(t) for t in ("i1", "i2", "i4", "i8") if np.iinfo(t).min <= low and high <= np.iinfo(t).max)
+
+
 def packed(table: pa.Table) -> pa.RecordBatch:
-    """Characters (doc_id, page_no and the columns of a character) as rows of PACKED: a row for each page, in Arrow's stream format."""
+    """Characters (doc_id, page_no and the columns of a character) as rows of PACKED: a row for each page.
+
+    Its bytes are _HEAD and, compressed, the texts' lengths in bytes (-1: null), the steps of each number and the texts:
+    neighbours on a line differ little, so a page takes about as much as its text.
+    """
     doc, no = (table.column(c).to_numpy() for c in PAGE)
     order = np.lexsort((no, doc))
     if (np.diff(order) < 0).any():
         table, doc, no = table.take(pa.array(order)), doc[order], no[order]
-    chars = pa.table([table.column(f.name).cast(f.type) for f in _CHARS], schema=_CHARS).combine_chunks()
     first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (no[1:] != no[:-1])])) if len(doc) else np.zeros(0, np.int64)
-    n, blobs = np.diff(first, append=len(doc)), []
-    for a, k in zip(first.tolist(), n.tolist(), strict=True):
-        out = pa.BufferOutputStream()
-        with pa.ipc.new_stream(out, _CHARS) as stream:
-            stream.write_table(chars.slice(a, k))
-        blobs.append(out.getvalue().to_pybytes())
+    n = np.diff(first, append=len(doc))
+    text = pc.fill_null(table.column("c").cast(pa.large_string()), "").combine_chunks()
+    _, offsets, data = text.buffers()
+    ends = np.frombuffer(offsets, np.int64, len(text) + 1, text.offset * 8)
+    length = np.where(table.column("c").is_null().to_numpy(), -1, np.diff(ends))
+    length = length.astype(_least(length))
+    numbers = [_narrow(np.ascontiguousarray(table.column(c).cast(pa.float64()).to_numpy()), first) for c in _NUMBERS]
+    head = np.zeros(len(first), _HEAD)
+    head["n"], head["length"] = n, length.itemsize
+    for k, (kind, firsts, steps) in enumerate(numbers):
+        head["kind"][:, k], head["first"][:, k], head["width"][:, k] = kind, firsts, steps.itemsize
+    columns = [memoryview(v).cast("B") for v in (length, *(steps for *_, steps in numbers))]
+    widths = [length.itemsize, *(steps.itemsize for *_, steps in numbers)]
+    texts = memoryview(data).cast("B") if data is not None else memoryview(b"")
+    raw = [b"".join([*(v[a * w : (a + k) * w] for v, w in zip(columns, widths, strict=True)), texts[ends[a] : ends[a + k]]]) for a, k in zip(first.tolist(), n.tolist(), strict=True)]
+    head["size"] = list(map(len, raw))
+    blobs = [h.tobytes() + _CODEC.compress(r, asbytes=True) for h, r in zip(head, raw, strict=True)]
     return pa.record_batch([pa.array(doc[first], pa.int64()), pa.array(no[first], pa.int32()), pa.array(n, pa.int32()), pa.array(blobs, pa.binary())], names=["doc_id", "page_no", "n", "chars"])
 
 
@@ -156,10 +199,28 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _unpacked(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
     """The characters of packed rows, with their pages."""
-    table = pa.concat_tables([pa.ipc.open_stream(blob).read_all() for *_, blob in rows]).combine_chunks()
     doc, no, n = (np.array([r[k] for r in rows]) for k in range(3))
-    whole = pa.table([pa.array(np.repeat(doc, n), pa.int64()), pa.array(np.repeat(no, n), pa.int32()), *table.columns], names=[*PAGE, *_CHARS.names])
-    return whole.combine_chunks().to_batches()[0]
+    head = np.concatenate([np.frombuffer(blob, _HEAD, 1) for *_, blob in rows])
+    parts: list[list[np.ndarray]] = [[] for _ in range(len(_NUMBERS) + 1)]
+    texts = []
+    for (*_, k, blob), size, widths in zip(rows, head["size"].tolist(), np.column_stack((head["length"], head["width"])).tolist(), strict=True):
+        raw, at = _CODEC.decompress(memoryview(blob)[_HEAD.itemsize :], size), 0
+        for part, w in zip(parts, widths, strict=True):
+            part.append(np.frombuffer(raw, f"i{w}", k, at))
+            at += k * w
+        texts.append(memoryview(raw)[at:])
+    length = np.concatenate(parts[0]).astype(np.int64)
+    offsets = np.concatenate(([0], np.cumsum(np.maximum(length, 0))))
+    null = pa.py_buffer(np.packbits(length >= 0, bitorder="little")) if (length < 0).any() else None
+    columns = {"c": pa.Array.from_buffers(pa.large_string(), len(length), [null, pa.py_buffer(offsets), pa.py_buffer(b"".join(texts))]).cast(pa.string())}
+    first = np.cumsum(n) - n
+    for k, name in enumerate(_NUMBERS):
+        steps = np.cumsum(np.concatenate(parts[k + 1]).astype(np.int64))
+        bits, kind = steps + np.repeat(head["first"][:, k] - steps[first], n), head["kind"][:, k]
+        some = [(bits.view(np.float64) if j == len(_SCALES) else bits / _SCALES[j]) for j in np.unique(kind).tolist()]
+        columns[name] = some[0] if len(some) == 1 else np.select([np.repeat(kind == j, n) for j in np.unique(kind).tolist()], some)
+    whole = {"doc_id": pa.array(np.repeat(doc, n), pa.int64()), "page_no": pa.array(np.repeat(no, n), pa.int32()), **{name: columns[name] for name in _CHARS.names}}
+    return pa.record_batch(whole)
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +252,7 @@ def segments(chars: DataFrame, rules: DataFrame | None = None) -> DataFrame:
 
 def segments_packed(pages: DataFrame) -> DataFrame:
     """Items of characters in rows of PACKED, of which a page may have several: the form in which a reader in Python hands them over."""
-    return pages.repartition(*PAGE).sortWithinPartitions(*PAGE).mapInArrow(_folded, ITEMS)
+    return dealt(pages, *PAGE).sortWithinPartitions(*PAGE).mapInArrow(_folded, ITEMS)
 
 
 def segments_of(pages: DataFrame) -> DataFrame:

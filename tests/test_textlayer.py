@@ -1,6 +1,7 @@
 """The text-layer fold against a plain walk over characters."""
 
 import numpy as np
+import pyarrow as pa
 from quire.operators import textlayer
 
 CHARS = "doc_id long, page_no int, seq long, c string, x0 double, y0 double, x1 double, y1 double, size double"
@@ -88,6 +89,29 @@ def test_pages_across_batches(spark, monkeypatch):
     assert textlayer.segments(spark.createDataFrame([], CHARS)).count() == 0
 
 
+def test_packed_pages_are_small_and_lossless():
+    """A page on the move takes about as many bytes as its text, and comes back bit by bit."""
+    rng = np.random.default_rng(10)
+    text = "".join(rng.choice(list("etaoin shrdlu"), 40 * 80))
+    k = np.arange(len(text)) % 80
+    line = np.arange(len(text)) // 80
+    prose = {"doc_id": np.full(len(text), 7), "page_no": np.full(len(text), 1, np.int32), "seq": line * 1000 + k, "c": list(text), "x0": 64.0 + 10 * k, "y0": 320.0 + 32 * line, "x1": 74.0 + 10 * k, "y1": 344.0 + 32 * line, "size": np.full(len(text), 10.0)}
+    (blob,) = textlayer.packed(pa.table(prose)).column("chars").to_pylist()
+    assert len(blob) < 1.5 * len(text)
+    tables = [pa.table(prose)]
+    for n, scale in ((0, 1.0), (1, 1.0), (500, 1.0), (500, 1 / 64), (500, 0.1)):
+        x = rng.integers(-900, 900, n) * scale
+        if scale == 0.1:
+            x[::7], x[::11], x[::13] = np.nan, -0.0, np.inf
+        c = pa.array([(None, "a", "é字", "", "long" * 100)[j] for j in rng.integers(0, 5, n)], pa.string())
+        tables.append(pa.table({"doc_id": np.sort(rng.integers(0, 4, n)), "page_no": np.full(n, 2, np.int32), "seq": rng.integers(-5, 1 << 40, n), "c": c, "x0": x, "y0": x * 2, "x1": x - 1, "y1": np.full(n, 7.5), "size": rng.integers(0, 30, n).astype(float)}))
+    rows = [row for t in tables for row in zip(*(column.to_pylist() for column in textlayer.packed(t).columns), strict=True)]
+    found, want = textlayer._unpacked(rows), pa.concat_tables(tables)
+    assert found.column("c").to_pylist() == want.column("c").to_pylist()
+    for name in set(want.column_names) - {"c"}:
+        assert found.column(name).cast(want.column(name).type).to_numpy(zero_copy_only=False).tobytes() == want.column(name).to_numpy().tobytes()
+
+
 def test_items_make_pages(spark):
     """From characters to documents, as the README has it."""
     from pyspark.sql import functions as F
