@@ -9,6 +9,7 @@ from quire.functions import interface
 from quire.functions import text as X
 from quire.operators import components, crosspage, figures, grids, imaging, noise, page, recognition, styles, textlayer
 from quire.operators import relational as R
+from quire.plans.folding import dealt
 from quire.sinks import markdown, searchable_pdf
 from quire.sources import jobs
 from quire.sources import typeset as T
@@ -32,9 +33,9 @@ def money(c: Column) -> Column:
     return F.format_string("%.2f", c)
 
 
-def table_text(items: DataFrame, names: list[str]) -> DataFrame:
+def table_text(items: DataFrame, names: list[str], together: bool = False) -> DataFrame:
     """The rows of rebuilt tables, as text columns."""
-    rows = page.blocks_of(items, W, H).filter("kind = 'table'").select(F.explode("rows").alias("r"))
+    rows = page.blocks_of(items, W, H, together=together).filter("kind = 'table'").select(F.explode("rows").alias("r"))
     return rows.select(*[F.get("r", F.lit(k)).alias(n) for k, n in enumerate(names)])
 
 
@@ -62,17 +63,21 @@ def table_roundtrip_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of the line tables of orders that have at least two lines; a single row would be text."""
-    by = Window.partitionBy("l_orderkey")
-    rows = T.table(spark, sf_dir, "lineitem").withColumn("n", F.count("*").over(by)).withColumn("place", F.row_number().over(by.orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1).filter("n > 1")
+    """Items of the line tables of orders that have at least two lines; a single row would be text.
+
+    Lines are dealt by document, so a page's items lie together; one sort serves both windows.
+    """
+    by = Window.partitionBy("doc", "l_orderkey")
+    lines = T.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag", F.floor(F.col("l_orderkey") / 8).alias("doc"))
+    rows = dealt(lines, "doc").withColumn("place", F.row_number().over(by.orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1).withColumn("n", F.count("*").over(by)).filter("n > 1")
     columns = [F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_quantity").cast("int"), F.col("l_returnflag")]
-    return T.cells(rows, F.floor(F.col("l_orderkey") / 8), F.pmod(F.col("l_orderkey"), F.lit(8)) * T.ROWS + F.col("place"), columns, 150)
+    return T.cells(rows, F.col("doc"), F.pmod(F.col("l_orderkey"), F.lit(8)) * T.ROWS + F.col("place"), columns, 150)
 
 
 @query("""SELECT l_orderkey::VARCHAR AS l_orderkey, l_linenumber::VARCHAR AS l_linenumber, l_partkey::VARCHAR AS l_partkey, l_suppkey::VARCHAR AS l_suppkey,
 l_quantity::INT::VARCHAR AS l_quantity, l_returnflag FROM (SELECT *, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem) WHERE n > 1""")
 def table_roundtrip_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table_text(order_lines(spark, sf_dir), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"])
+    return table_text(order_lines(spark, sf_dir), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"], together=True)
 
 
 @query("""SELECT doc_id, markdown FROM (SELECT 1::BIGINT AS doc_id,

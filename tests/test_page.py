@@ -1,8 +1,9 @@
 """Folds of one page, on the numbers of hand-built pages."""
 
+import numpy as np
 import pytest
 from quire.operators import crosspage
-from quire.operators.page import Box, Line, blocks, bulleted, column_starts, is_header_row, paragraphs, spans, table_rows, visual_lines
+from quire.operators.page import Box, Growth, Line, Spans, blocks, bulleted, column_starts, is_header_row, paragraphs, spans, table_rows, visual_lines
 from quire.sinks import spreadsheet
 
 
@@ -69,6 +70,52 @@ def test_table_block_and_rows():
     assert is_header_row(rows)
 
 
+@pytest.mark.parametrize("wide", [0.015, 0.08, 0.4])
+def test_growing_tables_have_the_starts_of_all_spans(wide):
+    """Line by line, with spans of equal starts taken together, as from all spans at once."""
+    rng = np.random.default_rng(5)
+    seen = 0
+    for _ in range(150):
+        at = np.sort(rng.choice(np.arange(1, 40) / 40, 6, replace=False))
+        lines = []
+        for k in range(int(rng.integers(1, 9))):
+            some = at[rng.random(6) < 0.8] + rng.choice([0, 0, 0, 0.01, 0.03]) * rng.random()
+            lines.append(Line(k, k + 1, [Box("x", float(a), k, float(a + rng.random() * wide), k + 1) for a in some]))
+        growth, every = Growth(lines), Spans.of(lines)
+        for n in range(1, len(lines) + 1):
+            starts, want = growth.starts(), every.starts(n)
+            assert starts == pytest.approx(want.tolist(), abs=1e-12)
+            assert growth.straddled(starts) == every.straddled(0, n, want)
+        seen += growth.all is None
+    assert seen > 100 if wide < 0.02 else seen < 140
+
+
+def test_lines_of_orders_move_once(spark):
+    """Lines are dealt by document; their cells, six times as many rows, stay where they are."""
+    from quire.plans import catalogue
+
+    plan = catalogue.table_roundtrip_lineitem(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort ") == 2  # one for both windows, one for the cells
+
+
+def test_groups_of_odd_keys(spark):
+    """Groups of null, text and long keys, also over batches, with null values."""
+    from quire.plans.folding import folded
+
+    rows = [(None if k % 5 == 0 else 2**53 + k % 5, None if k % 3 == 0 else "ab"[k % 2], k, None if k % 4 == 0 else k, None if k % 7 == 0 else f"t{k}", k / 2) for k in range(1000)]
+    want: dict = {}
+    for r in rows:
+        want.setdefault(r[:2], []).append(r[3:])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        frame = spark.createDataFrame(rows, "a long, b string, k int, v long, t string, x double")
+        found = folded(frame, ["a", "b"], ["k"], lambda key, some: [(*key, repr([r[1:] for r in some]))], "a long, b string, r string").collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {(r.a, r.b): r.r for r in found} == {key: repr(some) for key, some in want.items()} and len(found) == len(want)
+
+
 def test_wide_gap_ends_a_table():
     kinds = [b.kind for b in blocks([row(0.10, ("a", 0.1), ("b", 0.5)), row(0.12, ("c", 0.1), ("d", 0.5)), row(0.20, ("e", 0.1), ("f", 0.5)), row(0.22, ("g", 0.1), ("h", 0.5))])]
     assert kinds == ["table", "table"]
