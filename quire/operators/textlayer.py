@@ -47,6 +47,15 @@ def _upright() -> list:
     return [F.least("ax", "bx").alias("x0"), F.least("ay", "by").alias("y0"), F.greatest("ax", "bx").alias("x1"), F.greatest("ay", "by").alias("y1")]
 
 
+def _order(*keys: np.ndarray) -> np.ndarray:
+    """np.lexsort, which takes far longer than seeing that rows are in order, as they mostly come."""
+    less, same = np.zeros(max(len(keys[0]) - 1, 0), bool), np.ones(max(len(keys[0]) - 1, 0), bool)
+    for key in reversed(keys):
+        less |= same & (key[:-1] < key[1:])
+        same &= key[:-1] == key[1:]
+    return np.arange(len(keys[0])) if (less | same).all() else np.lexsort(keys)
+
+
 def _rows(y0: np.ndarray, y1: np.ndarray, page: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Row of each character, and the rows' tops and feet. Characters come by page and centre."""
     new = np.flatnonzero(np.concatenate([[True], (y0[1:] != y0[:-1]) | (y1[1:] != y1[:-1]) | (page[1:] != page[:-1])]))
@@ -94,10 +103,10 @@ def _items(batch: pa.RecordBatch) -> pa.RecordBatch:
     x0, y0, x1, y1, size, seq = (number(c, batch) for c in ("x0", "y0", "x1", "y1", "size", "seq"))
     if not len(x0):
         return pa.RecordBatch.from_pylist([], _SCHEMA)
-    down = np.lexsort((seq, x0, (y0 + y1) / 2, page))
+    down = _order(seq, x0, (y0 + y1) / 2, page)
     row = np.zeros(len(x0), np.int64)
     row[down], tops, feet = _rows(y0[down], y1[down], page[down])
-    order = np.lexsort((seq, x0, row))
+    order = _order(seq, x0, row)
     row, page, x0, y0, x1, y1, size = (v[order] for v in (row, page, x0, y0, x1, y1, size))
     gap = np.concatenate([[0.0], x0[1:] - x1[:-1]]) > BREAK_SIZES * np.maximum(np.maximum(size, np.concatenate([[0.0], size[:-1]])), 1.0)
     first = np.concatenate([[True], row[1:] != row[:-1]])
